@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(body: Callable[[Column], Column], **values: Column) -> Column:
+def let(body: Callable[[Column], Column], /, **values: Column) -> Column:
     """Bind ``values`` once and evaluate ``body`` on the resulting struct.
 
     Catalyst may inline a projected column into a lambda and so evaluate it once per array

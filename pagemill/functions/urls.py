@@ -122,7 +122,7 @@ def absolutize_markdown(text: Column, base_url: Column) -> Column:
             label = F.regexp_extract(link, rf"\A{MARKDOWN_LINK}\z", 1)
             target = F.regexp_extract(link, rf"\A{MARKDOWN_LINK}\z", 2)
             whole = F.concat(F.lit("["), label, F.lit("]("), resolve_url(target, b["base"]), F.lit(")"))
-            return F.concat(pick(b["parts"], i), F.coalesce(whole, F.lit("")))
+            return F.concat(pick(b["parts"], i), F.coalesce(whole, link, F.lit("")))
 
         return F.array_join(F.transform(indices(b["parts"]), piece), "")
 
