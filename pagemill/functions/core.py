@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a built expression per argument list and JVM.
+
+    A large expression takes thousands of calls into the JVM to put together; plans that share it
+    pay for that once. Arguments must be plain values.
+    """
+    known: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def wrapper(*args: object) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in known:
+            known[key] = build(*args)
+        return known[key]
+
+    return wrapper
+
+
 def let(body: Callable[[Column], Column], /, **values: Column) -> Column:
     """Bind ``values`` once and evaluate ``body`` on the resulting struct.
 
@@ -18,6 +38,26 @@ def let(body: Callable[[Column], Column], /, **values: Column) -> Column:
     return F.get(F.transform(bound, body), F.lit(0))
 
 
+def derive(df: DataFrame, rows: Column, *keys: str | Column) -> DataFrame:
+    """``keys`` plus the fields of a computed ``array<struct>``, one row per element.
+
+    A generator is a barrier for the optimizer: no later filter or projection can pull the
+    expression up or down and so evaluate it again. The outer form keeps Spark from adding a size
+    test, which would do the same; arrays must not be empty unless NULL rows are wanted.
+    """
+    return df.select(*keys, F.inline_outer(rows))
+
+
+def extend(df: DataFrame, **values: Column) -> DataFrame:
+    """All columns of ``df`` plus computed ones, behind the same barrier.
+
+    Long derivations are built from several of these: nested lambdas cost analysis time for each
+    level, and a barrier ends the nesting.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return derive(df, F.array(row), *df.columns)
+
+
 def indices(array: Column) -> Column:
     """0-based positions of a non-empty array."""
     return F.sequence(F.lit(0), F.size(array) - 1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import indices, let, pick, spans, take_span
+from ..functions.core import built_once, indices, let, pick, spans, take_span
 from ..functions.text import (
     FENCE,
     HEADING_LINE,
@@ -388,13 +388,7 @@ def chunk_documents(
     delivery: bool = False,
 ) -> DataFrame:
     """One row per chunk: ``(id, seq, n_chunks, type, content, language)``."""
-    url = F.col(url_col) if url_col else None
-    if delivery:
-        parts = delivery_chunks(F.col(text_col), url, max_chars, max_code, front_matter_anywhere)
-    else:
-        parts = chunks_of(F.col(text_col), url, max_chars, max_code, refence, front_matter_anywhere, strategy)
-    # One struct holds the array and its size, so the array is built once per row.
-    sized = let(lambda b: F.transform(b["parts"], lambda c: F.struct(F.size(b["parts"]).alias("n"), c.alias("c"))), parts=parts)
+    sized = _chunk_rows(text_col, url_col, max_chars, max_code, refence, front_matter_anywhere, strategy, delivery)
     rows = explode_array(df, sized, "x", id_col)
     return rows.select(
         id_col,
@@ -406,6 +400,26 @@ def chunk_documents(
     )
 
 
+@built_once
+def _chunk_rows(
+    text_col: str,
+    url_col: str | None,
+    max_chars: int,
+    max_code: int,
+    refence: bool,
+    front_matter_anywhere: bool,
+    strategy: str,
+    delivery: bool,
+) -> Column:
+    url = F.col(url_col) if url_col else None
+    if delivery:
+        parts = delivery_chunks(F.col(text_col), url, max_chars, max_code, front_matter_anywhere)
+    else:
+        parts = chunks_of(F.col(text_col), url, max_chars, max_code, refence, front_matter_anywhere, strategy)
+    # One struct holds the array and its size, so the array is built once per row.
+    return let(lambda b: F.transform(b["parts"], lambda c: F.struct(F.size(b["parts"]).alias("n"), c.alias("c"))), parts=parts)
+
+
 def chunk_quality(chunks: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     """Corpus report: sizes, shares and counts per chunk type."""
     n = F.length("content")

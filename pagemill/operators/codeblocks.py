@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codelang import language_of_code, language_of_pre, prefixed
-from ..functions.core import let, pick
+from ..functions.core import built_once, let, pick
 from ..functions.text import decode_entities, newline_normalised, trim_ws
 from ..sources.html import TEXT
 from .chunking import explode_array
-from .pages import page_struct
+from .pages import Page, flagged, page_columns
 
 NBSP = chr(0xA0)
 
@@ -28,7 +28,7 @@ def has_class(e: Column, name: str) -> Column:
     return F.array_contains(e["cls"], name)
 
 
-def raw_text(page: Column, e: Column) -> Column:
+def raw_text(page: Page, e: Column) -> Column:
     span = F.slice(page["tokens"], e["open"] + 1, e["close"] - e["open"] + 1)
     return F.array_join(F.transform(F.filter(span, lambda t: t["kind"] == TEXT), lambda t: t["text"]), "")
 
@@ -41,7 +41,7 @@ def _with_class(els: Column, e: Column, name: str) -> Column:
     return F.filter(inside(els, e), lambda d: has_class(d, name))
 
 
-def _lines(page: Column, elements: Column, text: Callable[[Column], Column]) -> Column:
+def _lines(page: Page, elements: Column, text: Callable[[Column], Column]) -> Column:
     return F.when(F.size(elements) > 0, F.array_join(F.transform(elements, text), "\n"))
 
 
@@ -54,15 +54,15 @@ class Rule:
     """A kind of code block: which element it is and how language and code are read from it."""
 
     name: str
-    match: Callable[[Column, Column], Column]
-    render: Callable[[Column, Column], Column]
+    match: Callable[[Page, Column], Column]
+    render: Callable[[Page, Column], Column]
 
 
-def _is_expressive(page: Column, e: Column) -> Column:
+def _is_expressive(page: Page, e: Column) -> Column:
     return (e["tag"] == "div") & has_class(e, "expressive-code") & _first(page["els"], e, "pre").isNotNull()
 
 
-def _expressive(page: Column, e: Column) -> Column:
+def _expressive(page: Page, e: Column) -> Column:
     def line(d: Column) -> Column:
         return let(lambda b: F.coalesce(decode_entities(raw_text(page, b["span"])), F.lit("")), span=pick(_with_class(page["els"], d, "code"), 0))
 
@@ -83,13 +83,13 @@ def _expressive(page: Column, e: Column) -> Column:
 CONTAINER_CLASS = "codeBlockContainer_ZGJx"
 
 
-def _is_container(page: Column, e: Column) -> Column:
+def _is_container(page: Page, e: Column) -> Column:
     parent = pick(page["els"], e["parent"])
     prism = F.exists(inside(page["els"], e), lambda d: (d["tag"] == "pre") & has_class(d, "prism-code"))
     return (e["tag"] == "div") & has_class(e, CONTAINER_CLASS) & prism & ~F.coalesce(has_class(parent, CONTAINER_CLASS), F.lit(False))
 
 
-def _container(page: Column, e: Column) -> Column:
+def _container(page: Page, e: Column) -> Column:
     def body(b: Column) -> Column:
         pre = b["pre"]
         code = F.coalesce(
@@ -106,11 +106,11 @@ def _container(page: Column, e: Column) -> Column:
     )
 
 
-def _is_astro(page: Column, e: Column) -> Column:
+def _is_astro(page: Page, e: Column) -> Column:
     return (e["tag"] == "pre") & has_class(e, "astro-code") & _first(page["els"], e, "code").isNotNull()
 
 
-def _astro(page: Column, e: Column) -> Column:
+def _astro(page: Page, e: Column) -> Column:
     def clean(d: Column) -> Column:
         return decode_entities(F.replace(raw_text(page, d), F.lit(NBSP), F.lit(" ")))
 
@@ -122,24 +122,24 @@ def _astro(page: Column, e: Column) -> Column:
     return let(body, code=_first(page["els"], e, "code"))
 
 
-def _is_bare_pre(page: Column, e: Column) -> Column:
+def _is_bare_pre(page: Page, e: Column) -> Column:
     return (e["tag"] == "pre") & _first(page["els"], e, "code").isNull()
 
 
-def _markup_text(page: Column, e: Column) -> Column:
+def _markup_text(page: Page, e: Column) -> Column:
     """Tags stripped, then entities decoded: the tokenizer has done both."""
     return newline_normalised(F.replace(raw_text(page, e), F.lit(NBSP), F.lit(" ")))
 
 
-def _bare_pre(page: Column, e: Column) -> Column:
+def _bare_pre(page: Page, e: Column) -> Column:
     return _result(language_of_pre(e), _markup_text(page, e))
 
 
-def _is_pre_code(page: Column, e: Column) -> Column:
+def _is_pre_code(page: Page, e: Column) -> Column:
     return (e["tag"] == "pre") & _first(page["els"], e, "code").isNotNull()
 
 
-def _pre_code(page: Column, e: Column) -> Column:
+def _pre_code(page: Page, e: Column) -> Column:
     return let(
         lambda b: let(
             lambda c: _result(language_of_code(c["code"], e, c["text"]), c["text"]),
@@ -160,7 +160,7 @@ RULES = [
 ]
 
 
-def code_blocks(page: Column, rules: list[Rule] | None = None) -> Column:
+def code_blocks(page: Page, rules: list[Rule] | None = None) -> Column:
     """Outermost live code blocks in order: (id, open, close, rule, language, code)."""
     rules = rules or RULES
 
@@ -176,7 +176,7 @@ def code_blocks(page: Column, rules: list[Rule] | None = None) -> Column:
     )
     hits = F.filter(hits, lambda h: h["rule"].isNotNull())
 
-    def rendered(b: Column, h: Column) -> Column:
+    def rendered(h: Column) -> Column:
         def fields(x: Column) -> Column:
             e = x["e"]
             result = F.when(h["rule"] == 0, rules[0].render(page, e))
@@ -199,14 +199,19 @@ def code_blocks(page: Column, rules: list[Rule] | None = None) -> Column:
     def outermost(b: Column) -> Column:
         ids = F.transform(b["hits"], lambda h: h["id"])
         top = F.filter(b["hits"], lambda h: ~F.arrays_overlap(pick(page["els"], h["id"])["anc"], ids))
-        blocks = F.transform(top, lambda h: rendered(b, h))
+        blocks = F.transform(top, rendered)
         return F.filter(blocks, lambda c: trim_ws(c["code"]) != "")
 
     return let(outermost, hits=hits)
 
 
+@built_once
+def code_blocks_expression() -> Column:
+    return code_blocks(page_columns())
+
+
 def code_block_table(tokens: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per code block of each page."""
-    blocks = page_struct(lambda p: code_blocks(p, rules))
-    rows = explode_array(tokens, blocks, "b", "page_id")
+    blocks = code_blocks(page_columns(), rules) if rules else code_blocks_expression()
+    rows = explode_array(flagged(tokens), blocks, "b", "page_id")
     return rows.select("page_id", "seq", "b.rule", "b.language", "b.code")

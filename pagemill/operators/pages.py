@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let, pick
+from ..functions.core import built_once, derive, extend, let, pick
 from ..functions.text import collapse_ws, parse_date, trim_ws, utf16_length
 from ..functions.urls import site_of
 from ..sources.html import TEXT
@@ -132,24 +132,49 @@ def text_between(tokens: Column, removed: Column, start: Column, stop: Column) -
     return F.array_join(F.transform(kept, lambda t: t["text"]), "")
 
 
-def element_text(page: Column, e: Column) -> Column:
+def element_text(page: Page, e: Column) -> Column:
     return text_between(page["tokens"], page["removed"], e["open"], e["close"])
 
 
-def all_text(page: Column, elements: Column) -> Column:
+def all_text(page: Page, elements: Column) -> Column:
     return F.array_join(F.transform(elements, lambda e: element_text(page, e)), "")
 
 
-def page_struct(body) -> Column:
-    """Bind ``els``, ``tokens`` and ``removed`` of the current row and evaluate ``body`` on them."""
-    return let(
-        lambda p: let(body, els=p["els"], tokens=p["tokens"], removed=removed_flags(p["els"])),
-        els=F.col("elements"),
-        tokens=F.col("tokens"),
+Page = dict[str, Column]
+
+
+def page_columns() -> Page:
+    """Columns of a flagged page, by the short names the expressions use."""
+    return {"els": F.col("elements"), "tokens": F.col("tokens"), "removed": F.col("removed")}
+
+
+def flagged(tokens: DataFrame) -> DataFrame:
+    """Tokenised pages with ``removed``: per element, is it part of boilerplate."""
+    return extend(tokens, removed=removed_flags(F.col("elements")))
+
+
+REGION = ["selector", "id", "open", "close", "n_chars", "total_chars", "score"]
+
+
+def with_region(pages: DataFrame) -> DataFrame:
+    """Flagged pages with the position of their content region: region_id, region_open, region_close."""
+    found = derive(pages, F.array(region_expression()), *pages.columns)
+    return found.withColumnsRenamed({name: f"region_{name}" for name in ("id", "open", "close")}).drop(
+        *[name for name in REGION if name not in ("id", "open", "close")]
     )
 
 
-def candidates(page: Column) -> Column:
+@built_once
+def region_expression() -> Column:
+    return best_region(page_columns())
+
+
+@built_once
+def metadata_expression() -> Column:
+    return metadata_of(page_columns(), F.col("url"))
+
+
+def candidates(page: Page) -> Column:
     """Live elements per content selector: (pos, id, open, close, n) with the text length."""
     def found(marked: Column, pos: int, selector: Selector) -> Column:
         return F.transform(
@@ -181,7 +206,7 @@ def region_score(n: Column, total: Column, pos: Column) -> Column:
     return F.when(n < SHORT_LENGTH, weighted * F.lit(SHORT_WEIGHT)).otherwise(weighted)
 
 
-def best_region(page: Column) -> Column:
+def best_region(page: Page) -> Column:
     """The content region: (selector, id, open, close, n_chars, total_chars, score).
 
     The highest score wins, the earlier selector and then the earlier element on ties. Where no
@@ -234,7 +259,7 @@ def first_value(values: list[Column]) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def title_of(page: Column) -> Column:
+def title_of(page: Page) -> Column:
     live = live_elements(page["els"], page["removed"])
     titles = F.filter(live, lambda e: e["tag"] == "title")
     headings = F.filter(live, lambda e: e["tag"] == "h1")
@@ -242,7 +267,7 @@ def title_of(page: Column) -> Column:
     return F.coalesce(first_value([trim_ws(all_text(page, titles)), trim_ws(head_text)]), F.lit(UNTITLED))
 
 
-def _attribute_then_text(page: Column, selector: Selector, names: list[str], marked: Column) -> Column:
+def _attribute_then_text(page: Page, selector: Selector, names: list[str], marked: Column) -> Column:
     found = F.filter(marked, selector.matches)
     return let(
         lambda b: first_value([F.element_at(pick(b["found"], 0)["attrs"], name) for name in names] + [trim_ws(all_text(page, b["found"]))]),
@@ -250,7 +275,7 @@ def _attribute_then_text(page: Column, selector: Selector, names: list[str], mar
     )
 
 
-def _date(page: Column, selector: Selector, marked: Column) -> Column:
+def _date(page: Page, selector: Selector, marked: Column) -> Column:
     return let(lambda b: parse_date(b["text"]), text=_attribute_then_text(page, selector, ["content", "datetime"], marked))
 
 
@@ -258,7 +283,7 @@ def _meta_value(selector: Selector, marked: Column) -> Column:
     return F.nullif(trim_ws(F.element_at(pick(F.filter(marked, selector.matches), 0)["attrs"], "content")), F.lit(""))
 
 
-def metadata_of(page: Column, url: Column) -> Column:
+def metadata_of(page: Page, url: Column) -> Column:
     """title, author, published_at, description, site_name: the first non-empty value per list."""
     marked = F.filter(page["els"], lambda e: ~pick(page["removed"], e["id"]) & (F.size(F.map_keys(e["attrs"])) > 0))
 
@@ -280,12 +305,11 @@ def metadata_of(page: Column, url: Column) -> Column:
 
 
 def page_metadata(tokens: DataFrame) -> DataFrame:
-    meta = page_struct(lambda p: metadata_of(p, F.col("url")))
-    return tokens.select("page_id", "url", meta.alias("m")).select("page_id", "url", "m.*")
+    return derive(flagged(tokens), F.array(metadata_expression()), "page_id", "url")
 
 
 def main_regions(tokens: DataFrame) -> DataFrame:
-    return tokens.select("page_id", page_struct(best_region).alias("r")).select("page_id", "r.*")
+    return derive(flagged(tokens), F.array(region_expression()), "page_id")
 
 
 def page_nodes(tokens: DataFrame) -> DataFrame:

@@ -10,11 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import indices, let, pick
+from ..functions.core import built_once, derive, extend, let, pick
 from ..functions.text import FENCE, clean_markdown, is_blank
 from ..sources.html import CLOSE, OPEN
-from .codeblocks import code_blocks
-from .pages import BOILERPLATE_CLASSES, REGION_CLASSES, best_region, metadata_of, page_struct, removed_flags
+from .codeblocks import code_blocks_expression
+from .pages import (
+    BOILERPLATE_CLASSES,
+    REGION_CLASSES,
+    Page,
+    flagged,
+    metadata_expression,
+    page_columns,
+    removed_flags,
+    with_region,
+)
 
 # Marks. A break is PARA or LINE, then the line prefix of the place, then END; a forced line break
 # is SOFT, the prefix, SOFT_END.
@@ -49,9 +58,9 @@ def _title(e: Column) -> Column:
     return F.when(title != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise("")
 
 
-def _marks(page: Column, region: Column, e: Column) -> Column:
+def _marks(page: Page, e: Column) -> Column:
     """Opening and closing text of one element inside the region."""
-    above = F.filter(e["anc"], lambda a: a > region["id"])
+    above = F.filter(e["anc"], lambda a: a > F.col("region_id"))
     prefix = F.array_join(
         F.transform(
             above,
@@ -108,10 +117,10 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(out, r"\A([0-9]+)\. ", r"$1\\. ")
 
 
-def _piece(page: Column, b: Column, t: Column) -> Column:
+def _piece(page: Page, b: Page, t: Column) -> Column:
     """Text of one token: element marks, escaped page text, or the mark of a code block."""
     e = pick(page["els"], t["el"])
-    marks = pick(b["marks"], t["el"] - b["region"]["id"] - 1)
+    marks = pick(b["marks"], t["el"] - F.col("region_id") - 1)
     text = F.regexp_replace(t["text"], r"[ \t\r\n]+", " ")
     in_code = (e["tag"] == "code") | (pick(page["els"], e["parent"])["tag"] == "code")
     block = F.concat(F.lit(LINE), marks["prefix"], F.lit(END + BLOCK_MARK + LINE), marks["prefix"], F.lit(END))
@@ -181,81 +190,94 @@ def fenced(block: Column) -> Column:
     return F.concat(F.lit(FENCE), block["language"], F.lit("\n"), block["code"], F.lit("\n" + FENCE))
 
 
-def region_markdown(page: Column, region: Column) -> Column:
-    """Markdown of the inside of a region, cleaned up."""
-
-    def body(b: Column) -> Column:
-        inner = F.slice(page["tokens"], b["region"]["open"] + 2, F.greatest(b["region"]["close"] - b["region"]["open"] - 1, F.lit(0)))
-        joined = F.array_join(F.transform(inner, lambda t: _piece(page, b, t)), "")
-        return let(
-            lambda r: F.array_join(
-                F.transform(
-                    indices(r["parts"]),
-                    lambda i: F.concat(pick(r["parts"], i), F.coalesce(fenced(pick(b["blocks"], i)), F.lit(""))),
-                ),
-                "",
-            ),
-            parts=F.split(settle(joined), BLOCK_MARK, -1),
-        )
+@built_once
+def _region_blocks() -> Column:
+    return F.filter(
+        F.col("found"),
+        lambda c: (c["open"] > F.col("region_open")) & (c["close"] < F.col("region_close")) & ~pick(F.col("gone"), c["id"]),
+    )
 
-    def with_blocks(a: Column) -> Column:
-        mine = F.filter(a["blocks"], lambda c: (c["open"] > a["region"]["open"]) & (c["close"] < a["region"]["close"]) & ~pick(a["gone"], c["id"]))
-        return let(with_tops, region=a["region"], gone=a["gone"], blocks=mine)
-
-    def with_tops(c: Column) -> Column:
-        tops = F.transform(c["blocks"], lambda k: k["id"])
-        # Elements inside the region keep their ids in order, so they are a slice.
-        inner = F.filter(F.slice(page["els"], c["region"]["id"] + 2, F.size(page["els"])), lambda e: e["open"] < c["region"]["close"])
-        return let(
-            lambda d: let(
-                body,
-                region=c["region"],
-                blocks=c["blocks"],
-                tops=d["tops"],
-                marks=F.transform(d["inner"], lambda e: _marks(page, c["region"], e)),
-                hidden=F.transform(
-                    page["els"],
-                    lambda e: F.when(pick(c["gone"], e["id"]), 1)
-                    .when(F.array_contains(d["tops"], e["id"]) | F.arrays_overlap(e["anc"], d["tops"]), 2)
-                    .otherwise(0),
-                ),
-            ),
-            tops=tops,
-            inner=inner,
-        )
 
-    raw = let(
-        with_blocks,
-        region=region,
-        gone=removed_flags(page["els"], BOILERPLATE_CLASSES + REGION_CLASSES),
-        blocks=code_blocks(page),
-    )
-    return let(lambda b: clean_markdown(b["raw"]), raw=raw)
+def with_blocks(pages: DataFrame) -> DataFrame:
+    """Pages with region, plus the code blocks inside it and the boilerplate of the region."""
+    gone = removed_flags(F.col("elements"), BOILERPLATE_CLASSES + REGION_CLASSES)
+    found = extend(pages, gone=gone, found=code_blocks_expression())
+    mine = extend(found, blocks=_region_blocks()).drop("found")
+    return extend(mine, tops=F.transform(F.col("blocks"), lambda c: c["id"]))
+
 
+@built_once
+def _element_marks() -> Column:
+    # Elements inside the region keep their ids in order, so they are a slice.
+    els = F.col("elements")
+    inner = F.filter(F.slice(els, F.col("region_id") + 2, F.size(els)), lambda e: e["open"] < F.col("region_close"))
+    return F.transform(inner, lambda e: _marks(page_columns(), e))
 
-def scraped_content(page: Column, url: Column) -> Column:
-    return let(
-        lambda b: F.struct(metadata_of(page, url).alias("meta"), region_markdown(page, b["region"]).alias("content")),
-        region=best_region(page),
+
+@built_once
+def _hidden_elements() -> Column:
+    """Per element: 1 when removed, 2 when part of a code block."""
+    return F.transform(
+        F.col("elements"),
+        lambda e: F.when(pick(F.col("gone"), e["id"]), 1)
+        .when(F.array_contains(F.col("tops"), e["id"]) | F.arrays_overlap(e["anc"], F.col("tops")), 2)
+        .otherwise(0),
     )
 
 
+@built_once
+def _marked_text() -> Column:
+    names = {name: F.col(name) for name in ["marks", "hidden", "tops"]}
+    size = F.greatest(F.col("region_close") - F.col("region_open") - 1, F.lit(0))
+    inside = F.slice(F.col("tokens"), F.col("region_open") + 2, size)
+    return F.array_join(F.transform(inside, lambda t: _piece(page_columns(), names, t)), "")
+
+
+def with_marked_text(pages: DataFrame) -> DataFrame:
+    """The region's tokens as one marked-up text, ``marked``; tokens and elements go."""
+    staged = extend(pages, marks=_element_marks(), hidden=_hidden_elements())
+    done = {"elements", "tokens", "removed", "gone", "tops", "marks", "hidden", "region_id", "region_open", "region_close"}
+    return derive(staged, F.array(F.struct(_marked_text().alias("marked"))), *[c for c in staged.columns if c not in done])
+
+
+@built_once
+def _settled_parts() -> Column:
+    return F.split(settle(F.col("marked")), BLOCK_MARK, -1)
+
+
+@built_once
+def _with_code() -> Column:
+    def whole(part: Column, i: Column) -> Column:
+        return F.concat(part, F.coalesce(fenced(pick(F.col("blocks"), i)), F.lit("")))
+
+    return F.array_join(F.transform(F.col("parts"), whole), "")
+
+
+@built_once
+def _cleaned() -> Column:
+    return clean_markdown(F.col("raw"))
+
+
+def with_markdown(pages: DataFrame) -> DataFrame:
+    """Settle the marks, put the code blocks back in and clean up: ``content``."""
+    settled = extend(pages, parts=_settled_parts()).drop("marked")
+    joined = extend(settled, raw=_with_code()).drop("parts", "blocks")
+    return extend(joined, content=_cleaned()).drop("raw")
+
+
 def page_markdown(tokens: DataFrame) -> DataFrame:
-    content = page_struct(lambda p: let(lambda b: region_markdown(p, b["region"]), region=best_region(p)))
-    return tokens.select("page_id", content.alias("markdown"))
+    pages = with_markdown(with_marked_text(with_blocks(with_region(flagged(tokens)))))
+    return pages.select("page_id", F.col("content").alias("markdown"))
 
 
 def scrape_pages(tokens: DataFrame) -> DataFrame:
-    """Tokenised pages to records: title, content, url and metadata; empty content gives NULL."""
-    record = page_struct(lambda p: scraped_content(p, F.col("url")))
-    rows = tokens.select(*[c for c in tokens.columns if c not in ("elements", "tokens")], record.alias("r"))
-    content = F.when(~is_blank(F.col("r.content")), F.col("r.content"))
-    return rows.select(
-        *[c for c in tokens.columns if c not in ("elements", "tokens")],
-        F.col("r.meta.title").alias("title"),
-        content.alias("content"),
-        F.col("r.meta.author").alias("author"),
-        F.col("r.meta.published_at").alias("published_at"),
-        F.col("r.meta.description").alias("description"),
-        F.col("r.meta.site_name").alias("site_name"),
-    )
+    """Tokenised pages to records of title, content and metadata; pages without content drop out.
+
+    All steps are narrow: the job has one stage from the scan to the records.
+    """
+    keys = [c for c in tokens.columns if c not in ("elements", "tokens")]
+    pages = flagged(tokens)
+    described = derive(pages, F.array(metadata_expression()), *pages.columns)
+    records = with_markdown(with_marked_text(with_blocks(with_region(described))))
+    names = ["title", "content", "author", "published_at", "description", "site_name"]
+    return records.where(~is_blank(F.col("content"))).select(*keys, *names)
