@@ -13,7 +13,8 @@ DELETE_BUTTON = "deleteMessage"
 
 
 def command_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COMMANDS, "name string, has_autocomplete boolean")
+    rows = ", ".join(f"('{name}', {str(flag).lower()})" for name, flag in COMMANDS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, has_autocomplete)")
 
 
 def dispatch_commands(interactions: DataFrame, registry: DataFrame) -> DataFrame:

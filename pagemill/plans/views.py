@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import load_table
+from ..sources.tables import load_table, spread
 
 LF = "chr(10)"
 K = "cast(regexp_extract(props, '([0-9]+)', 1) as bigint)"
@@ -128,6 +128,20 @@ SELECT doc_id, concat(
 FROM {{documents}}
 """
 
+# Pages with metadata in the head and the content in one of several containers.
+META_PAGES = """
+SELECT page_id, url,
+  replace(replace(replace(html, '<meta charset="utf-8">', concat('<meta charset="utf-8">',
+    CASE WHEN page_id % 5 < 2 THEN concat('<meta name="author" content="Writer ', cast(page_id as varchar(19)), '">') ELSE '' END,
+    CASE WHEN page_id % 3 = 0 THEN concat('<meta property="article:published_time" content="2024-03-', cast(10 + page_id % 20 as varchar(9)), 'T10:00:00Z">') ELSE '' END,
+    CASE WHEN page_id % 3 = 1 THEN '<meta name="date" content="some day">' ELSE '' END,
+    CASE WHEN page_id % 4 = 0 THEN '<meta property="og:description" content=" Short &amp; plain ">' ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN '<meta property="og:site_name" content="The Site">' WHEN page_id % 7 = 1 THEN '<meta property="og:title" content="The Title">' ELSE '' END)),
+    '<article>', CASE page_id % 4 WHEN 0 THEN '<article><span class="byline"> By line </span>' WHEN 1 THEN '<main>' WHEN 2 THEN '<div class="post content">' ELSE '<div id="content">' END),
+    '</article>', CASE page_id % 4 WHEN 0 THEN '</article>' WHEN 1 THEN '</main>' ELSE '</div>' END) AS html
+FROM {pages}
+"""
+
 TABLES = ["events", "conversations", "pages", "documents", "part"]
 
 
@@ -141,6 +155,12 @@ def spark_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(view, **used)
 
 
+def spread_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """A view whose rows carry whole texts, one partition per core while the input is small."""
+    used = {t: spread(load_table(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in view}
+    return spark.sql(view, **used)
+
+
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_view(spark, sf_dir, REACTIONS)
 
@@ -154,7 +174,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_view(spark, sf_dir, MARKDOWN)
+    return spread_view(spark, sf_dir, MARKDOWN)
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +186,12 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_view(spark, sf_dir, CODE_PAGES)
+    return spread_view(spark, sf_dir, CODE_PAGES)
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_view(spark, sf_dir, SNIPPETS)
+    return spread_view(spark, sf_dir, SNIPPETS)
+
+
+def meta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_view(spark, sf_dir, META_PAGES)

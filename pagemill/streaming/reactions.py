@@ -35,9 +35,14 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """File source for the event feed; a queue source with the same columns can take its place."""
+    """File source for the event feed; a queue source with the same columns can take its place.
+
+    The path may be a folder or a single file. Given as a pattern it serves for both, while a plain
+    path must be a folder.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
 def _count(_key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
