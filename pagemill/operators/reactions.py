@@ -26,12 +26,14 @@ def running_count(
     delta: str | None = None,
     time_col: str = "ts",
     bucket: str = "minute",
+    prior: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``n``: how many events of the key there are up to and including this one.
 
     One key may hold a third of all events, so no window runs over a whole key. Events are counted
     per key and time bucket (combined before the shuffle), the bucket totals are summed up in time
-    order, and the rows are ranked inside their bucket only.
+    order, and the rows are ranked inside their bucket only. ``prior`` has one row per key with the
+    count ``n`` before these events; it meets the bucket totals and never the events themselves.
     """
     amount = F.col(delta) if delta else F.lit(1)
     b = "__bucket"
@@ -39,6 +41,9 @@ def running_count(
     totals = tagged.groupBy(*keys, b).agg(F.sum(amount).alias("__total"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, b, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    if prior is not None:
+        started = offsets.join(prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
+        offsets = started.select(*keys, b, (F.col("__before") + F.coalesce("__prior", F.lit(0))).alias("__before"))
     local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = tagged.join(offsets, [*keys, b])
     count = (F.col("__before") + F.sum(amount).over(local)).cast("bigint")
@@ -135,8 +140,12 @@ def route_counted(counted: DataFrame, guilds: DataFrame, routes: list[Route] | N
     return routed.select("event_id", "ts", "guild_id", "channel_id", "message_id", "user_id", "emoji_name", "n", "action")
 
 
-def reaction_counts(reactions: DataFrame) -> DataFrame:
-    return running_count(reactions, ["message_id", "emoji_name"], ["ts", "event_id"])
+COUNT_KEY = ["message_id", "emoji_name"]
+
+
+def reaction_counts(reactions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Reactions with ``n``, the count of their (message, emoji) at each event."""
+    return running_count(reactions, COUNT_KEY, ["ts", "event_id"], prior=prior)
 
 
 def route_reactions(reactions: DataFrame, guilds: DataFrame, routes: list[Route] | None = None) -> DataFrame:

@@ -458,7 +458,7 @@ def reaction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "routed")
     start_routing(spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), out).awaitTermination()
-    return spark.read.parquet(out).select(*ROUTED)
+    return spark.read.parquet(f"{out}/routed").select(*ROUTED)
 
 
 @query
@@ -472,4 +472,4 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "routed")
     start_routing(spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), out).awaitTermination()
-    return first_actions(spark.read.parquet(out)).select("message_id", "action", "event_id")
+    return first_actions(spark.read.parquet(f"{out}/routed")).select("message_id", "action", "event_id")

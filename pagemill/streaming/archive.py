@@ -29,6 +29,7 @@ def start_archiving(
 
     def archive(routed: DataFrame, batch_id: int) -> None:
         asked = routed.where(F.col("action") == "link").select("message_id")
-        run_archive(spark, messages.join(asked, "message_id", "left_semi"), pages, archived_at, f"{out}/archive/batch_id={batch_id}", mode="overwrite")
+        wanted = messages.join(asked, "message_id", "left_semi")
+        run_archive(spark, wanted, pages, archived_at, f"{out}/archive/batch_id={batch_id}", mode="overwrite")
 
-    return start_routing(spark, events, load_settings, f"{out}/routed", checkpoint, after_batch=archive)
+    return start_routing(spark, events, load_settings, out, checkpoint, after_batch=archive)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.reactions import Route, route_counted
+from ..operators.reactions import COUNT_KEY, Route, reaction_counts, route_counted
 from ..session import shared_dir
 
 # The counting function runs in Python workers and travels with the plan.
@@ -57,9 +57,13 @@ def _count(_key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def counted_stream(events: DataFrame) -> DataFrame:
-    """Events with ``n``, the count of their (message, emoji) at arrival; bots are included."""
+    """Events with ``n``, the count of their (message, emoji) at arrival; bots are included.
+
+    Keyed state for low latency: one number per key, no table to read. For bulk routing
+    ``start_routing`` keeps its counts in a table instead.
+    """
     typed = events.select(*[F.col(name).cast(kind).alias(name) for name, kind in EVENT_FIELDS])
-    return typed.groupBy("message_id", "emoji_name").applyInPandasWithState(
+    return typed.groupBy(*COUNT_KEY).applyInPandasWithState(
         _count, COUNTED, "n bigint", "append", GroupStateTimeout.NoTimeout
     )
 
@@ -69,6 +73,41 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+COMPACT_EVERY = 16
+
+
+class CountLog:
+    """Counts per (message, emoji) as a table in the shared folder, one folder per micro-batch.
+
+    Every batch writes its own increments; every ``COMPACT_EVERY`` batches they are folded into a
+    snapshot. Folder names follow from the batch id, so a replayed batch reads and writes what it
+    did before. All work is joins and sums on the whole batch, where a keyed Python state would
+    call into Python once per key.
+    """
+
+    def __init__(self, root: str, every: int = COMPACT_EVERY) -> None:
+        self.root = root
+        self.every = every
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """Counts of all batches before ``batch_id``, or None for the first one."""
+        base = batch_id // self.every * self.every
+        paths = [f"{self.root}/snapshot/{base}"] if base else []
+        paths += [f"{self.root}/delta/{number}" for number in range(base, batch_id)]
+        if not paths:
+            return None
+        return spark.read.parquet(*paths).groupBy(*COUNT_KEY).agg(F.sum("n").alias("n"))
+
+    def add(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+        """Write the increments of a batch, and the snapshot that the next batch starts from."""
+        counts = batch.groupBy(*COUNT_KEY).agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{self.root}/delta/{batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.before(spark, batch_id).unionByName(counts).groupBy(*COUNT_KEY).agg(F.sum("n").alias("n")).write.mode(
+                "overwrite"
+            ).parquet(f"{self.root}/snapshot/{batch_id + 1}")
+
+
 def start_routing(
     spark: SparkSession,
     events: DataFrame,
@@ -77,22 +116,26 @@ def start_routing(
     checkpoint: str | None = None,
     routes: list[Route] | None = None,
     after_batch: Callable[[DataFrame, int], None] | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Route a stream of reactions into ``out/batch_id=N``.
+    """Route a stream of reactions into ``out/routed/batch_id=N``, with counts in ``out/counts``.
 
     Settings are read again for every micro-batch, so changes need no flush. A replayed batch
-    overwrites its own folder. ``after_batch`` gets the routed rows as read back from there.
+    overwrites its own folders. ``after_batch`` gets the routed rows as read back from there.
     """
-    use_rocksdb(spark)
+    log = CountLog(f"{out}/counts", compact_every)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{out}/batch_id={batch_id}"
-        route_counted(batch, load_settings(), routes).write.mode("overwrite").parquet(folder)
+        session = batch.sparkSession
+        counted = reaction_counts(batch, log.before(session, batch_id))
+        folder = f"{out}/routed/batch_id={batch_id}"
+        route_counted(counted, load_settings(), routes).write.mode("overwrite").parquet(folder)
+        log.add(session, batch, batch_id)
         if after_batch:
-            after_batch(batch.sparkSession.read.parquet(folder), batch_id)
+            after_batch(session.read.parquet(folder), batch_id)
 
-    writer = counted_stream(events).writeStream.foreachBatch(route).outputMode("append")
-    return writer.option("checkpointLocation", checkpoint or shared_dir(spark, "routing-state")).trigger(availableNow=True).start()
+    writer = events.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint or shared_dir(spark, "routing-state"))
+    return writer.trigger(availableNow=True).start()
 
 
 def start_counting(spark: SparkSession, events: DataFrame, out: str, checkpoint: str | None = None) -> StreamingQuery:
