@@ -186,10 +186,11 @@ def iso_millis(ts: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-# Date shapes tried in order after the ISO forms that a plain cast accepts.
+# Date shapes tried in order after the ISO forms that a plain cast accepts. A leading
+# weekday is dropped before.
 DATE_FORMATS = [
-    "EEE, d MMM yyyy HH:mm:ss zzz",
-    "EEE, d MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss zzz",
+    "d MMM yyyy HH:mm:ss Z",
     "MMMM d, yyyy HH:mm:ss",
     "MMMM d, yyyy",
     "MMM d, yyyy",
@@ -202,13 +203,9 @@ DATE_FORMATS = [
 def parse_date(c: Column) -> Column:
     """Lenient date parse; NULL when no shape fits."""
     text = trim_ws(c)
-    named = text.rlike(r"[A-Za-z]{3}|/")
-    attempts = [F.expr("NULL").cast("timestamp")]
     iso = F.when(text.rlike(r"\A[0-9]{4}(-[0-9]{1,2}){0,2}\z|\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), text)
-    attempts.append(F.try_to_timestamp(iso))
-    for fmt in DATE_FORMATS:
-        attempts.append(F.try_to_timestamp(F.when(named, F.regexp_replace(text, r"^[A-Za-z]{3}, ", "") if not fmt.startswith("EEE") else F.lit(None)), F.lit(fmt)))
-    return F.coalesce(*attempts)
+    named = F.when(text.rlike(r"[A-Za-z]{3}|/"), F.regexp_replace(text, r"\A[A-Za-z]{3,9}, ", ""))
+    return F.coalesce(F.try_to_timestamp(iso), *[F.try_to_timestamp(named, F.lit(shape)) for shape in DATE_FORMATS])
 
 
 def truncate_text(c: Column, max_length: int = 8000, floor: float = 0.8) -> Column:
