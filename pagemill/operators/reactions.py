@@ -25,29 +25,38 @@ def running_count(
     order: list[str],
     delta: str | None = None,
     time_col: str = "ts",
-    bucket: str = "minute",
+    buckets: tuple[str, str] = ("hour", "second"),
     prior: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``n``: how many events of the key there are up to and including this one.
 
     One key may hold a third of all events, so no window runs over a whole key. Events are counted
-    per key and time bucket (combined before the shuffle), the bucket totals are summed up in time
-    order, and the rows are ranked inside their bucket only. ``prior`` has one row per key with the
-    count ``n`` before these events; it meets the bucket totals and never the events themselves.
+    per key and fine time bucket (combined before the shuffle); these totals are summed up within
+    their coarse bucket, and the coarse totals within the key; the rows are ranked inside their fine
+    bucket only. ``prior`` has one row per key with the count ``n`` before these events; it meets
+    the coarse totals and never the events themselves.
     """
     amount = F.col(delta) if delta else F.lit(1)
-    b = "__bucket"
-    tagged = events.withColumn(b, F.date_trunc(bucket, F.col(time_col)))
-    totals = tagged.groupBy(*keys, b).agg(F.sum(amount).alias("__total"))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    coarse, fine = "__coarse", "__fine"
+    tagged = events.withColumns({coarse: F.date_trunc(buckets[0], F.col(time_col)), fine: F.date_trunc(buckets[1], F.col(time_col))})
+
+    def sum_before(total: str, group: list[str], by: str) -> Column:
+        earlier = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(total).over(earlier), F.lit(0))
+
+    fine_totals = tagged.groupBy(*keys, coarse, fine).agg(F.sum(amount).alias("__n"))
+    fine_before = fine_totals.withColumn("__fine_before", sum_before("__n", [*keys, coarse], fine))
+    coarse_totals = fine_totals.groupBy(*keys, coarse).agg(F.sum("__n").alias("__n"))
+    coarse_before = coarse_totals.select(*keys, coarse, sum_before("__n", keys, coarse).alias("__coarse_before"))
+    start = F.col("__coarse_before") + F.col("__fine_before")
     if prior is not None:
-        started = offsets.join(prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
-        offsets = started.select(*keys, b, (F.col("__before") + F.coalesce("__prior", F.lit(0))).alias("__before"))
-    local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tagged.join(offsets, [*keys, b])
+        coarse_before = coarse_before.join(prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
+        start = start + F.coalesce("__prior", F.lit(0))
+    offsets = fine_before.join(coarse_before, [*keys, coarse]).select(*keys, fine, start.alias("__before"))
+    local = Window.partitionBy(*keys, fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tagged.join(offsets, [*keys, fine])
     count = (F.col("__before") + F.sum(amount).over(local)).cast("bigint")
-    return ranked.withColumn("n", count).drop(b, "__before")
+    return ranked.withColumn("n", count).drop(coarse, fine, "__before")
 
 
 def matches_emoji(setting: str, default: str) -> Column:
@@ -140,12 +149,17 @@ def route_counted(counted: DataFrame, guilds: DataFrame, routes: list[Route] | N
     return routed.select("event_id", "ts", "guild_id", "channel_id", "message_id", "user_id", "emoji_name", "n", "action")
 
 
-COUNT_KEY = ["message_id", "emoji_name"]
+COUNT_KEY = ["message_id", "emoji_key"]
+
+
+def with_emoji_key(reactions: DataFrame) -> DataFrame:
+    """The identity of the emoji: its id for a custom one, else its name; never NULL."""
+    return reactions.withColumn("emoji_key", F.coalesce("emoji_id", "emoji_name", F.lit("")))
 
 
 def reaction_counts(reactions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Reactions with ``n``, the count of their (message, emoji) at each event."""
-    return running_count(reactions, COUNT_KEY, ["ts", "event_id"], prior=prior)
+    return running_count(with_emoji_key(reactions), COUNT_KEY, ["ts", "event_id"], prior=prior).drop("emoji_key")
 
 
 def route_reactions(reactions: DataFrame, guilds: DataFrame, routes: list[Route] | None = None) -> DataFrame:

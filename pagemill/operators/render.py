@@ -138,6 +138,7 @@ BREAK = f"[{PARA}{LINE}]([^{END}]*){END}"
 BREAK_ANY = f"[{PARA}{LINE}][^{END}]*{END}"
 OPENERS = f"[{STRONG_ON}{EM_ON}{CODE_ON}{LINK_ON}]"
 CLOSERS = f"(?:[{STRONG_OFF}{EM_OFF}{CODE_OFF}]|{LINK_OFF}[^{LINK_END}]*{LINK_END})"
+MARKS_RANGE = f"{STRONG_ON}-{LINK_END}"
 INLINE = f"(?:{OPENERS}|{CLOSERS})"
 
 
@@ -162,8 +163,8 @@ def settle(marked: Column) -> Column:
     out = marked
     # Blanks move out of inline marks, collapse across them and vanish at line breaks.
     out = F.regexp_replace(out, f"({OPENERS}+) +", " $1")
-    out = F.regexp_replace(out, f" +({CLOSERS}+)", "$1 ")
-    out = F.regexp_replace(out, f" ({INLINE}*+) +", " $1")
+    out = F.regexp_replace(out, f" +(?=[{STRONG_OFF}{EM_OFF}{CODE_OFF}{LINK_OFF}])({CLOSERS}+)", "$1 ")
+    out = F.regexp_replace(out, f" (?=[ {MARKS_RANGE}])({INLINE}*+) +", " $1")
     for _ in range(3):
         out = F.regexp_replace(out, f"{STRONG_ON}{STRONG_OFF}|{EM_ON}{EM_OFF}|{CODE_ON}{CODE_OFF}", "")
     out = F.regexp_replace(out, f" +(?=[{PARA}{LINE}{SOFT}])", "")
@@ -174,11 +175,13 @@ def settle(marked: Column) -> Column:
     out = F.regexp_replace(out, f"(?<={END}){ESCAPED_AT_START}", r"\\$1")
     # A run of breaks is one break: a blank line when any of them asks for it. Quote marks stay on
     # the blank line only where both sides are quoted.
-    asks = f"(?<!{END})(?=(?:{LINE}[^{END}]*{END})*+{PARA})"
+    # A one-character test comes first, because the patterns are tried at every character.
+    at_break = f"(?=[{PARA}{LINE}])"
+    asks = f"{at_break}(?<!{END})(?=(?:{LINE}[^{END}]*{END})*+{PARA})"
     middle = f"(?:{BREAK_ANY}(?=[{PARA}{LINE}]))*+"
     out = F.regexp_replace(out, f"{asks}{BREAK}{middle}[{PARA}{LINE}](\\1[^{END}]*){END}", "\n$1\n$2")
     out = F.regexp_replace(out, f"{asks}{middle}{BREAK}", "\n$1\n$1")
-    out = F.regexp_replace(out, f"{middle}{BREAK}", "\n$1")
+    out = F.regexp_replace(out, f"{at_break}{middle}{BREAK}", "\n$1")
     out = F.regexp_replace(out, f"{SOFT}([^{SOFT_END}]*){SOFT_END}", "  \n$1")
     out = F.regexp_replace(out, f"{HEAD_ON}(#+){HEAD_OFF}", "$1 ")
     for mark, text in PLAIN_MARKS:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.reactions import COUNT_KEY, Route, reaction_counts, route_counted
+from ..operators.reactions import COUNT_KEY, Route, reaction_counts, route_counted, with_emoji_key
 from ..session import shared_dir
 
 # The counting function runs in Python workers and travels with the plan.
@@ -49,7 +49,7 @@ def _count(_key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """Number the events of one (message, emoji). Batches stream through; the state is one number."""
     n = state.get[0] if state.exists else 0
     for batch in batches:
-        ordered = batch.sort_values(["ts", "event_id"])
+        ordered = batch.drop(columns="emoji_key").sort_values(["ts", "event_id"])
         ordered["n"] = range(n + 1, n + 1 + len(ordered))
         n += len(ordered)
         yield ordered
@@ -63,7 +63,7 @@ def counted_stream(events: DataFrame) -> DataFrame:
     ``start_routing`` keeps its counts in a table instead.
     """
     typed = events.select(*[F.col(name).cast(kind).alias(name) for name, kind in EVENT_FIELDS])
-    return typed.groupBy(*COUNT_KEY).applyInPandasWithState(
+    return with_emoji_key(typed).groupBy(*COUNT_KEY).applyInPandasWithState(
         _count, COUNTED, "n bigint", "append", GroupStateTimeout.NoTimeout
     )
 
@@ -100,7 +100,7 @@ class CountLog:
 
     def add(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         """Write the increments of a batch, and the snapshot that the next batch starts from."""
-        counts = batch.groupBy(*COUNT_KEY).agg(F.count("*").alias("n"))
+        counts = with_emoji_key(batch).groupBy(*COUNT_KEY).agg(F.count("*").alias("n"))
         counts.write.mode("overwrite").parquet(f"{self.root}/delta/{batch_id}")
         if (batch_id + 1) % self.every == 0:
             self.before(spark, batch_id).unionByName(counts).groupBy(*COUNT_KEY).agg(F.sum("n").alias("n")).write.mode(
