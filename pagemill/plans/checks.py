@@ -246,7 +246,10 @@ dv3 AS (
 
 
 def decode_html(c: str) -> str:
-    return f"replace(replace(replace({c}, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
+    """Entities that occur in the pages; browsers accept them without the semicolon too."""
+    for name, char in [("quot", '"'), ("lt", "<"), ("amp", "&")]:
+        c = f"regexp_replace({c}, '&{name};?', {quote(char)}, 'g')"
+    return c
 
 
 TITLE = trim(decode_html("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
