@@ -137,15 +137,15 @@ def sentences(c: str) -> str:
     return f"list_filter(string_split({marked}, chr(1)), lambda s: {trim('s')} <> '')"
 
 
-def sentence_pack(prefix: str, source: str, key: str) -> str:
-    """Sentence packing over ``source(key, text)``: ``{prefix}_pieces(key, seq, piece)`` where valid."""
-    p = prefix
+def pack_items(p: str, key: str, joiner: str, width: int) -> str:
+    """Greedy packing of ``{p}_items(key, n, s, len)``: ``{p}_pieces(key, seq, piece)`` where valid.
+
+    Groups over the limit are cut by characters. A split is valid when it has several pieces and
+    each holds an even number of fences.
+    """
     return f"""
-{p}_s0 AS (SELECT {key}, {sentences("text")} AS ss FROM {source}),
-{p}_s1 AS (SELECT {key}, ss FROM {p}_s0 WHERE len(ss) > 1),
-{p}_items AS (SELECT {key}, n, s, length(s) AS len FROM (SELECT {key}, unnest(generate_series(1, len(ss))) AS n, unnest(ss) AS s FROM {p}_s1)),
-{fold(p + "_fold", p + "_items", key, MAX_CHARS, 1)},
-{p}_groups AS (SELECT i.{key} AS {key}, f.g, string_agg(i.s, ' ' ORDER BY i.n) AS text FROM {p}_items i JOIN {p}_fold f ON f.{key} = i.{key} AND f.n = i.n GROUP BY i.{key}, f.g),
+{fold(p + "_fold", p + "_items", key, MAX_CHARS, width)},
+{p}_groups AS (SELECT i.{key} AS {key}, f.g, string_agg(i.s, {joiner} ORDER BY i.n) AS text FROM {p}_items i JOIN {p}_fold f ON f.{key} = i.{key} AND f.n = i.n GROUP BY i.{key}, f.g),
 {p}_long AS (SELECT {key} || '|' || lpad(CAST(g AS VARCHAR), 9, '0') AS kg, text FROM {p}_groups WHERE length(text) > {MAX_CHARS}),
 {cut_chars(p + "_cut", p + "_long", "kg")},
 {p}_all AS (SELECT {key}, g, 0 AS j, {trim("text")} AS piece FROM {p}_groups WHERE length(text) <= {MAX_CHARS}
@@ -155,6 +155,28 @@ def sentence_pack(prefix: str, source: str, key: str) -> str:
   FROM {p}_all a JOIN {p}_ok o ON o.{key} = a.{key})"""
 
 
+def sentence_pack(prefix: str, source: str, key: str) -> str:
+    """Sentence packing over ``source(key, text)``."""
+    p = prefix
+    return f"""
+{p}_s0 AS (SELECT {key}, {sentences("text")} AS ss FROM {source}),
+{p}_s1 AS (SELECT {key}, ss FROM {p}_s0 WHERE len(ss) > 1),
+{p}_items AS (SELECT {key}, n, s, length(s) AS len FROM (SELECT {key}, unnest(generate_series(1, len(ss))) AS n, unnest(ss) AS s FROM {p}_s1)),
+{pack_items(p, key, "' '", 1)}"""
+
+
+RULE = f"(?m)^[-*_](?:[{WS}]*[-*_]){{2,}}$"
+
+
+def rule_parts(source: str) -> str:
+    """``ru(doc_id, seq, content)`` for texts of ``source`` with at least one rule."""
+    return f"""
+ru0 AS (SELECT doc_id, parts FROM (SELECT doc_id, string_split_regex(text, '{RULE}') AS parts FROM {source}) WHERE len(parts) > 1),
+ru1 AS (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM ru0),
+ru2 AS (SELECT doc_id, 2 * i AS o, {trim("parts[i]")} AS content FROM ru1 UNION ALL SELECT doc_id, 2 * i + 1, {quote(STRUCK_RULE)} FROM ru1 WHERE i < len(parts)),
+ru AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS seq, content FROM ru2 WHERE content <> '')"""
+
+
 IMAGES = f"""
 cleaned AS (SELECT doc_id, {display("text")} AS text FROM absolute),
 im0 AS (SELECT doc_id, string_split_regex(text, '{IMAGE}') AS parts, regexp_extract_all(text, '{IMAGE}') AS found FROM cleaned),
@@ -378,11 +400,51 @@ cu AS (SELECT doc_id, string_agg(parts[i] || coalesce(code[i], ''), '' ORDER BY
 
 CODE_BODY = f"""'x = "' || {decode_html("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} || '";' || {LF} || 'y < 1'"""
 
-PARAGRAPHS = f"""
-pg0 AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, {LF}) AS ls FROM md)),
+
+
+def paragraphs(source: str) -> str:
+    """``pg(doc_id, seq, content)``: plain runs of lines and single structural lines."""
+    return f"""
+pg0 AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, {LF}) AS ls FROM {source})),
 pg1 AS (SELECT *, ({LINE_KIND}) IS NOT NULL AS alone, {LINE} = '' AS blank FROM pg0),
 pg2 AS (SELECT *, CASE WHEN blank THEN 0 WHEN alone OR n = 1 OR lag(alone) OVER w OR lag(blank) OVER w THEN 1 ELSE 0 END AS opens FROM pg1 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-pg3 AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM pg2)"""
+pg3 AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k FROM pg2),
+pg AS (SELECT doc_id, CAST(k AS BIGINT) AS seq, string_agg(line, {LF} ORDER BY n) AS content FROM pg3 WHERE NOT blank GROUP BY doc_id, k)"""
+
+
+# Rules first, then paragraphs, then sentences of a long text, then characters.
+CASCADE = f"""
+{rule_parts("cleaned")},
+unruled AS (SELECT doc_id, text FROM cleaned WHERE doc_id NOT IN (SELECT doc_id FROM ru)),
+{paragraphs("unruled")},
+pp_items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n, {trim("content")} AS s, length({trim("content")}) AS len FROM pg),
+{pack_items("pp", "doc_id", f"{LF} || {LF}", 2)},
+rest AS (SELECT doc_id, text FROM unruled WHERE doc_id NOT IN (SELECT doc_id FROM pp_ok)),
+rest_long AS (SELECT doc_id, text FROM rest WHERE length(text) > {MAX_CHARS}),
+{sentence_pack("ps", "rest_long", "doc_id")},
+rest_chars AS (SELECT doc_id, text FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM ps_ok)),
+{cut_chars("pc", "rest_chars", "doc_id")},
+ca AS (SELECT doc_id, seq, content FROM ru UNION ALL SELECT doc_id, seq, piece FROM pp_pieces UNION ALL SELECT doc_id, seq, piece FROM ps_pieces
+  UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1, piece FROM pc)"""
+
+
+def escaped(c: str) -> str:
+    out = f"regexp_replace({c}, '([\\\\*`_\\[\\]])', '\\\\\\1', 'g')"
+    out = f"regexp_replace({out}, '^(-|\\+ |=+|#{{1,6}} |~~~|>)', '\\\\\\1')"
+    return f"regexp_replace({out}, '^([0-9]+)\\. ', '\\1\\\\. ')"
+
+
+# The pages hold a heading and paragraphs. A bold start is never closed, so it goes on in every later
+# paragraph; at most three of them are reopened, and a new one comes on top.
+PAGE_MARKDOWN = f"""
+WITH pm0 AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS parts FROM pages),
+pm1 AS (SELECT page_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS part FROM pm0),
+pm2 AS (SELECT *, starts_with(part, '<b>') AS opens, contains(part, '<br>') AS breaks,
+    coalesce(sum(CASE WHEN starts_with(part, '<b>') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    {escaped(collapse(decode_html(strip("part"))))} AS text FROM pm1),
+pm3 AS (SELECT *, repeat('**', CAST(least(before, 3) + CASE WHEN opens THEN 1 ELSE 0 END AS INT)) AS stars FROM pm2),
+pm AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN '# ' || text ELSE stars || text || CASE WHEN breaks THEN {LF} ELSE '' END || stars END, {LF} || {LF} ORDER BY i) AS markdown
+  FROM pm3 WHERE text <> '' GROUP BY page_id)"""
 
 
 def all_checks() -> dict[str, str]:
@@ -430,7 +492,11 @@ def all_checks() -> dict[str, str]:
             count(*) FILTER (len(regexp_extract_all(content, '```')) % 2 = 1) AS n_odd_fences FROM chunks GROUP BY type""",
         "delivery_chunks": f"""{TO_CHUNKS}, {DELIVERY} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS seq,
             count(*) OVER (PARTITION BY doc_id) AS n_chunks, type, content, language FROM dv3""",
-        "markdown_paragraphs": f"WITH {MARKDOWN}, {PARAGRAPHS} SELECT doc_id, CAST(seq AS BIGINT) AS seq, string_agg(line, {LF} ORDER BY n) AS content FROM pg3 WHERE NOT blank GROUP BY doc_id, seq",
+        "markdown_paragraphs": f"WITH {MARKDOWN}, {paragraphs('md')} SELECT doc_id, seq, content FROM pg",
+        "split_rules": f"WITH {MARKDOWN}, {rule_parts('md')} SELECT doc_id, seq, content FROM ru",
+        "chunk_cascade": f"""WITH RECURSIVE {MARKDOWN}, {ABSOLUTE}, cleaned AS (SELECT doc_id, {display("text")} AS text FROM absolute), {CASCADE}
+            SELECT doc_id, seq, count(*) OVER (PARTITION BY doc_id) AS n_chunks, 'paragraph' AS type, content, CAST(NULL AS VARCHAR) AS language FROM ca""",
+        "page_markdown": f"{PAGE_MARKDOWN} SELECT page_id, markdown FROM pm",
         "page_metadata": f"WITH {META_PAGES}, {META} SELECT page_id, title, author, published, description, site_name FROM meta",
         "main_region": f"WITH {META_PAGES}, {REGION} SELECT page_id, selector, n_chars, total_chars, round(s, 6) AS score FROM rg",
         "dom_descendants": "SELECT page_id, 1 + 2 * len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<li>')) AS n_descendants FROM pages",
