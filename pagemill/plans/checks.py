@@ -311,13 +311,17 @@ rg0 AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'main
 rg AS (SELECT *, (CAST(n_chars AS DOUBLE) / total_chars * 100) * CASE selector WHEN 'article' THEN 3.0::DOUBLE WHEN 'main' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END
    * CASE WHEN n_chars < 100 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS s FROM rg0)"""
 
-RECORDS = f"""
+def records(content: str, source: str = "pages") -> str:
+    """``rc``: one record per address; ``jn``: links with their record."""
+    return f"""
 rc0 AS (SELECT {KEY} AS key, min(page_id) AS page_id FROM pages GROUP BY 1),
-rc AS (SELECT r.key, p.page_id, p.url, {TITLE} AS title, {site("p.url")} AS site_name,
-   {trim(decode_code(strip("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")))} AS content FROM rc0 r JOIN pages p ON p.page_id = r.page_id),
+rc AS (SELECT r.key, p.page_id, p.url, {TITLE} AS title, {site("p.url")} AS site_name, {content} AS content FROM rc0 r JOIN {source} p ON p.page_id = r.page_id),
 jn AS (SELECT l.message_id, l.pos, l.url, r.page_id, r.title, r.site_name, r.content FROM links l LEFT JOIN rc r ON r.key = regexp_replace(l.url, '#.*$', ''))"""
 
 
+RECORDS = records(trim(decode_code(strip("regexp_extract(html, '(?s)<article>(.*)</article>', 1)"))))
+
+
 def json_text(c: str) -> str:
     return f"CAST(to_json({c}) AS VARCHAR)"
 
@@ -437,7 +441,7 @@ def escaped(c: str) -> str:
 # The pages hold a heading and paragraphs. A bold start is never closed, so it goes on in every later
 # paragraph; at most three of them are reopened, and a new one comes on top.
 PAGE_MARKDOWN = f"""
-WITH pm0 AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS parts FROM pages),
+pm0 AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS parts FROM pages),
 pm1 AS (SELECT page_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS part FROM pm0),
 pm2 AS (SELECT *, starts_with(part, '<b>') AS opens, contains(part, '<br>') AS breaks,
     coalesce(sum(CASE WHEN starts_with(part, '<b>') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
@@ -496,7 +500,16 @@ def all_checks() -> dict[str, str]:
         "split_rules": f"WITH {MARKDOWN}, {rule_parts('md')} SELECT doc_id, seq, content FROM ru",
         "chunk_cascade": f"""WITH RECURSIVE {MARKDOWN}, {ABSOLUTE}, cleaned AS (SELECT doc_id, {display("text")} AS text FROM absolute), {CASCADE}
             SELECT doc_id, seq, count(*) OVER (PARTITION BY doc_id) AS n_chunks, 'paragraph' AS type, content, CAST(NULL AS VARCHAR) AS language FROM ca""",
-        "page_markdown": f"{PAGE_MARKDOWN} SELECT page_id, markdown FROM pm",
+        "page_markdown": f"WITH {PAGE_MARKDOWN} SELECT page_id, markdown FROM pm",
+        "scrape_pages": f"""WITH {PAGE_MARKDOWN} SELECT p.page_id, p.url, {TITLE} AS title, markdown AS content, CAST(NULL AS VARCHAR) AS author,
+            CAST(NULL AS TIMESTAMP) AS published_at, CAST(NULL AS VARCHAR) AS description, {site("p.url")} AS site_name FROM pages p JOIN pm ON pm.page_id = p.page_id""",
+        "page_chunks": f"""WITH RECURSIVE {PAGE_MARKDOWN}, absolute AS (SELECT page_id AS doc_id, markdown AS text FROM pm), {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}
+            SELECT doc_id AS page_id, seq, n_chunks, type, content, language FROM chunks""",
+        "archive_outbox": f"""WITH RECURSIVE {MESSAGES}, {LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
+            {records("markdown", "pmp")}, {BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
+            {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}, {DELIVERY}
+            SELECT doc_id AS message_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS seq,
+            count(*) OVER (PARTITION BY doc_id) AS n_chunks, type, content, language FROM dv3""",
         "page_metadata": f"WITH {META_PAGES}, {META} SELECT page_id, title, author, published, description, site_name FROM meta",
         "main_region": f"WITH {META_PAGES}, {REGION} SELECT page_id, selector, n_chars, total_chars, round(s, 6) AS score FROM rg",
         "dom_descendants": "SELECT page_id, 1 + 2 * len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<li>')) AS n_descendants FROM pages",
