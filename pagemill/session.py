@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +29,13 @@ def build_session(app_name: str = "pagemill", master: str | None = None, shuffle
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table.
 
-    It lies under ``spark.checkpoint.dir``, which every executor can read. Only where that is
-    unset (local tests) is a temporary folder made and remembered in the session.
+    It lies under ``spark.checkpoint.dir``, which every executor can read. A cluster must set it;
+    only a session whose executors are threads of the driver (``local[n]``) gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}") if "://" not in root else f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
