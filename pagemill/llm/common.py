@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import pagemill
 from pagemill.session import shared_dir
 
 
@@ -22,6 +27,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_sent", None) != context.applicationId:
+        package = Path(pagemill.__file__).parent
+        file = Path(tempfile.mkdtemp(prefix="pagemill-"), "pagemill.zip")
+        with zipfile.ZipFile(file, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(file))
+        context._pagemill_sent = context.applicationId
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]]
 ) -> DataFrame:
@@ -38,6 +56,7 @@ def map_batches(
         if hasattr(one, "rest"):
             yield from one.rest()
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

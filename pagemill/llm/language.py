@@ -29,7 +29,7 @@ class Centroids:
     fit_rows: int = 500
     rounds: int = 8
     judged: int = 40
-    reach: float = 1.1
+    reach: float = 1.5
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import written
+
 #: Sources below this share of the rows are scheduled together, as one.
 POOLED = "(pooled)"
 NO_SOURCE = "(none)"
@@ -137,7 +139,7 @@ def mix(rows: DataFrame, source: str, key: str, weights: dict[str, int], p: Mix
     offsets = sizes.select("mix_source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     # The first slot without a block: a source of n rows has n / block_rows blocks, and its next one is due then.
     blocks = sizes.groupBy("mix_source").agg(F.ceil(F.sum("__n") / p.block_rows).alias("blocks"))
-    plan = schedule(spark, weights)
+    plan = written(schedule(spark, weights), "plan")  # folded once
     units = spark.createDataFrame([(s, w) for s, w in weights.items()], "mix_source string, __w long")
     dry = (
         units.join(blocks, "mix_source", "left")

@@ -264,8 +264,10 @@ class _Numbered(dict):
         return value
 
 
-#: One for each Python worker, so that what it remembers serves the next task too.
-_encoder = lru_cache(maxsize=1)(Encoder)
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """One for each Python worker, so that what it remembers serves the next task too."""
+    return Encoder(vocabulary)
 
 
 class Decoder:

@@ -26,8 +26,8 @@ class Divergence:
     Common words of a language are those that make up at least 1 / ``common`` of its words.
     """
 
-    chars: float = 0.35
-    words: float = 0.75
+    chars: float = 0.28
+    words: float = 0.52
     min_chars: int = 200
     min_words: int = 100
     common: int = 1000
