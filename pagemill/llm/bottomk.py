@@ -3,10 +3,13 @@
 1. Every document gets its set of word shingles (64-bit hashes). Documents with one set are one class.
 2. A class keeps the k smallest hashes of its set, its sketch. Retained values point back to classes
    (inverted lists). Of two sketches that overlap enough, the rarest values must overlap too, so only
-   those are listed: rare first in one order for all, the order of a fixed-size table of counts.
-3. Long lists link their members to one centre first. What that joins needs no further pairs: later
+   those are listed: rare first in one order for all, the order of a fixed-size table of counts. A list
+   belongs to two values that are neighbours in that order. Lists of single values grow with the corpus;
+   those of two stay short, and each value that two sets do not share parts at most one pair of neighbours:
+   whole sets of union size u >= 5 keep 0.6 u - 1 >= 2 lists in common (smaller ones are equal or unlinked).
+3. Long lists link their members to a few centres first. What that joins needs no further pairs: later
    only members of different components meet.
-4. Pairs that share enough listed values are filtered by the similarity that the sketch of their union
+4. Pairs that share enough lists are filtered by the similarity that the sketch of their union
    estimates, and the rest is verified on full sets.
 """
 
@@ -16,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_batches, written
 from pagemill.llm.graph import components
-from pagemill.llm.shingles import WordHashes, shingle_set
+from pagemill.llm.shingles import WordHashes, mixed, shingle_set
 
 
 @dataclass(frozen=True)
@@ -29,18 +32,20 @@ class Sketching:
     """Parameters of the search.
 
     ``width`` words a shingle; link at ``percent`` / 100 Jaccard similarity or more; ``k`` values a
-    sketch. ``slack`` is the share of a cut sketch that a pair must have in common to be found (0.55:
-    a pair at 0.8 misses it by six standard deviations at k = 96; uncut sketches are exact), and
-    ``shared`` the listed values that two sketches of 32 values or more must share. Lists of more than
-    ``long_list`` members take the star step first. ``count_bits``: size of the table that orders values.
+    sketch. ``slack`` is the share of a cut sketch that a pair must have in common to be found (0.5:
+    a pair at 0.8 misses it by six standard deviations at k = 64; uncut sketches are exact), and
+    ``shared`` the lists that two sketches of 32 values or more must share. Lists of more than ``long_list``
+    members take the star step first, each member with ``centres`` of the centres it has most lists with.
+    ``count_bits``: size of the table that orders values.
     """
 
     width: int = 2
     percent: int = 80
-    k: int = 96
-    slack: float = 0.55
-    shared: int = 4
+    k: int = 64
+    slack: float = 0.5
+    shared: int = 2
     long_list: int = 16
+    centres: int = 2
     count_bits: int = 22
 
     def least_common(self, size: int) -> int:
@@ -50,10 +55,9 @@ class Sketching:
         return -(-size * self.percent // 100) if whole else int(np.ceil(kept * self.slack))
 
     def listed(self, size: int) -> int:
-        """How many of the rarest retained values are listed."""
+        """How many of the rarest retained values are listed; of small sets all."""
         kept = min(size, self.k)
-        extra = self.shared if kept >= 32 else 1
-        return min(kept, kept - self.least_common(size) + extra)
+        return kept if kept < 32 else min(kept, kept - self.least_common(size) + 4)
 
 
 def _sketch_documents(docs: DataFrame, p: Sketching) -> DataFrame:
@@ -116,7 +120,10 @@ def _value_counts(classes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, p: Sketching) -> DataFrame:
-    """(value, rep, n): the rarest retained values of each class; values that no other class can hold are left out."""
+    """(value, rep, n): a row for each two neighbours among the rarest retained values of a class.
+
+    Values that no other class can hold are left out before; ``value`` is a hash of both.
+    """
     counts = classes.sparkSession.sparkContext.broadcast(_value_counts(classes, p.count_bits))
     mask = (1 << p.count_bits) - 1
 
@@ -132,9 +139,11 @@ def _postings(classes: DataFrame, p: Sketching) -> DataFrame:
                 sketch = flat[offsets[i] : offsets[i + 1]]
                 weight = table[sketch & mask]
                 rare = np.lexsort((sketch, weight))[: p.listed(n)]
-                rare = rare[weight[rare] > 1]
-                values.append(sketch[rare])
-                lengths.append(len(rare))
+                rare = sketch[rare[weight[rare] > 1]].astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    pairs = mixed(rare[:-1] * np.uint64(0x9E3779B97F4A7C15) + rare[1:])
+                values.append((pairs >> np.uint64(1)).astype(np.int64))
+                lengths.append(len(pairs))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(values) if values else np.empty(0, np.int64)),
@@ -183,23 +192,52 @@ def _estimated(pairs: DataFrame, classes: DataFrame, p: Sketching) -> DataFrame:
 
         return one
 
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    classes = _only(classes.select("rep", "n", "sketch"), "rep", ends, "rep long, n long, sketch array<long>")
     with_a = pairs.join(classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     return map_batches(with_b.select("a", "b", "na", "nb", "sa", "sb"), "a long, b long, sure boolean", make)
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, p: Sketching, bits: int = 22) -> DataFrame:
-    """(rep, set) of the wanted classes. A bitmap of fixed size spares other documents the trip through a shuffle."""
-    slots = wanted.select(F.shiftright(F.xxhash64("rep"), 64 - bits).alias("slot")).distinct().toArrow()
-    bitmap = np.zeros(1 << bits, bool)
-    bitmap[slots.column("slot").to_numpy() + (1 << (bits - 1))] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+SLOT_BITS = 22
+
+
+def _slot(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - SLOT_BITS).cast("int")
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame, schema: str, make_row=None) -> DataFrame:
+    """``rows`` whose ``key`` is among the keys of ``wanted``, and a few others.
+
+    A bitmap of fixed size (2**SLOT_BITS) goes to the tasks and spares the other rows the trip through
+    a shuffle. ``make_row``: what makes rows of ``schema`` from a batch of those that pass, once a task.
+    """
+    slots = wanted.select(_slot(key).alias("slot")).distinct().toArrow()
+    bitmap = np.zeros(1 << SLOT_BITS, bool)
+    bitmap[slots.column("slot").to_numpy()] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def make():
-        hashes, wanted_slots = WordHashes(), np.unpackbits(sent.value)
+        on = np.unpackbits(sent.value)
+        change = make_row() if make_row else None
 
         def one(batch: pa.RecordBatch):
-            batch = batch.filter(pa.array(wanted_slots[batch.column("slot").to_numpy() + (1 << (bits - 1))] > 0))
+            part = batch.filter(pa.array(on[batch.column(batch.num_columns - 1).to_numpy()] > 0))
+            part = part.select(part.schema.names[:-1])
+            return change(part) if change else part
+
+        return one
+
+    return map_batches(rows.withColumn("__slot", _slot(key)), schema, make)
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, p: Sketching) -> DataFrame:
+    """(rep, set) of the wanted classes."""
+
+    def make_row():
+        hashes = WordHashes()
+
+        def change(batch: pa.RecordBatch):
             for i in range(batch.num_rows):
                 found = shingle_set(batch.column("text")[i].as_py(), p.width, hashes)
                 yield pa.RecordBatch.from_arrays(
@@ -210,14 +248,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: Sketching, bits: int = 22)
                     names=["rep", "set"],
                 )
 
-        return one
+        return change
 
-    rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("rep"),
-        F.shiftright(F.xxhash64(F.col("doc_id").cast("long")), 64 - bits).alias("slot"),
-        F.col("text").cast("string").alias("text"),
-    )
-    return map_batches(rows, "rep long, set array<long>", make)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return _only(rows, "rep", wanted, "rep long, set array<long>", make_row)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: Sketching) -> DataFrame:
@@ -265,20 +299,29 @@ def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFra
         "classes",
     )
     postings = _postings(classes, p)
-    lists = postings.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where("members > 1")
+    lists = (
+        postings.groupBy("value")
+        .agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.max("rep").alias("other_centre"))
+        .where("members > 1")
+    )
     listed = written(postings.join(lists, "value"), "listed")
 
-    # Long lists: every member with the list's first one.
+    # Long lists: every member with the first or last one of most of its lists. A class has a bounded number of lists.
     size = classes.select(F.col("rep").alias("centre"), F.col("n").alias("centre_n"))
+    most_lists = Window.partitionBy("rep").orderBy(F.desc("times"), "centre")
     starred = (
         listed.where(F.col("members") > p.long_list)
+        .select("rep", "n", F.explode(F.array("centre", "other_centre")).alias("centre"))
         .where("rep <> centre")
-        .select("centre", "rep", "n")
-        .distinct()
+        .groupBy("rep", "n", "centre")
+        .agg(F.count("*").alias("times"))
+        .withColumn("place", F.row_number().over(most_lists))
+        .where(F.col("place") <= p.centres)
         .join(size, "centre")
         .where(_sizes_fit(F.col("n"), F.col("centre_n"), p.percent))
         .select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     )
+    starred = written(starred, "starred")
     first = written(_verified(written(_estimated(starred, classes, p), "estimated"), docs, p), "links")
     groups = components(first)
 
@@ -313,6 +356,7 @@ def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFra
         .where((F.col("times") >= p.shared) | (F.col("n") < 32))
         .select("a", "b")
     )
+    met = written(met, "met")
     second = written(_verified(written(_estimated(met, classes, p), "estimated"), docs, p), "links")
     groups = components(first.union(second))
     found = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

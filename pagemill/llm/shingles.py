@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words remembered per task; the memory is emptied beyond this, so that a task's memory stays bounded.
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
 
 
 class WordHashes(dict):
