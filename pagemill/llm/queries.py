@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import bottomk, language, mixing, pieces, quality, secret_scan
+from pagemill.llm import bottomk, language, mixing, pieces, pii, quality, secret_scan, toxicity
 from pagemill.llm.common import read, sample_bucket
 
 PIECES = corpus_pipeline.PIECES
@@ -22,12 +22,22 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", sample_bucket(F.col("doc_id"), 5) == 0)
     model = language.fit(docs.where("not held_out"))
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", sample_bucket(F.col("doc_id"), 3) == 1)
+    labels = read(spark, sf_dir, "labels").where(sample_bucket(F.col("doc_id"), 3) != 1)
+    return toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "held_out"])
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -50,7 +60,9 @@ def op10_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op3_pii": op3_pii,
     "op5_language": op5_language,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
