@@ -19,36 +19,40 @@ class KneserNey:
     """Parameters.
 
     About ``fit_rows`` labelled documents teach: two thirds give counts, one third calibrates. Words are
-    hashed to 2**``word_bits`` columns and word pairs to 2**``pair_bits``, so the model has one size. Pairs
-    seen once are left to the backoff. ``discounts`` are taken off counts of 1, 2 and 3 or more; a full
+    hashed to 2**``word_bits`` columns, and at most ``pair_rows`` word pairs, the most frequent ones, have
+    counts of their own, so the model's size is bounded. Other pairs, and those seen once, are left to the backoff. ``discounts`` are taken off counts of 1, 2 and 3 or more; a full
     discount of 1 keeps what only one context shows from speaking for a class. ``best``: how many of the
     most telling words are compared beside the whole text, so that a few words in a long text count.
+    A document counts once for a pair, and a context is trusted as if ``doubt`` more occurrences had gone to
+    the backoff, so that neither a repeated line nor a rare context speaks for a class.
     """
 
     fit_rows: int = 20_000
     word_bits: int = 18
-    pair_bits: int = 20
+    pair_rows: int = 300_000
     discounts: tuple[float, float, float] = (1.0, 2.0, 3.0)
     best: int = 3
+    doubt: float = 50.0
 
 
 @dataclass(frozen=True)
 class Model:
     params: KneserNey
     base: np.ndarray  # [2, words]: log of the lower-order probability, ordinary and toxic
-    kept: np.ndarray  # [2, pairs]: discounted counts of pairs
-    seen: np.ndarray  # [2, words]: occurrences as a context
+    pairs: np.ndarray  # sorted hashes of the pairs that are kept
+    kept: np.ndarray  # [2, pairs + 1]: their discounted counts; the last column, of zeros, is that of other pairs
+    seen: np.ndarray  # [2, words]: occurrences as a context, with doubt
     rest: np.ndarray  # [2, words]: share of a context that is left to the lower order
     weights: np.ndarray  # logistic: constant, mean over the text, mean of the best words, log of the length
 
 
 def _hashed(text: str | None, hashes: WordHashes, p: KneserNey) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of the words and of the pairs (word before, word) of a text."""
+    """Columns of the words and hashes of the pairs (word before, word) of a text."""
     words = plain_words((text or "").encode("utf-8", "surrogatepass"))
     ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         pairs = mixed(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:])
-    return (ids & np.uint64((1 << p.word_bits) - 1)).astype(np.int64), (pairs & np.uint64((1 << p.pair_bits) - 1)).astype(np.int64)
+    return (ids & np.uint64((1 << p.word_bits) - 1)).astype(np.int64), (pairs >> np.uint64(1)).astype(np.int64)
 
 
 def _pair_counts(texts: DataFrame, p: KneserNey) -> DataFrame:
@@ -62,12 +66,12 @@ def _pair_counts(texts: DataFrame, p: KneserNey) -> DataFrame:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
                 words, pairs = _hashed(text.as_py(), hashes, p)
                 if len(pairs):
-                    codes.append(np.stack((words[:-1], words[1:], pairs), 1))
-                    flags.append(np.full(len(pairs), toxic))
+                    once = np.unique(pairs, return_index=True)[1]
+                    codes.append(np.stack((words[once], words[once + 1], pairs[once]), 1))
+                    flags.append(np.full(len(once), toxic))
             rows = np.concatenate(codes) if codes else np.empty((0, 3), np.int64)
             flag = np.concatenate(flags) if flags else np.empty(0, bool)
-            key = (rows[:, 0] << p.word_bits | rows[:, 1]) if len(rows) else np.empty(0, np.int64)
-            unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            unique, first, inverse = np.unique(rows[:, 2], return_index=True, return_inverse=True)
             toxic = np.bincount(inverse, flag, len(unique)).astype(np.int64)
             every = np.bincount(inverse, minlength=len(unique)).astype(np.int64)
             rows = rows[first]
@@ -99,34 +103,38 @@ def _discounted(count: Column, p: KneserNey) -> Column:
 def _counts_model(pairs: DataFrame, p: KneserNey) -> Model | None:
     words = 1 << p.word_bits
     both = F.col("ordinary") + F.col("toxic")
-    often = F.when(both > 1, 1.0).otherwise(0.0)
     # A type is one distinct pair: it continues its word, in a class if the class has seen it.
     ending = _table(
         pairs, "word", words,
         ordinary=(F.col("ordinary") > 0).cast("long"), toxic=(F.col("toxic") > 0).cast("long"), shared=F.lit(1),
     )
-    context = _table(
-        pairs, "before", words,
-        ordinary=F.col("ordinary"), toxic=F.col("toxic"),
-        kept_ordinary=_discounted(F.col("ordinary"), p) * often, kept_toxic=_discounted(F.col("toxic"), p) * often,
-    )
-    kept = _table(
-        pairs.where(both > 1), "pair", 1 << p.pair_bits, ordinary=_discounted(F.col("ordinary"), p), toxic=_discounted(F.col("toxic"), p)
-    )
+    context = _table(pairs, "before", words, ordinary=F.col("ordinary"), toxic=F.col("toxic"))
+    # The least count from which on pairs are kept, so that they are no more than the bound.
+    sizes = pairs.where(both > 1).groupBy(F.least(both, F.lit(100_000)).alias("count")).agg(F.count("*").alias("n")).collect()
+    held, least = 0, 100_001
+    for row in sorted(sizes, key=lambda r: -r["count"]):
+        held += row["n"]
+        if held > p.pair_rows:
+            break
+        least = row["count"]
+    own = pairs.where(both >= least).select("pair", "before", _discounted(F.col("ordinary"), p).alias("o"), _discounted(F.col("toxic"), p).alias("t"))
+    found = own.orderBy("pair").toArrow()
+    kept = [found.column(c).to_numpy() for c in ("o", "t")]
     if not ending["toxic"].sum() or not ending["ordinary"].sum():
         return None
     shared = (ending["shared"] + 1) / (ending["shared"].sum() + words)
     base, seen, rest = [], [], []
     one, two, more = p.discounts
-    for name in ("ordinary", "toxic"):
+    for name, direct in zip(("ordinary", "toxic"), kept):
         n = ending[name]
         cut = np.maximum(n - np.select([n == 1, n == 2], [one, two], more), 0)
         base.append((cut + (n.sum() - cut.sum()) * shared) / n.sum())
-        total = context[name]
+        total = context[name] + p.doubt
         seen.append(total)
-        rest.append(np.where(total > 0, 1 - context[f"kept_{name}"] / np.maximum(total, 1), 1.0))
+        rest.append(1 - np.bincount(found.column("before").to_numpy(), direct, words) / total)
     as_float = lambda rows: np.array(rows, np.float32)
-    return Model(p, as_float(base), as_float([kept["ordinary"], kept["toxic"]]), as_float(seen), as_float(rest), np.zeros(4))
+    direct = as_float([np.append(k, 0) for k in kept])
+    return Model(p, as_float(base), found.column("pair").to_numpy(), direct, as_float(seen), as_float(rest), np.zeros(4))
 
 
 def _features(text: str | None, model: Model, hashes: WordHashes) -> tuple[float, float, float]:
@@ -137,7 +145,9 @@ def _features(text: str | None, model: Model, hashes: WordHashes) -> tuple[float
     chance = model.base[:, words]
     if len(pairs):
         before = words[:-1]
-        direct = model.kept[:, pairs] / np.maximum(model.seen[:, before], 1)
+        at = np.searchsorted(model.pairs, pairs)
+        own = model.pairs[np.minimum(at, len(model.pairs) - 1)] == pairs if len(model.pairs) else np.zeros(len(pairs), bool)
+        direct = model.kept[:, np.where(own, at, len(model.pairs))] / model.seen[:, before]
         chance = np.concatenate((chance[:, :1], direct + model.rest[:, before] * chance[:, 1:]), 1)
     ratio = np.log(np.maximum(chance[1], 1e-30)) - np.log(np.maximum(chance[0], 1e-30))
     k = model.params.best
@@ -176,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: KneserNey = KneserNey()) ->
     truth = measured.column("toxic").to_numpy().astype(float)
     if len(set(truth)) < 2:
         return None
-    return Model(p, model.base, model.kept, model.seen, model.rest, _logistic(rows, truth))
+    return Model(p, model.base, model.pairs, model.kept, model.seen, model.rest, _logistic(rows, truth))
 
 
 def _measured(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
