@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import bottomk, language, mixing, pieces, pii, quality, secret_scan, toxicity
+from pagemill.llm import bottomk, language, mixing, neighbours, pieces, pii, quality, secret_scan, toxicity, warc
 from pagemill.llm.common import read, sample_bucket
 
 PIECES = corpus_pipeline.PIECES
@@ -22,10 +22,20 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no capture times: pages count as captured a second apart, in the order of their ids."""
+    pages = read(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", sample_bucket(F.col("doc_id"), 5) == 0)
     model = language.fit(docs.where("not held_out"))
@@ -60,7 +70,9 @@ def op10_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_neighbours": op2_neighbours,
     "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
@@ -70,4 +82,16 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+                   octet_length(encode(coalesce(html, ''))) AS n
+            FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f
+    """,
+}
