@@ -95,7 +95,7 @@ class Encoder:
     """Encodes blocks of texts. Memory per task: the vocabulary's tables, one block, and a cache of pairs of fixed size."""
 
     CACHE_BITS = 20
-    REMEMBERED = 500_000
+    REMEMBERED = 250_000
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         v = self.v = vocabulary
@@ -291,7 +291,7 @@ class Decoder:
         return text[1:] if self.v.dummy_prefix and text[:1] == " " else text
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with token_ids (array<int>) added, from the whole column ``text``; a column of that name is replaced.
 
     A null text has null ids, an empty one none. Texts are taken in blocks of about ``block_bytes``, so
