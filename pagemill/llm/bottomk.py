@@ -7,10 +7,11 @@
    belongs to two values that are neighbours in that order. Lists of single values grow with the corpus;
    those of two stay short, and each value that two sets do not share parts at most one pair of neighbours:
    whole sets of union size u >= 5 keep 0.6 u - 1 >= 2 lists in common (smaller ones are equal or unlinked).
-3. Long lists link their members to a few centres first. What that joins needs no further pairs: later
-   only members of different components meet.
-4. Pairs that share enough lists are filtered by the similarity that the sketch of their union
-   estimates, and the rest is verified on full sets.
+3. Long lists link their members to a few centres first. What that joins needs no further pairs. Members
+   of long lists that are still apart meet in blocks of bounded size, where sketches filter and full sets
+   decide, so only links leave a block.
+4. Pairs of short lists that share enough of them are filtered by the similarity that the sketch of their
+   union estimates, and the rest is verified on full sets.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ class Sketching:
     sketch. ``slack`` is the share of a cut sketch that a pair must have in common to be found (0.5:
     a pair at 0.8 misses it by six standard deviations at k = 64; uncut sketches are exact), and
     ``shared`` the lists that two sketches of 32 values or more must share. Lists of more than ``long_list``
-    members take the star step first, each member with ``centres`` of the centres it has most lists with.
+    members take the star step first, each member with ``centres`` of the centres it has most lists with,
+    and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified.
     ``count_bits``: size of the table that orders values.
     """
 
@@ -46,6 +48,8 @@ class Sketching:
     shared: int = 2
     long_list: int = 16
     centres: int = 2
+    block: int = 256
+    estimate: float = 0.6
     count_bits: int = 22
 
     def least_common(self, size: int) -> int:
@@ -184,7 +188,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, p: Sketching) -> DataFrame:
                     union = np.r_[True, ~twice]
                     last = min(p.k, int(union.sum()))
                     end = int(np.searchsorted(np.cumsum(union), last, "right"))  # the first k of the union
-                    keep[i] = int(twice[: max(end - 1, 0)].sum()) >= last * p.slack
+                    keep[i] = int(twice[: max(end - 1, 0)].sum()) >= last * p.estimate
             out = pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(whole)], names=["a", "b", "sure"]
             )
@@ -278,6 +282,94 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Sketching) -> DataFrame:
     return exact.union(pairs.where("sure").select("a", "b"))
 
 
+def _incidence(sketches: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sketches), len(vocabulary)), np.float32)
+    for row, sketch in zip(out, sketches):
+        row[np.searchsorted(vocabulary, sketch)] = 1
+    return out
+
+
+def _block_links(one: list[tuple], other: list[tuple] | None, p: Sketching) -> list[tuple[int, int]]:
+    """Links between two blocks of (rep, component, set), or inside one; members of one component are not compared."""
+    right = one if other is None else other
+    vocabulary = np.unique(np.concatenate([m[2][: p.k] for m in one + right]))
+    common = _incidence([m[2][: p.k] for m in one], vocabulary) @ _incidence([m[2][: p.k] for m in right], vocabulary).T
+    n, r = np.array([len(m[2]) for m in one])[:, None], np.array([len(m[2]) for m in right])[None, :]
+    # Two sketches of k values at similarity s have about 2 s / (1 + s) of them in common.
+    least = np.minimum(np.minimum(n, r), p.k) * (2 * p.estimate / (1 + p.estimate))
+    open_ = (common >= least) & (n * 100 >= r * p.percent) & (r * 100 >= n * p.percent)
+    open_ &= np.array([m[1] for m in one])[:, None] != np.array([m[1] for m in right])[None, :]
+    if other is None:
+        open_ = np.triu(open_, 1)
+    found = []
+    for i, j in zip(*np.nonzero(open_)):
+        x, y = one[i][2], right[j][2]
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        if shared * 100 >= (len(x) + len(y) - shared) * p.percent:
+            found.append((one[i][0], right[j][0]))
+    return found
+
+
+def _met_in_blocks(members: DataFrame, p: Sketching) -> DataFrame:
+    """Links (u, v) inside each clump between members (clump, rep, n, component, set) of different components.
+
+    A clump is dealt into bands of set size, in which neighbours at most can be linked, and each band into
+    parts of about ``block`` rows; two parts meet in one group of rows. Rows grow by the number of parts.
+    """
+    band = F.floor(F.log("n") / float(np.log(100 / p.percent))).cast("int")
+    dealt = members.withColumn("band", band)
+    sizes = dealt.groupBy("clump", "band").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    dealt = dealt.join(sizes, ["clump", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    for name, shift in (("below", -1), ("above", 1)):
+        near = sizes.select("clump", (F.col("band") - shift).alias("band"), F.col("parts").alias(name))
+        dealt = dealt.join(near, ["clump", "band"], "left")
+    cell = lambda b, q: F.struct(b.alias("band"), q.alias("part"))
+
+    def cells(column: str, shift: int):
+        count = F.coalesce(F.col(column), F.lit(0))
+        parts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(parts, lambda q: cell(F.col("band") + shift, q))
+
+    other = F.explode(F.concat(cells("parts", 0), cells("below", -1), cells("above", 1)))
+    own = cell(F.col("band"), F.col("part"))
+    met = dealt.withColumn("other", other).select(
+        "clump", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), (own == F.least(own, "other")).alias("first"), "rep", "component", "set"
+    )
+    keys = [F.col("clump"), F.col("a"), F.col("b")]
+    met = met.select(F.xxhash64(*keys).alias("cell"), (F.col("a") == F.col("b")).alias("same"), "first", "rep", "component", "set")
+    met = met.repartition("cell").sortWithinPartitions("cell")
+
+    def make():
+        held: dict = {"cell": None, "rows": []}
+
+        def links(rows: list) -> list[tuple[int, int]]:
+            if rows and rows[0][0]:
+                return _block_links([r[2:] for r in rows], None, p)
+            one, other = [r[2:] for r in rows if r[1]], [r[2:] for r in rows if not r[1]]
+            return _block_links(one, other, p) if one and other else []
+
+        def out(found: list[tuple[int, int]]):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        def one(batch: pa.RecordBatch):
+            plain = [batch.column(c).to_pylist() for c in ("cell", "same", "first", "rep", "component")]
+            offsets, values = batch.column("set").offsets.to_numpy(), batch.column("set").values.to_numpy()
+            for i, (cell_, same, first, rep, component) in enumerate(zip(*plain)):
+                if cell_ != held["cell"]:
+                    yield from out(links(held["rows"]))
+                    held["cell"], held["rows"] = cell_, []
+                held["rows"].append((same, first, rep, component, values[offsets[i] : offsets[i + 1]].copy()))
+
+        def rest():
+            yield from out(links(held["rows"]))
+
+        one.rest = rest
+        return one
+
+    return map_batches(met, "u long, v long", make)
+
+
 def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFrame:
     """Groups of near-duplicates: one row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -325,40 +417,34 @@ def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFra
     first = written(_verified(written(_estimated(starred, classes, p), "estimated"), docs, p), "links")
     groups = components(first)
 
-    # All lists: members of different components. The list's largest component meets the others, never itself.
-    labelled = (
-        listed.select("value", "rep", "n")
-        .join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-    )
-    labelled = written(labelled, "labelled")
-    per = labelled.groupBy("value", "component").agg(F.count("*").alias("members"))
-    mixed = (
-        per.groupBy("value")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main"))
-        .where("parts > 1")
-        .select("value", "main")
-    )
-    members = labelled.join(mixed, "value")
-    x, y = members.where("component <> main").alias("x"), members.alias("y")
+    label = groups.select(F.col("node").alias("rep"), "component")
+    whole = listed.select("value", "members", "centre", "rep", "n").join(label, "rep", "left")
+    whole = written(whole.withColumn("component", F.coalesce("component", "rep")), "labelled")
+
+    # Long lists whose members are still apart: everything that such lists hold together is a clump.
+    long = whole.where(F.col("members") > p.long_list)
+    clumps = components(long.select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
+    members = long.select("rep", "n", "component").distinct().join(clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump")), "rep")
+    apart = members.groupBy("clump").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("clump")
+    members = written(members.join(apart, "clump"), "members")
+    sets = _full_sets(docs, members, p).join(members, "rep").select("clump", "rep", "n", "component", "set")
+    second = written(_met_in_blocks(written(sets.dropDuplicates(["rep"]), "sets"), p), "links")
+
+    # Short lists: their members in pairs.
+    short = whole.where(F.col("members") <= p.long_list)
+    x, y = short.alias("x"), short.alias("y")
     met = (
         x.join(y, F.col("x.value") == F.col("y.value"))
-        .where("x.component <> y.component")
-        .where("y.component = y.main or x.rep < y.rep")
+        .where("x.rep < y.rep and x.component <> y.component")
         .where(_sizes_fit(F.col("x.n"), F.col("y.n"), p.percent))
-        .select(
-            F.least("x.rep", "y.rep").alias("a"),
-            F.greatest("x.rep", "y.rep").alias("b"),
-            F.least("x.n", "y.n").alias("n"),
-        )
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.n", "y.n").alias("n"))
         .groupBy("a", "b", "n")
         .agg(F.count("*").alias("times"))
         .where((F.col("times") >= p.shared) | (F.col("n") < 32))
         .select("a", "b")
     )
-    met = written(met, "met")
-    second = written(_verified(written(_estimated(met, classes, p), "estimated"), docs, p), "links")
-    groups = components(first.union(second))
+    third = written(_verified(written(_estimated(written(met, "met"), classes, p), "estimated"), docs, p), "links")
+    groups = components(first.union(second).union(third))
     found = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component")
     )
