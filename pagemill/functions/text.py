@@ -73,7 +73,7 @@ def ends_with_heading(c: Column) -> Column:
 # Line classes in the order in which they are tested on a trimmed line.
 LINE_CLASSES = [
     ("heading", rf"\A#{{1,6}}[{WS}]"),
-    ("rule", rf"\A[-*_](?:[{WS}]*[-*_]){{2,}}\z"),
+    ("rule", rf"\A[-*_][{WS}]*+[-*_][-*_{WS}]*[-*_]\z"),  # no repeated group: a long line must not recurse
     ("bullet", rf"\A[-*+][{WS}]"),
     ("ordered", rf"\A[0-9]+\.[{WS}]"),
     ("quote", r"\A>"),

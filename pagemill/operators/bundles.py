@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import let
-from ..functions.text import cap_bytes, file_stem, iso_millis, json_quote, thread_name
+from ..functions.text import file_stem, iso_millis, json_quote, thread_name
 
 RECORD = ["title", "content", "url", "archived_at", "author", "published_at", "description", "site_name"]
 
@@ -130,5 +130,5 @@ def bundle_markdown(joined: DataFrame, archived_at: Column) -> DataFrame:
         F.size(pages).alias("n_pages"),
         thread_name(bundle_title(pages)).alias("thread"),
         bundle_file(pages, archived_at, F.col("message_id")).alias("filename"),
-        let(lambda b: cap_bytes(b["md"]), md=combined_markdown(pages, archived_at)).alias("body"),
+        combined_markdown(pages, archived_at).alias("body"),  # whole; only the file sink has a limit
     )

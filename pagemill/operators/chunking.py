@@ -39,7 +39,7 @@ IMAGE_PATTERN = r"!\[([^\]]*)\]\(([^)]+)\)"
 FENCE_LINE = rf"(?<![^\n])[{WS_LINE}]*+```[^\n]*"
 # Text up to and including a heading that a blank line follows, or all the rest.
 HEADING_BREAK = rf"(?s).*?(?<![^\n]){HEADING_LINE}\n[{WS_LINE}]*+(?=\n|\z)|.+"
-RULE_LINE = rf"{LINE_START}[-*_](?:[{WS}]*+[-*_]){{2,}}{LINE_END}"
+RULE_LINE = rf"{LINE_START}[-*_][{WS}]*+[-*_][-*_{WS}]*[-*_]{LINE_END}"
 
 CHUNK = "struct<type:string,content:string,language:string>"
 

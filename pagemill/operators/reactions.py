@@ -19,6 +19,13 @@ NO_CONTENT = (
 )
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where nulls are equal, so that a row without key or time is kept."""
+    named = right.select(*(F.col(c).alias(f"__right_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"__right_{c}")) for c in keys]
+    return left.join(named, same, how).drop(*(f"__right_{c}" for c in keys))
+
+
 def running_count(
     events: DataFrame,
     keys: list[str],
@@ -33,7 +40,7 @@ def running_count(
     One key may hold a third of all events, so no window runs over a whole key. Events are counted
     per key and fine time bucket (combined before the shuffle); these totals are summed up within
     their coarse bucket, and the coarse totals within the key; the rows are ranked inside their fine
-    bucket only. ``prior`` has one row per key with the count ``n`` before these events; it meets
+    bucket only. Null keys are one key, and a row without time comes before all others. ``prior`` has one row per key with the count ``n`` before these events; it meets
     the coarse totals and never the events themselves.
     """
     amount = F.col(delta) if delta else F.lit(1)
@@ -50,11 +57,11 @@ def running_count(
     coarse_before = coarse_totals.select(*keys, coarse, sum_before("__n", keys, coarse).alias("__coarse_before"))
     start = F.col("__coarse_before") + F.col("__fine_before")
     if prior is not None:
-        coarse_before = coarse_before.join(prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
+        coarse_before = _meet(coarse_before, prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
         start = start + F.coalesce("__prior", F.lit(0))
-    offsets = fine_before.join(coarse_before, [*keys, coarse]).select(*keys, fine, start.alias("__before"))
+    offsets = _meet(fine_before, coarse_before, [*keys, coarse]).select(*keys, fine, start.alias("__before"))
     local = Window.partitionBy(*keys, fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tagged.join(offsets, [*keys, fine])
+    ranked = _meet(tagged, offsets, [*keys, fine])
     count = (F.col("__before") + F.sum(amount).over(local)).cast("bigint")
     return ranked.withColumn("n", count).drop(coarse, fine, "__before")
 

@@ -75,7 +75,8 @@ def _marks(page: Page, e: Column) -> Column:
         level = F.substring(e["tag"], 2, 1).cast("int")
         parent = b["parent"]
         nested = (parent["tag"] == "li") & (e["nth"] == parent["kids"] - 1)
-        start = F.coalesce(F.try_to_number(F.nullif(_attr(parent, "start"), F.lit("")), F.lit("999999")).cast("int"), F.lit(1))
+        given = _attr(parent, "start")
+        start = F.coalesce(F.when(given.rlike("^[0-9]+$"), given.try_cast("bigint")), F.lit(1))
         marker = F.when(parent["tag"] == "ol", F.concat((start + e["nth"]).cast("string"), F.lit(".  "))).otherwise("-   ")
         href = _attr(e, "href")
         image = F.concat(

@@ -202,3 +202,11 @@ def test_chunking_is_narrow(spark):
     df = spark.range(10).select("id", F.lit(PROSE * 50).alias("text"))
     plan = chunking.chunk_documents(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_long_rule_line(spark):
+    text = "before\n" + "- " * 50_000 + "-\nafter"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    line = df.select(line_class(F.split("text", "\n")[1]).alias("kind")).first()["kind"]
+    assert line == "rule"
+    assert df.select(F.size(F.split("text", chunking.RULE_LINE, -1)).alias("n")).first()["n"] == 2

@@ -156,3 +156,10 @@ def test_keyed_state_counts(spark, tmp_path):
     for e in events:
         want[(e[4], e[7])] = want.get((e[4], e[7]), 0) + 1
     assert {(r.message_id, r.emoji_name): r.n for r in got.collect()} == want
+
+
+def test_running_count_keeps_rows_without_key_or_time(spark):
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", None, 2), (None, "2024-01-01 00:00:01", 3), (None, None, 4), ("a", "2024-01-01 00:00:02", 5)]
+    events = spark.createDataFrame(rows, "k string, t string, i int").withColumn("ts", F.col("t").cast("timestamp"))
+    counted = {r["i"]: r["n"] for r in reactions.running_count(events, ["k"], ["i"]).collect()}
+    assert counted == {2: 1, 1: 2, 5: 3, 4: 1, 3: 2}
