@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_batches, written
 from pagemill.llm.graph import components
-from pagemill.llm.shingles import WordHashes, mixed, shingle_set
+from pagemill.llm.shingles import mixed, shingle_set
 
 
 @dataclass(frozen=True)
@@ -68,12 +68,10 @@ def _sketch_documents(docs: DataFrame, p: Sketching) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sketch): d1 and d2 identify the set."""
 
     def make():
-        hashes = WordHashes()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, first, second, sketches = [], [], [], []
             for text in batch.column("text"):
-                found = shingle_set(text.as_py(), p.width, hashes)
+                found = shingle_set(text.as_py(), p.width)
                 sizes.append(len(found))
                 sketches.append(found[: p.k])
                 with np.errstate(over="ignore"):
@@ -239,11 +237,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: Sketching) -> DataFrame:
     """(rep, set) of the wanted classes."""
 
     def make_row():
-        hashes = WordHashes()
-
         def change(batch: pa.RecordBatch):
             for i in range(batch.num_rows):
-                found = shingle_set(batch.column("text")[i].as_py(), p.width, hashes)
+                found = shingle_set(batch.column("text")[i].as_py(), p.width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("rep").slice(i, 1),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagemill.llm import bottomk, graph, mixing, neighbours, queries, warc
-from pagemill.llm.shingles import WordHashes, shingle_set
+from pagemill.llm.shingles import STEP_BYTES, shingle_set
 
 from .conftest import SMALL
 
@@ -37,6 +37,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def plain_shingles(text, width):
+    words = (text or "").encode().lower().split()
+    width = min(width, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def test_shingle_sets():
+    long = "x" * (STEP_BYTES * 2)
+    texts = [None, "", " \n", "a", "A\tb\x0bc a b C", "é\x1cö É x", f"{long} y {long} Y", "ab " * STEP_BYTES, f"{'b ' * STEP_BYTES}tail"]
+    for width in (1, 2, 5):
+        for text in texts:
+            found = shingle_set(text, width)
+            assert len(found) == len(plain_shingles(text, width)) and sorted(set(found.tolist())) == found.tolist()
+        assert set(shingle_set("x Y z u v w", width)) <= set(shingle_set(f"{'b ' * STEP_BYTES} X y Z u v w", width))
+
+
 def test_near_duplicate_documents(spark, documents, odd):
     base = documents.where("doc_id < 120").select("doc_id", "text")
     words = base.orderBy(F.length("text").desc()).first()["text"].split()[:150]
@@ -49,7 +65,7 @@ def test_near_duplicate_documents(spark, documents, odd):
         copies.append((1000 + i, " ".join(text)))
     rows = base.union(spark.createDataFrame(copies, "doc_id long, text string"))
     data = rows.collect()
-    sets = [set(shingle_set(r["text"], 2, WordHashes()).tolist()) for r in data]
+    sets = [plain_shingles(r["text"], 2) for r in data]
     linked = [
         (i, j) for i in range(len(data)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     ]
