@@ -62,10 +62,13 @@ def scrape_summary(joined: DataFrame) -> DataFrame:
     return counts.where("n_scraped > 0").select("message_id", "n_links", "n_scraped", text.alias("summary"))
 
 
-HREF_PATTERN = r'<a href="([^"]*)"'
+# Fixed patterns: an anchor's start tag, and its target in either quotes or in none.
+ANCHOR_PATTERN = r"(?i)<a\s[^>]*>"
+HREF_PATTERN = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Raw link targets of a page's HTML, in order."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(HREF_PATTERN), F.lit(1))
+    """Raw link targets of a page's HTML, in order; ``href`` may stand anywhere in the tag."""
+    anchors = F.filter(F.regexp_extract_all(F.col("html"), F.lit(ANCHOR_PATTERN), F.lit(0)), lambda tag: tag.rlike(HREF_PATTERN))
+    hrefs = F.transform(anchors, lambda tag: F.concat(*[F.regexp_extract(tag, HREF_PATTERN, i) for i in (1, 2, 3)]))
     return explode_array(pages, hrefs, "href", "page_id", "url").withColumnRenamed("seq", "pos")

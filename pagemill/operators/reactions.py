@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The default emoji of each action and the defaults of the settings.
-BOOKMARK_EMOJI = chr(0x1F516)
-PIN_EMOJI = chr(0x1F4CC)
-LINK_EMOJI = chr(0x1F4DD)
+from ..sources.tables import BOOKMARK_EMOJI, LINK_EMOJI, PIN_EMOJI
+
+# The defaults of the settings.
 PIN_THRESHOLD = 3
 PIN_LIMIT = 50
 

@@ -159,6 +159,23 @@ PLAIN_MARKS = [
 ]
 
 
+def without_empty_marks(text: Column) -> Column:
+    """Inline marks with nothing inside go, at any depth: each run of marks is folded, an end taking its start away."""
+    empty = [STRONG_ON + STRONG_OFF, EM_ON + EM_OFF, CODE_ON + CODE_OFF]
+    marks = "".join(empty)
+
+    def closed(held: Column, mark: Column) -> Column:
+        takes = F.concat(F.right(held, F.lit(1)), mark).isin(empty)
+        return F.when(takes, F.left(held, F.length(held) - 1)).otherwise(F.concat(held, mark))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"[{marks}]++|[^{marks}]++"), F.lit(0))
+    folded = F.transform(
+        pieces,
+        lambda piece: F.when(piece.rlike(f"^[{marks}]"), F.aggregate(F.split(piece, ""), F.lit(""), closed)).otherwise(piece),
+    )
+    return F.when(text.rlike("|".join(empty)), F.array_join(folded, "")).otherwise(text)
+
+
 def settle(marked: Column) -> Column:
     """Resolve the marks of joined pieces into Markdown."""
     out = marked
@@ -166,8 +183,7 @@ def settle(marked: Column) -> Column:
     out = F.regexp_replace(out, f"({OPENERS}+) +", " $1")
     out = F.regexp_replace(out, f" +(?=[{STRONG_OFF}{EM_OFF}{CODE_OFF}{LINK_OFF}])({CLOSERS}+)", "$1 ")
     out = F.regexp_replace(out, f" (?=[ {MARKS_RANGE}])({INLINE}*+) +", " $1")
-    for _ in range(3):
-        out = F.regexp_replace(out, f"{STRONG_ON}{STRONG_OFF}|{EM_ON}{EM_OFF}|{CODE_ON}{CODE_OFF}", "")
+    out = let(lambda b: without_empty_marks(b["text"]), text=out)
     out = F.regexp_replace(out, f" +(?=[{PARA}{LINE}{SOFT}])", "")
     out = F.regexp_replace(out, f"([{END}{SOFT_END}{HEAD_OFF}{ITEM_OFF}]{OPENERS}*+) +", "$1")
     # A heading without text leaves nothing; the first break inside a list item goes.

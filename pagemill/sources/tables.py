@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# An input below this size is spread over all cores; a larger one has enough row groups to read in
-# parallel and is never shuffled.
-SPREAD_BELOW = 256 << 20
+# The default emoji of each action.
+BOOKMARK_EMOJI = "🔖"
+PIN_EMOJI = "📌"
+LINK_EMOJI = "📝"
+
+#: Session setting: partitions that table rows are dealt into ahead of heavy per-row work. Unset, rows stay as read.
+READ_PARTITIONS = "spark.pagemill.readPartitions"
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer estimates it, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, limit: int = SPREAD_BELOW) -> DataFrame:
-    """Give a small input one partition per core ahead of heavy per-row work.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows into ``partitions``, or as many as the session's ``READ_PARTITIONS`` asks for.
 
-    A small file often is a single row group and would run as one task. The exchange is taken only
-    below ``limit`` bytes, so it never grows with the data.
+    For inputs of few row groups, which would run as few tasks. The plan follows the caller's word only,
+    never the size of the input; by default there is no exchange.
     """
-    if plan_bytes(df) >= limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    wanted = partitions or int(df.sparkSession.conf.get(READ_PARTITIONS, "0"))
+    return df.repartition(wanted) if wanted else df
 
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +56,9 @@ def complete_guilds(df: DataFrame) -> DataFrame:
     return df.select(
         column("guild_id", "string"),
         column("version", "int", 1),
-        emoji("bookmark_emoji", chr(0x1F516)),
+        emoji("bookmark_emoji", BOOKMARK_EMOJI),
         column("bookmark_enabled", "boolean", True),
-        emoji("pin_emoji", chr(0x1F4CC)),
+        emoji("pin_emoji", PIN_EMOJI),
         column("pin_enabled", "boolean", False),
         column("pin_threshold", "int", 3),
         column("channel_category_id", "string"),

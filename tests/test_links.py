@@ -19,6 +19,12 @@ def test_links_are_kept_as_written(spark):
     assert got == ["http://a.org/x,", "https://c.org/p.png?x", "http://a.org/x,"]
 
 
+def test_page_links_in_any_form(spark):
+    html = "<a href=\"a\">1</a><a class='k' href='b c'>2</a><A\nHREF = d>3</A><a name=x>4</a><a data-href='e'>5</a><abbr href='f'>"
+    df = spark.createDataFrame([(1, "u", html), (2, "u", ""), (3, "u", None)], "page_id int, url string, html string")
+    assert [(r.page_id, r.pos, r.href) for r in links.page_links(df).orderBy("pos").collect()] == [(1, 0, "a"), (1, 1, "b c"), (1, 2, "d")]
+
+
 def test_denied_places_by_substring_or_host(spark):
     urls = ["https://netflix.com/a", "https://x.com/a", "https://m.youtube.com/watch?v=1", "https://youtube.com/c"]
     assert values(spark, urls, is_content_url) == [False, False, False, True]

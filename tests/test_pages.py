@@ -94,6 +94,12 @@ def test_markdown_of_inline_and_blocks(spark):
     )
 
 
+def test_empty_marks_go_at_any_depth(spark):
+    nested = "<b><i>" * 40 + "</i></b>" * 40
+    out = markdown(spark, f"<article><p>x {nested} y <b>z<i></i></b></p></article>")[0]
+    assert out == "x y **z**"
+
+
 def test_code_survives_clean_up(spark):
     out = markdown(spark, "<article><p>a</p><pre><code class='language-x'>$1  y\n\n\n\nz $&amp;</code></pre><p>b</p></article>")[0]
     assert "```x\n$1  y\n\n\n\nz $&\n```" in out
