@@ -37,7 +37,8 @@ class Sketching:
     a pair at 0.8 misses it by six standard deviations at k = 64; uncut sketches are exact), and
     ``shared`` the lists that two sketches of 32 values or more must share. Such a sketch is in the ``lists``
     lists of the smallest hashes; a linked pair, of whose lists about half are common, shares fewer than two
-    of 20 with a chance below 1 in 10,000 (small sets are in all their lists). Lists of more than ``long_list``
+    of 20 with a chance below 1 in 10,000; with two fifths in common, as happens at the limit, about 5 in
+    10,000 (small sets are in all their lists). Lists of more than ``long_list``
     members take the star step first, each member with ``centres`` of the centres it has most lists with,
     and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified.
     ``count_bits``: size of the table that orders values.
