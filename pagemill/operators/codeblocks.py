@@ -13,15 +13,14 @@ from ..functions.core import built_once, let, pick
 from ..functions.text import decode_entities, newline_normalised, trim_ws
 from ..sources.html import TEXT
 from .chunking import explode_array
-from .pages import Page, flagged, page_columns
+from .pages import Page, flagged, page_columns, topmost
 
 NBSP = chr(0xA0)
 
 
 def inside(els: Column, e: Column) -> Column:
     """Descendant elements; ids grow with document order, so they are a slice."""
-    later = F.slice(els, e["id"] + 2, F.size(els))
-    return F.filter(later, lambda d: d["open"] < e["close"])
+    return F.slice(els, e["id"] + 2, e["last"] - e["id"])
 
 
 def has_class(e: Column, name: str) -> Column:
@@ -197,9 +196,8 @@ def code_blocks(page: Page, rules: list[Rule] | None = None) -> Column:
         return let(fields, e=pick(page["els"], h["id"]))
 
     def outermost(b: Column) -> Column:
-        ids = F.transform(b["hits"], lambda h: h["id"])
-        top = F.filter(b["hits"], lambda h: ~F.arrays_overlap(pick(page["els"], h["id"])["anc"], ids))
-        blocks = F.transform(top, rendered)
+        placed = F.transform(b["hits"], lambda h: F.struct(h["id"].alias("id"), h["rule"].alias("rule"), pick(page["els"], h["id"])["last"].alias("last")))
+        blocks = F.transform(topmost(placed), rendered)
         return F.filter(blocks, lambda c: trim_ws(c["code"]) != "")
 
     return let(outermost, hits=hits)

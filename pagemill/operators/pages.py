@@ -108,17 +108,40 @@ def is_boilerplate(e: Column, classes: list[str]) -> Column:
     return e["tag"].isin(BOILERPLATE_TAGS) | F.arrays_overlap(e["cls"], F.array(*[F.lit(c) for c in classes]))
 
 
+def topmost(items: Column) -> Column:
+    """Items (id, last and other fields, in the order of ids) that lie in no other item."""
+
+    def fold(b: Column) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            taken = F.struct(F.array_append(acc["done"], e).alias("done"), e["last"].alias("until"))
+            return F.when(e["id"] > acc["until"], taken).otherwise(acc)
+
+        none = F.struct(F.slice(b["items"], 1, 0).alias("done"), F.lit(-1).alias("until"))
+        return F.aggregate(b["items"], none, step, lambda acc: acc["done"])
+
+    return let(fold, items=items)
+
+
+def covered(size: Column, tops: Column) -> Column:
+    """Per element of ``size``: does it lie in one of ``tops`` (id, last), which are apart and in order."""
+
+    def fill(b: Column) -> Column:
+        def part(t: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(pick(b["tops"], i - 1)["last"] + 1)
+            return F.concat(F.array_repeat(F.lit(False), t["id"] - before), F.array_repeat(F.lit(True), t["last"] - t["id"] + 1))
+
+        end = F.coalesce(pick(b["tops"], F.size(b["tops"]) - 1)["last"] + 1, F.lit(0))
+        return F.concat(F.flatten(F.transform(b["tops"], part)), F.array_repeat(F.lit(False), b["size"] - end))
+
+    return let(fill, tops=tops, size=size)
+
+
 def removed_flags(elements: Column, classes: list[str] | None = None) -> Column:
-    """Per element: is it boilerplate or inside boilerplate. Linear in nodes times depth."""
+    """Per element: is it boilerplate or inside boilerplate."""
     names = classes or BOILERPLATE_CLASSES
-    return let(
-        lambda b: F.transform(
-            b["els"],
-            lambda e: pick(b["flags"], e["id"]) | F.exists(e["anc"], lambda a: pick(b["flags"], a)),
-        ),
-        els=elements,
-        flags=F.transform(elements, lambda e: is_boilerplate(e, names)),
-    )
+    hits = F.filter(elements, lambda e: is_boilerplate(e, names))
+    spans = F.transform(hits, lambda e: F.struct(e["id"].alias("id"), e["last"].alias("last")))
+    return covered(F.size(elements), topmost(spans))
 
 
 def live_elements(elements: Column, removed: Column) -> Column:
@@ -321,13 +344,6 @@ def page_nodes(tokens: DataFrame) -> DataFrame:
 
 
 def descendant_counts(tokens: DataFrame) -> DataFrame:
-    """Containment as an equi-join shape: every node is counted at each of its ancestors.
-
-    Ancestors are listed per node, so containment needs no range condition, and the counts combine
-    on the map side.
-    """
-    nodes = page_nodes(tokens)
-    pairs = nodes.select("page_id", F.explode("anc").alias("id"))
-    counts = pairs.groupBy("page_id", "id").agg(F.count("*").alias("n_descendants"))
-    return nodes.select("page_id", "id", "tag").join(counts, ["page_id", "id"], "left").fillna(0, ["n_descendants"])
+    """Descendants of every node: ids grow in document order, so they are those up to the last one."""
+    return page_nodes(tokens).select("page_id", "id", "tag", (F.col("last") - F.col("id")).cast("long").alias("n_descendants"))
 

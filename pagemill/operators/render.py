@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.core import built_once, derive, extend, let, pick
 from ..functions.text import FENCE, clean_markdown, is_blank
-from ..sources.html import CLOSE, OPEN
-from .codeblocks import code_blocks_expression
+from ..sources.html import CLOSE, OPEN, PREFIXED
+from .codeblocks import code_blocks_expression, inside
 from .pages import (
     BOILERPLATE_CLASSES,
     REGION_CLASSES,
     Page,
+    covered,
     flagged,
     metadata_expression,
     page_columns,
@@ -60,14 +61,9 @@ def _title(e: Column) -> Column:
 
 def _marks(page: Page, e: Column) -> Column:
     """Opening and closing text of one element inside the region."""
-    above = F.filter(e["anc"], lambda a: a > F.col("region_id"))
-    prefix = F.array_join(
-        F.transform(
-            above,
-            lambda a: F.when(pick(page["els"], a)["tag"] == "li", "    ").when(pick(page["els"], a)["tag"] == "blockquote", "> ").otherwise(""),
-        ),
-        "",
-    )
+    region = pick(page["els"], F.col("region_id"))
+    outside = F.length(region["path"]) + F.when(region["tag"].isin(*PREFIXED), 1).otherwise(0)
+    prefix = F.replace(F.replace(F.substring(e["path"], outside + 1, F.length(e["path"])), F.lit("l"), F.lit("    ")), F.lit("q"), F.lit("> "))
 
     def pair(b: Column) -> Column:
         para = _break(PARA, b["prefix"])
@@ -228,21 +224,17 @@ def with_blocks(pages: DataFrame) -> DataFrame:
 
 @built_once
 def _element_marks() -> Column:
-    # Elements inside the region keep their ids in order, so they are a slice.
     els = F.col("elements")
-    inner = F.filter(F.slice(els, F.col("region_id") + 2, F.size(els)), lambda e: e["open"] < F.col("region_close"))
-    return F.transform(inner, lambda e: _marks(page_columns(), e))
+    return F.transform(inside(els, pick(els, F.col("region_id"))), lambda e: _marks(page_columns(), e))
 
 
 @built_once
 def _hidden_elements() -> Column:
     """Per element: 1 when removed, 2 when part of a code block."""
-    return F.transform(
-        F.col("elements"),
-        lambda e: F.when(pick(F.col("gone"), e["id"]), 1)
-        .when(F.array_contains(F.col("tops"), e["id"]) | F.arrays_overlap(e["anc"], F.col("tops")), 2)
-        .otherwise(0),
-    )
+    els = F.col("elements")
+    spans = F.transform(F.col("tops"), lambda t: F.struct(t.alias("id"), pick(els, t)["last"].alias("last")))
+    in_code = covered(F.size(els), spans)
+    return F.zip_with(F.col("gone"), in_code, lambda gone, code: F.when(gone, 1).when(code, 2).otherwise(0))
 
 
 @built_once

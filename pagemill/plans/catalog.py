@@ -304,7 +304,7 @@ def scrape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = pages.page_nodes(tokens_of(load_pages(spark, sf_dir)))
-    return nodes.groupBy("tag").agg(F.count("*").alias("n_nodes"))
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n_nodes"))
 
 
 @query

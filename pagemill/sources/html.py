@@ -41,6 +41,7 @@ IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
+PREFIXED = {"li": "l", "blockquote": "q"}
 SCOPE_STOP = frozenset(["html", "table", "td", "th", "caption"])
 
 ELEMENT = pa.struct(
@@ -54,14 +55,15 @@ ELEMENT = pa.struct(
         ("tag", pa.string()),
         ("cls", pa.list_(pa.string())),
         ("attrs", pa.map_(pa.string(), pa.string())),
-        ("anc", pa.list_(pa.int32())),
+        ("last", pa.int32()),
+        ("path", pa.string()),
     ]
 )
 TOKEN = pa.struct([("kind", pa.int32()), ("el", pa.int32()), ("text", pa.string())])
 
 ELEMENT_DDL = (
     "array<struct<id:int,parent:int,nth:int,kids:int,open:int,close:int,tag:string,"
-    "cls:array<string>,attrs:map<string,string>,anc:array<int>>>"
+    "cls:array<string>,attrs:map<string,string>,last:int,path:string>>"
 )
 TOKEN_DDL = "array<struct<kind:int,el:int,text:string>>"
 
@@ -74,6 +76,9 @@ class PageTokenizer(HTMLParser):
         self.elements: list[dict] = []
         self.tokens: list[tuple[int, int, str | None]] = []
         self.stack: list[int] = []
+        self.open: set[int] = set()
+        self.depths: dict[str, list[int]] = {}
+        self.path = ""
         self.formatting: list[int] = []
         self.body: int | None = None
         self.fresh_pre = False
@@ -96,20 +101,29 @@ class PageTokenizer(HTMLParser):
                 "tag": tag,
                 "cls": attrs.get("class", "").split(),
                 "attrs": list(attrs.items()),
-                "anc": list(self.stack),
+                "last": number,
+                "path": self.path,
             }
         )
         if parent >= 0:
             self.elements[parent]["kids"] += 1
         self.tokens.append((OPEN, number, None))
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append(number)
+        self.open.add(number)
+        self.path += PREFIXED.get(tag, "")
         if void:
             self._pop()
         return number
 
     def _pop(self) -> None:
         number = self.stack.pop()
-        self.elements[number]["close"] = len(self.tokens)
+        element = self.elements[number]
+        self.open.remove(number)
+        self.depths[element["tag"]].pop()
+        self.path = element["path"]
+        element["close"] = len(self.tokens)
+        element["last"] = len(self.elements) - 1
         self.tokens.append((CLOSE, number, None))
 
     def _pop_to(self, depth: int) -> None:
@@ -118,13 +132,11 @@ class PageTokenizer(HTMLParser):
 
     def _find(self, tags: set | frozenset, stop: set | frozenset) -> int:
         """Stack depth of the innermost element of ``tags``, or -1."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self._tag(self.stack[depth])
-            if tag in tags:
-                return depth
-            if tag in stop:
-                return -1
-        return -1
+        depth = self._deepest(tags)
+        return depth if depth > max(0, self._deepest(stop - tags)) else -1
+
+    def _deepest(self, tags: set | frozenset) -> int:
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=-1)
 
     def _need_body(self) -> None:
         if self.body is None:
@@ -136,7 +148,7 @@ class PageTokenizer(HTMLParser):
 
     def _reopen_formatting(self) -> None:
         for position, number in enumerate(self.formatting):
-            if number not in self.stack:
+            if number not in self.open:
                 element = self.elements[number]
                 self.formatting[position] = self._push(element["tag"], dict(element["attrs"]))
 
@@ -216,7 +228,7 @@ class PageTokenizer(HTMLParser):
         if active:
             self.formatting.remove(active[-1])
         # A block inside the formatting element keeps it open until the block ends.
-        if depth > 0 and not any(self._tag(n) in BLOCKS for n in self.stack[depth + 1 :]):
+        if depth > 0 and self._deepest(BLOCKS) <= depth:
             self._pop_to(depth)
 
     def handle_data(self, data: str) -> None:
@@ -267,8 +279,9 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def page_tokens(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace the HTML column by ``elements`` and ``tokens``; element id = array index.
 
-    ``open`` and ``close`` are positions in ``tokens``, so containment of nodes is containment of
-    intervals, and ``anc`` lists the ancestors from the root down.
+    ``open`` and ``close`` are positions in ``tokens``, and ``last`` is the id of the last descendant, so
+    containment of nodes is containment of intervals. ``path`` has a letter for each enclosing list item
+    (l) and quotation (q), whose lines get a prefix.
     """
     keep = [name for name in pages.columns if name != html_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html_col)

@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.codelang import language_of_content
 from pagemill.functions.text import clean_markdown
 from pagemill.operators import codeblocks, pages, render
-from pagemill.sources.html import page_tokens
+from pagemill.sources.html import _tokenize, page_tokens
 
 
 def tokens(spark, *htmls, url="https://www.example.com/a/b"):
@@ -125,3 +126,24 @@ def test_language_order(spark):
 def test_extraction_is_one_stage(spark):
     plan = render.scrape_pages(tokens(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 20_000 + "x", "<b><i>" + "<div>" * 20_000 + "x", "<main>" + "<pre><code>a = 1</code></pre>" * 5_000 + "</main>"],
+)
+def test_intervals_agree_with_parents(html):
+    elements = _tokenize(html).elements
+    last = list(range(len(elements)))
+    for e in reversed(elements):
+        if e["parent"] >= 0:
+            last[e["parent"]] = max(last[e["parent"]], last[e["id"]])
+    assert [e["last"] for e in elements] == last
+
+
+def test_covered_marks_topmost_spans(spark):
+    spans = "array(named_struct('id', 1, 'last', 3), named_struct('id', 2, 'last', 2), named_struct('id', 5, 'last', 5))"
+    row = spark.range(1).select(pages.covered(F.lit(7), pages.topmost(F.expr(spans))).alias("c")).first()
+    assert row["c"] == [False, True, True, True, False, True, False]
+    none = spark.range(1).select(pages.covered(F.lit(2), pages.topmost(F.expr(f"slice({spans}, 1, 0)"))).alias("c")).first()
+    assert none["c"] == [False, False]
