@@ -2,6 +2,7 @@
 
 import heapq
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -163,6 +164,28 @@ def test_mix(spark, odd):
     assert mixing.mix(odd.limit(0), "source", "doc_id", {"s": 3}, p).count() == 0
 
 
+def test_mix_holds_a_rare_tail(spark):
+    rows = [(i, f"s{i % 20}" if i % 2999 else None) for i in range(1, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    for p in (mixing.Mix(period=1000, buckets=8), mixing.Mix(period=970, least=0.0, buckets=8)):
+        weights = mixing.supply_weights(docs, "source", p)
+        mixed = sorted(mixing.mix(docs, "source", "doc_id", weights, p).collect(), key=lambda r: r["mix_slot"])
+        assert [r["mix_slot"] for r in mixed] == list(range(5999)) and all(r["mixed"] for r in mixed)
+        assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in mixed)
+        total, done = Counter(r["mix_source"] for r in mixed), Counter()
+        for r in mixed:
+            done[r["mix_source"]] += 1
+            assert all(abs(done[s] - n * (r["mix_slot"] + 1) / 5999) < 3 for s, n in total.items())
+
+
+def test_pipeline_mixing_loses_no_document(spark):
+    rows = [(i, "t", "en", "big" if i % 3 else f"s{i % 7}" if i > 3 else None, 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(3000))
+    assert abs(sum(r["source"] == "big" for r in found[:1000]) / 1000 - 0.25) < 0.01
+
+
 @pytest.mark.parametrize("name", ["stages", "empty"])
 def test_pipeline(spark, documents, odd, tmp_path, name):
     docs = odd if name == "stages" else odd.limit(0)
