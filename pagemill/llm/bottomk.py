@@ -40,7 +40,8 @@ class Sketching:
     of 20 with a chance below 1 in 10,000; with two fifths in common, as happens at the limit, about 5 in
     10,000 (small sets are in all their lists). Lists of more than ``long_list``
     members take the star step first, each member with ``centres`` of the centres it has most lists with,
-    and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified.
+    and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified;
+    ``held``: share of the smaller sketch from which one is in a block (five standard deviations below 0.8).
     ``count_bits``: size of the table that orders values.
     """
 
@@ -54,6 +55,7 @@ class Sketching:
     centres: int = 2
     block: int = 256
     estimate: float = 0.6
+    held: float = 0.55
     count_bits: int = 22
 
     def least_common(self, size: int) -> int:
@@ -297,8 +299,8 @@ def _block_links(one: list[tuple], other: list[tuple] | None, p: Sketching) -> l
     vocabulary = np.unique(np.concatenate([m[2][: p.k] for m in one + right]))
     common = _incidence([m[2][: p.k] for m in one], vocabulary) @ _incidence([m[2][: p.k] for m in right], vocabulary).T
     n, r = np.array([len(m[2]) for m in one])[:, None], np.array([len(m[2]) for m in right])[None, :]
-    # Two sketches of k values at similarity s have about 2 s / (1 + s) of them in common.
-    least = np.minimum(np.minimum(n, r), p.k) * (2 * p.estimate / (1 + p.estimate))
+    # Two sketches of k values at similarity s have s of them in common at least, as when one set holds the other.
+    least = np.minimum(np.minimum(n, r), p.k) * p.held
     open_ = (common >= least) & (n * 100 >= r * p.percent) & (r * 100 >= n * p.percent)
     open_ &= np.array([m[1] for m in one])[:, None] != np.array([m[1] for m in right])[None, :]
     if other is None:

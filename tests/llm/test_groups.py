@@ -186,6 +186,18 @@ def test_pipeline_mixing_loses_no_document(spark):
     assert abs(sum(r["source"] == "big" for r in found[:1000]) / 1000 - 0.25) < 0.01
 
 
+def test_blocks_find_supersets():
+    rng, one, other = np.random.default_rng(3), [], []
+    for i in range(600):
+        held, whole = ((200, 250), (800, 1000), (210, 250))[i % 3]
+        values = rng.integers(0, 2**62, whole)
+        one.append((i, i, np.sort(values[:held])))
+        other.append((1000 + i, 1000 + i, np.sort(values)))
+    p = bottomk.Sketching()
+    found = [x for at in range(0, 600, 100) for x in bottomk._block_links(one[at : at + 100], other[at : at + 100], p)]
+    assert sorted(found) == [(i, 1000 + i) for i in range(600)]
+
+
 @pytest.mark.parametrize("name", ["stages", "empty"])
 def test_pipeline(spark, documents, odd, tmp_path, name):
     docs = odd if name == "stages" else odd.limit(0)
