@@ -34,11 +34,9 @@ class Sketching:
 
     ``width`` words a shingle; link at ``percent`` / 100 Jaccard similarity or more; ``k`` values a
     sketch. ``slack`` is the share of a cut sketch that a pair must have in common to be found (0.5:
-    a pair at 0.8 misses it by six standard deviations at k = 64; uncut sketches are exact), and
-    ``shared`` the lists that two sketches of 32 values or more must share. Such a sketch is in the ``lists``
-    lists of the smallest hashes; a linked pair, of whose lists about half are common, shares fewer than two
-    of 20 with a chance below 1 in 10,000; with two fifths in common, as happens at the limit, about 5 in
-    10,000 (small sets are in all their lists). Lists of more than ``long_list``
+    a pair at 0.8 misses it by six standard deviations at k = 64), and ``shared`` the lists that two
+    sketches of 32 values or more must share. Uncut sketches are in the lists of all their neighbouring
+    values, so their links are all found, whatever the frequency of the values. Lists of more than ``long_list``
     members take the star step first, each member with ``centres`` of the centres it has most lists with,
     and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified;
     ``held``: share of the smaller sketch from which one is in a block (five standard deviations below 0.8).
@@ -50,7 +48,6 @@ class Sketching:
     k: int = 64
     slack: float = 0.5
     shared: int = 2
-    lists: int = 20
     long_list: int = 16
     centres: int = 2
     block: int = 256
@@ -65,9 +62,9 @@ class Sketching:
         return -(-size * self.percent // 100) if whole else int(np.ceil(kept * self.slack))
 
     def listed(self, size: int) -> int:
-        """How many of the rarest retained values are listed; of small sets all."""
+        """How many of the rarest retained values are listed; all of a set that is not cut or can be linked to one that is not."""
         kept = min(size, self.k)
-        return kept if kept < 32 else min(kept, kept - self.least_common(size) + 4)
+        return kept if size * self.percent <= self.k * 100 else min(kept, kept - self.least_common(size) + 4)
 
 
 def _sketch_documents(docs: DataFrame, p: Sketching) -> DataFrame:
@@ -150,8 +147,6 @@ def _postings(classes: DataFrame, p: Sketching) -> DataFrame:
                 rare = sketch[rare[weight[rare] > 1]].astype(np.uint64)
                 with np.errstate(over="ignore"):
                     pairs = mixed(rare[:-1] * np.uint64(0x9E3779B97F4A7C15) + rare[1:])
-                if n >= 32:
-                    pairs = np.sort(pairs)[: p.lists]
                 values.append((pairs >> np.uint64(1)).astype(np.int64))
                 lengths.append(len(pairs))
             return pa.RecordBatch.from_arrays(

@@ -80,6 +80,20 @@ def test_near_duplicate_documents(spark, documents, odd):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_short_supersets_in_template_text(spark):
+    rng, rows = random.Random(4), []
+    template = [f"t{i}" for i in range(400)]
+    for i in range(100):
+        held = rng.sample(template, 36) + [f"own{i}x{j}" for j in range(4)]
+        more = [f"more{i}x{j}" for j in range(10)]
+        rows += [(3 * i, " ".join(held)), (3 * i + 1, " ".join(held + more)), (3 * i + 2, " ".join(more + [f"other{i}x{j}" for j in range(30)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [plain_shingles(text, 1) for _, text in rows]
+    want = joined(300, [(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = {r["doc_id"]: r["component_id"] for r in bottomk.near_duplicates(docs, bottomk.Sketching(width=1)).collect()}
+    assert [got[i] for i in range(300)] == want
+
+
 def test_near_duplicate_documents_odd_rows(odd):
     got = sorted(map(tuple, bottomk.near_duplicates(odd).collect()), key=str)
     by_id = {r[0]: r for r in got}
