@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import bottomk, language, mixing, neighbours, pieces, pii, quality, secret_scan, toxicity, warc
+from pagemill.llm import bisectors, bottomk, grid_codes, language, mixing, neighbours, pieces, pii, quality, secret_scan, toxicity, warc
 from pagemill.llm.common import read, sample_bucket
+from pagemill.llm.vector_checks import clustering_sql, coding_sql
+from pagemill.llm.whole_vectors import digest
 
 PIECES = corpus_pipeline.PIECES
 
@@ -68,6 +70,17 @@ def op10_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = grid_codes.compress(read(spark, sf_dir, "embeddings"))
+    return coded.select(
+        "vec_id", grid_codes.code_text().alias("code"), "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
+def op13_bisectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_neighbours": op2_neighbours,
@@ -79,6 +92,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_bottomk": op10_bottomk,
+    "op11_grid_codes": op11_grid_codes,
+    "op13_bisectors": op13_bisectors,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -94,4 +109,6 @@ ORACLE_SQL = {
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM f
     """,
+    "op11_grid_codes": coding_sql(),
+    "op13_bisectors": clustering_sql(),
 }
