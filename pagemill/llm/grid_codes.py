@@ -14,6 +14,7 @@ component of more than 2^25 after scaling ends the job with a message, as its di
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,18 @@ class Coding:
     memo: int = 1 << 16
 
 
+def distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for every row which it is. Rows become single numbers where their ranges allow it."""
+    low = cells.min(axis=0)
+    spans = [int(x) for x in cells.max(axis=0) - low + 1]
+    if math.prod(spans) >= 1 << 62:
+        found, of = np.unique(cells, axis=0, return_inverse=True)
+        return found, of.ravel()
+    number = np.ravel_multi_index(tuple((cells - low).T), spans)
+    _, first, of = np.unique(number, return_index=True, return_inverse=True)
+    return cells[first], of
+
+
 class Cells:
     """The entries of one codebook that can be nearest within a cell, by the cell's coordinates."""
 
@@ -45,7 +58,7 @@ class Cells:
         self.memo = memo
         self.known: dict[bytes, np.ndarray] = {}
         spread = float(entries.std(axis=0).mean()) if len(entries) else 0.0
-        self.shift = max(0, int(np.log2(max(spread, 1.0))) - 1)  # a cell is a quarter to half a standard deviation wide
+        self.shift = int(np.log2(max(spread, 1.0)))  # a cell is half to one standard deviation wide
 
     def _undominated(self, cells: np.ndarray) -> list[np.ndarray]:
         low = (cells << self.shift)[:, None, :]
@@ -71,14 +84,14 @@ class Cells:
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest entry of every row, the lower one of equals, and its squared distance."""
-        cells, of = np.unique(rows >> self.shift, axis=0, return_inverse=True)
+        cells, of = distinct(rows >> self.shift)
         lists = self.candidates(cells)
         sizes = np.array([len(kept) for kept in lists], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         flat = np.concatenate(lists)
-        mine = sizes[of.ravel()]
+        mine = sizes[of]
         first = np.concatenate([[0], np.cumsum(mine)[:-1]])
-        entry = flat[np.arange(mine.sum()) - np.repeat(first - starts[of.ravel()], mine)]
+        entry = flat[np.arange(mine.sum()) - np.repeat(first - starts[of], mine)]
         gap = np.repeat(rows, mine, axis=0) - self.entries[entry]
         best = np.minimum.reduceat(np.einsum("nd,nd->n", gap, gap) * len(self.entries) + entry, first)
         return best % len(self.entries), best // len(self.entries)
