@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import bisectors, bottomk, grid_codes, language, mixing, neighbours, pieces, pii, quality, secret_scan, toxicity, warc
+from pagemill.llm import bisectors, bottomk, grid_codes, language, mixing, neighbours, pieces, pii, quality, secret_scan, toxicity, warc, wrappers
 from pagemill.llm.common import read, sample_bucket
 from pagemill.llm.vector_checks import clustering_sql, coding_sql
 from pagemill.llm.whole_vectors import digest
@@ -77,6 +77,10 @@ def op11_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(read(spark, sf_dir, "pages"))
+
+
 def op13_bisectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisectors.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bottomk": op10_bottomk,
     "op11_grid_codes": op11_grid_codes,
+    "op12_wrappers": op12_wrappers,
     "op13_bisectors": op13_bisectors,
     "pipeline": corpus_pipeline.run,
 }
@@ -110,5 +115,19 @@ ORACLE_SQL = {
         FROM f
     """,
     "op11_grid_codes": coding_sql(),
+    # The articles of the test pages stand in one element each and hold headings, paragraphs, breaks and bold text.
+    "op12_wrappers": r"""
+        WITH article AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages
+        ), bare AS (
+            SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '<br>|</?(?:p|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS marked
+            FROM article
+        ), plain AS (
+            SELECT page_id, url, trim(regexp_replace(
+                regexp_replace(regexp_replace(marked, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+            FROM bare
+        )
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain
+    """,
     "op13_bisectors": clustering_sql(),
 }
