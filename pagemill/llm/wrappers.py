@@ -51,10 +51,11 @@ class Inference:
 
 # An item is [kind, content, instances, occurrences, more]. Kinds: SLOT with content [running text, linked text, hash of
 # the only text, or 0], GROUP with a list of items, else an element's name with a list of items. More is the numbers of
-# the page's runs for a slot, and for an element its rank among the places of the article, where it is one.
+# the page's runs for a slot, the rank among the places of the article for an element that is one, and the number of
+# the item taken last for a group.
 SLOT, GROUP = "#", "()"
 KIND, CONTENT, INSTANCES, OCCURRENCES, RUNS = range(5)
-RANK = RUNS
+RANK = LAST = RUNS
 UNKNOWN = -1
 
 # Elements that are never part of an article, and words of names that tell the same. Fixed values.
@@ -142,19 +143,28 @@ def _meet(a: list, b: list, params: Inference) -> list:
 
 
 def _absorb(group: list, item: list, params: Inference, repeated: bool = False) -> bool:
-    """Take an item, or the items of another group, into a group that has one that fits."""
+    """Take an item, or the items of another group, into a group that has one that fits.
+
+    ``repeated`` says that it follows what the group took last: the item taken last again is a repetition of that
+    item, an earlier one begins the group anew.
+    """
     body = group[CONTENT]
     taken = item[CONTENT] if item[KIND] == GROUP else [item]
     if not any(fits(known, new) for known in body for new in taken):
         return False
+    last = group[LAST] if repeated and item[KIND] != GROUP else -1
     for new in taken:
-        known = next((known for known in body if fits(known, new)), None)
-        if known is None:
+        at = next((at for at, known in enumerate(body) if fits(known, new)), None)
+        if at is None:
+            at = len(body)
             body.append(new)
         else:
-            known[INSTANCES] += new[INSTANCES]
-            join(known, new, params)
-    group[OCCURRENCES] += item[OCCURRENCES]
+            if at != last:
+                body[at][INSTANCES] += new[INSTANCES]
+            join(body[at], new, params)
+        group[LAST:] = [at]
+    if last < 0 or at < last:
+        group[OCCURRENCES] += item[OCCURRENCES]
     if not repeated:
         group[INSTANCES] += item[INSTANCES]
     return True
@@ -174,10 +184,11 @@ def push(out: list, item: list, params: Inference) -> None:
             join(known, item, params)
             return
         rest = out[at:]
-        group = rest[0] if rest[0][KIND] == GROUP else [GROUP, [rest[0]], rest[0][INSTANCES], rest[0][OCCURRENCES]]
+        group = rest[0] if rest[0][KIND] == GROUP else [GROUP, [rest[0]], rest[0][INSTANCES], rest[0][INSTANCES], 0]
         for other in rest[1:]:
             if not _absorb(group, other, params, repeated=True):
                 group[CONTENT].extend(flat([other]))
+                group[LAST:] = [len(group[CONTENT]) - 1]
         _absorb(group, item, params, repeated=True)
         out[at:] = [group]
         return
@@ -197,7 +208,7 @@ def generalised(content: list, params: Inference) -> list:
         else:
             known[INSTANCES] += item[INSTANCES]
             join(known, item, params)
-    return [GROUP, list(kinds.values()), max(i[INSTANCES] for i in content), sum(i[OCCURRENCES] for i in content)]
+    return [GROUP, list(kinds.values()), max(i[INSTANCES] for i in content), sum(i[OCCURRENCES] for i in content), 0]
 
 
 def align(left: list, right: list, params: Inference) -> list:
@@ -301,7 +312,7 @@ def signature(item: list) -> str:
     if item[KIND] == SLOT:
         return SLOT + mark
     inner = " ".join(
-        signature(x) + ("?" if x[INSTANCES] < item[OCCURRENCES] and item[KIND] != GROUP else "") for x in item[CONTENT]
+        signature(x) + ("?" if x[INSTANCES] < item[OCCURRENCES] else "") for x in item[CONTENT]
     )
     return f"{'' if item[KIND] == GROUP else item[KIND]}({inner}){mark}"
 
@@ -310,7 +321,8 @@ def bare(item: list) -> list:
     """Without the numbers of runs."""
     if item[KIND] == SLOT:
         return item[:RUNS]
-    return [item[KIND], [bare(x) for x in item[CONTENT]], *item[INSTANCES:]]
+    more = item[LAST:] if item[KIND] == GROUP else []
+    return [item[KIND], [bare(x) for x in item[CONTENT]], item[INSTANCES], item[OCCURRENCES], *more]
 
 
 def add_equal(a: list, b: list) -> None:
@@ -604,7 +616,8 @@ def _shape(item: list) -> list:
     many = 2 if item[OCCURRENCES] > item[INSTANCES] else 1
     if item[KIND] == SLOT:
         return [SLOT, [0, 0, UNKNOWN], 1, many]
-    return [item[KIND], [_shape(x) for x in item[CONTENT]], 1, many]
+    more = item[LAST:] if item[KIND] == GROUP else []
+    return [item[KIND], [_shape(x) for x in item[CONTENT]], 1, many, *more]
 
 
 def main_text(pages: DataFrame, params: Inference = Inference()) -> DataFrame:
