@@ -172,14 +172,17 @@ def route_reactions(reactions: DataFrame, guilds: DataFrame, routes: list[Route]
     return route_counted(reaction_counts(reactions), guilds, routes)
 
 
-def pin_retention(routed: DataFrame, limit: int = PIN_LIMIT) -> DataFrame:
-    """Newest ``limit`` pins per channel.
+def pin_retention(routed: DataFrame, limit: int = PIN_LIMIT, channels: DataFrame | None = None) -> DataFrame:
+    """Newest ``limit`` pins per channel; of text channels only, where ``channels`` (channel_id, type) tells which they are.
 
     A message is pinned when it first reaches its threshold. Top-k per channel is cut on the map
     side, so a busy channel sends at most ``limit`` rows per task.
     """
     first = F.min(F.struct("ts", "event_id")).alias("first")
-    pins = routed.where(F.col("action") == "pin").groupBy("channel_id", "message_id").agg(first)
+    asked = routed.where(F.col("action") == "pin")
+    if channels is not None:
+        asked = asked.join(channels.where("type = 'text'").select("channel_id"), "channel_id", "left_semi")
+    pins = asked.groupBy("channel_id", "message_id").agg(first)
     pins = pins.select("channel_id", "message_id", F.col("first.ts").alias("pinned_at"))
     newest = Window.partitionBy("channel_id").orderBy(F.desc("pinned_at"), F.desc("message_id"))
     return pins.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit)

@@ -30,7 +30,7 @@ from ..operators import bundles, chunking, codeblocks, links, pages, reactions,
 from ..session import shared_dir
 from ..sources.html import page_tokens
 from ..sources.tables import load_documents, load_pages, load_table
-from ..streaming.reactions import event_stream, first_actions, start_counting, start_routing
+from ..streaming.reactions import event_stream, pinned_now, start_counting, start_effects, start_pins, start_routing
 from . import archive, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,16 +449,33 @@ def channel_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------------
 
+FEED_PARTS = 3
+
 
 def reaction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(views.REACTIONS, events=event_stream(spark, f"{sf_dir}/events.parquet"))
+    """The events as a feed of several files that follow one another in time, one file a micro-batch."""
+    events = load_table(spark, sf_dir, "events")
+    feed = shared_dir(spark, "feed")
+    cuts = events.select(F.percentile_approx("ts", [k / FEED_PARTS for k in range(1, FEED_PARTS)])).first()[0] or []
+    # Rows without a time come first.
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        late = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
+        early = F.lit(True) if high is None else (F.col("ts") < F.lit(high)) | (F.col("ts").isNull() if low is None else F.lit(False))
+        events.where(late & early).coalesce(1).write.mode("append").parquet(feed)
+    return spark.sql(views.REACTIONS, events=event_stream(spark, feed, max_files=1))
+
+
+def routed_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder in which the feed was routed."""
+    out = shared_dir(spark, "reactions")
+    start_routing(spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), out).awaitTermination()
+    return out
 
 
 @query
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_dir(spark, "routed")
-    start_routing(spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), out).awaitTermination()
-    return spark.read.parquet(f"{out}/routed").select(*ROUTED)
+    return spark.read.parquet(f"{routed_feed(spark, sf_dir)}/routed").select(*ROUTED)
 
 
 @query
@@ -470,6 +487,42 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_dir(spark, "routed")
-    start_routing(spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), out).awaitTermination()
-    return first_actions(spark.read.parquet(f"{out}/routed")).select("message_id", "action", "event_id")
+    """Effects with every action held to once a message, in the running job."""
+    out = routed_feed(spark, sf_dir)
+    start_effects(spark, out, once=("bookmark", "pin", "link")).awaitTermination()
+    return spark.read.parquet(f"{out}/effects").select("message_id", "action", "event_id")
+
+
+@query
+def stream_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects as they are carried out: one pin and one archive a message, one card a bookmark."""
+    out = routed_feed(spark, sf_dir)
+    start_effects(spark, out).awaitTermination()
+    return spark.read.parquet(f"{out}/effects").select(*ROUTED)
+
+
+@query
+def stream_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pin and unpin of the text channels, and which of the pins last."""
+    out = routed_feed(spark, sf_dir)
+    start_effects(spark, out).awaitTermination()
+    start_pins(spark, views.reaction_channels(spark, sf_dir), out, limit=PINS_KEPT).awaitTermination()
+    log = spark.read.parquet(f"{out}/pins")
+    lasting = pinned_now(log).select("channel_id", "message_id", F.lit(True).alias("lasts"))
+    told = log.groupBy("channel_id", "message_id").agg(
+        F.count_if(F.col("op") == "pin").alias("n_pins"), F.count_if(F.col("op") == "unpin").alias("n_unpins")
+    )
+    kept = told.join(lasting, ["channel_id", "message_id"], "left")
+    return kept.select("channel_id", "message_id", "n_pins", "n_unpins", F.coalesce("lasts", F.lit(False)).alias("lasts"))
+
+
+#: The limit of the query, which the small test tables reach too.
+PINS_KEPT = 10
+
+
+@query
+def pin_text_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest pins of text channels."""
+    routed = reactions.route_reactions(views.reactions(spark, sf_dir), views.guilds(spark))
+    kept = reactions.pin_retention(routed, channels=views.reaction_channels(spark, sf_dir))
+    return kept.select("channel_id", "message_id", F.col("rank").cast("bigint").alias("rank"))

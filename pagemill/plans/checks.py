@@ -364,6 +364,11 @@ rt0 AS (SELECT *, CASE
 routed AS (SELECT * FROM rt0 WHERE action IS NOT NULL)"""
 TO_ROUTED = f"WITH {REACTIONS}, {GUILDS}, {COUNTS}, {ROUTES}"
 ROUTED = "SELECT event_id, guild_id, channel_id, message_id, user_id, emoji_name, n, action FROM routed"
+REACTION_CHANNELS = with_view("rc", views.REACTION_CHANNELS)
+TEXT_PINS = """
+p AS (SELECT channel_id, message_id, min(ts) AS pinned_at FROM routed WHERE action = 'pin' GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY pinned_at DESC, message_id DESC) AS rank
+  FROM p WHERE channel_id IN (SELECT channel_id FROM rc WHERE type = 'text'))"""
 CARDS = f"""
 cards AS (SELECT message_id,
   CASE WHEN guild_name IS NOT NULL THEN 'Message from ' || guild_name || CASE WHEN channel_name IS NOT NULL AND channel_type = 'text' THEN ' #' || channel_name ELSE '' END END AS title,
@@ -546,6 +551,11 @@ def all_checks() -> dict[str, str]:
         "channel_prefix": f"WITH {CHANNELS} SELECT guild_id, category_id, name FROM ch WHERE type = 'text' AND category_id IS NOT NULL AND name LIKE 'st%'",
         "stream_route": f"{TO_ROUTED} {ROUTED}",
         "stream_counts": f"WITH {REACTIONS} SELECT message_id, emoji_name, count(*) AS n FROM rx GROUP BY 1, 2",
+        "stream_effects": f"""{TO_ROUTED} {ROUTED} WHERE action = 'bookmark'
+            OR event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM routed GROUP BY message_id, action)""",
+        "stream_pins": f"""{TO_ROUTED}, {REACTION_CHANNELS}, {TEXT_PINS} SELECT channel_id, message_id, CAST(1 AS BIGINT) AS n_pins,
+            CAST(CASE WHEN rank > 10 THEN 1 ELSE 0 END AS BIGINT) AS n_unpins, rank <= 10 AS lasts FROM q""",
+        "pin_text_channels": f"{TO_ROUTED}, {REACTION_CHANNELS}, {TEXT_PINS} SELECT channel_id, message_id, rank FROM q WHERE rank <= 50",
         "stream_first_actions": f"{TO_ROUTED} SELECT message_id, action, arg_min(event_id, (ts, event_id)) AS event_id FROM routed GROUP BY 1, 2",
     }
 

@@ -25,6 +25,12 @@ SELECT event_id, ts, user_id,
 FROM (SELECT event_id, ts, user_id, event_type, {K} AS k FROM {{events}}) e
 """
 
+# The channels of the reaction events; one of four is a voice channel.
+REACTION_CHANNELS = f"""
+SELECT concat('c', cast(c AS varchar(9))) AS channel_id, CASE WHEN c = 3 THEN 'voice' ELSE 'text' END AS type
+FROM (SELECT DISTINCT {K} % 4 AS c FROM {{events}}) e
+"""
+
 # Settings: stored defaults; a custom emoji id and unset pin emoji; bookmarks off and another pin
 # emoji; the fourth guild has no row.
 GUILDS = """
@@ -165,6 +171,10 @@ def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_view(spark, sf_dir, REACTIONS)
 
 
+def reaction_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_view(spark, sf_dir, REACTION_CHANNELS)
+
+
 def guilds(spark: SparkSession) -> DataFrame:
     return spark.sql(GUILDS)
 

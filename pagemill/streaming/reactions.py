@@ -1,22 +1,31 @@
-"""Reaction events as a stream: counting with state, routing, and effects that happen once."""
+"""Reaction events as streams: counting, routing, effects that happen once, and pins, all on Spark's keyed state.
+
+Three queries follow one another over folders: ``start_routing`` numbers the events and routes them, ``start_effects``
+lets each effect through once, ``start_pins`` keeps the newest pins of a channel. Each has its own checkpoint, so each
+goes on where it stopped. What a state keeps ends: counts and effects of a message are forgotten when nothing has
+happened to it for ``keep_ms``; a channel keeps as many pins as the limit says.
+
+The events that one micro-batch holds of one message are numbered together, in order of time, by one task: they are
+bounded by the files of a micro-batch (``max_files`` of the source), not by the message.
+"""
 
 from __future__ import annotations
 
+import bisect
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from ..operators.reactions import COUNT_KEY, Route, reaction_counts, route_counted, with_emoji_key
+from ..operators.reactions import PIN_LIMIT, Route, route_counted
 from ..session import shared_dir
 
-# The counting function runs in Python workers and travels with the plan.
+# The state handlers run in Python workers and travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENT_FIELDS = [
@@ -31,7 +40,23 @@ EVENT_FIELDS = [
     ("emoji_id", "string"),
 ]
 COUNTED = ", ".join(f"{name} {kind}" for name, kind in EVENT_FIELDS) + ", n bigint"
+ROUTED_FIELDS = [
+    ("event_id", "bigint"),
+    ("ts", "timestamp"),
+    ("guild_id", "string"),
+    ("channel_id", "string"),
+    ("message_id", "bigint"),
+    ("user_id", "bigint"),
+    ("emoji_name", "string"),
+    ("n", "bigint"),
+    ("action", "string"),
+]
+ROUTED = ", ".join(f"{name} {kind}" for name, kind in ROUTED_FIELDS)
+PIN_LOG = "channel_id string, message_id bigint, at bigint, op string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+KEEP_MS = 30 * 24 * 3600 * 1000
+ALL_NOW = {"availableNow": True}
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -45,67 +70,76 @@ def event_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
-def _count(_key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number the events of one (message, emoji). Batches stream through; the state is one number."""
-    n = state.get[0] if state.exists else 0
-    for batch in batches:
-        ordered = batch.drop(columns="emoji_key").sort_values(["ts", "event_id"])
-        ordered["n"] = range(n + 1, n + 1 + len(ordered))
-        n += len(ordered)
-        yield ordered
-    state.update((n,))
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep state on local disk with remote snapshots; the heap store holds all keys in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def counted_stream(events: DataFrame) -> DataFrame:
-    """Events with ``n``, the count of their (message, emoji) at arrival; bots are included.
+def _start(spark: SparkSession, writer: DataStreamWriter, trigger: dict | None, path: str | None = None) -> StreamingQuery:
+    """Start a query. One that runs until its input is used up has no empty batches: with them, state that ends by
+    the clock would keep it going."""
+    use_rocksdb(spark)
+    trigger = trigger or ALL_NOW
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, str("availableNow" not in trigger).lower())
+    try:
+        return writer.trigger(**trigger).start(path)
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
 
-    Keyed state for low latency: one number per key, no table to read. For bulk routing
-    ``start_routing`` keeps its counts in a table instead.
-    """
-    typed = events.select(*[F.col(name).cast(kind).alias(name) for name, kind in EVENT_FIELDS])
-    return with_emoji_key(typed).groupBy(*COUNT_KEY).applyInPandasWithState(
-        _count, COUNTED, "n bigint", "append", GroupStateTimeout.NoTimeout
-    )
 
+# --- counts -------------------------------------------------------------------------------------
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep state on local disk with remote snapshots; the heap store holds all keys in memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
+class MessageCounts(StatefulProcessor):
+    """Numbers the reactions of one message by emoji. The state is one number per emoji."""
 
-COMPACT_EVERY = 16
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "emoji array<string>, n array<bigint>", ttlDurationMs=self.keep_ms)
 
-class CountLog:
-    """Counts per (message, emoji) as a table in the shared folder, one folder per micro-batch.
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
+        known = self.counts.get()
+        counts = dict(zip(known[0], known[1], strict=True)) if known else {}
+        for row in sorted(rows, key=in_order):
+            emoji = row["emoji_key"]
+            counts[emoji] = counts.get(emoji, 0) + 1
+            yield Row(**{name: row[name] for name, _ in EVENT_FIELDS}, n=counts[emoji])
+        self.counts.update((list(counts), list(counts.values())))
 
-    Every batch writes its own increments; every ``COMPACT_EVERY`` batches they are folded into a
-    snapshot. Folder names follow from the batch id, so a replayed batch reads and writes what it
-    did before. All work is joins and sums on the whole batch, where a keyed Python state would
-    call into Python once per key.
-    """
+    def close(self) -> None:
+        pass
 
-    def __init__(self, root: str, every: int = COMPACT_EVERY) -> None:
-        self.root = root
-        self.every = every
-
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """Counts of all batches before ``batch_id``, or None for the first one."""
-        base = batch_id // self.every * self.every
-        paths = [f"{self.root}/snapshot/{base}"] if base else []
-        paths += [f"{self.root}/delta/{number}" for number in range(base, batch_id)]
-        if not paths:
-            return None
-        return spark.read.parquet(*paths).groupBy(*COUNT_KEY).agg(F.sum("n").alias("n"))
-
-    def add(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        """Write the increments of a batch, and the snapshot that the next batch starts from."""
-        counts = with_emoji_key(batch).groupBy(*COUNT_KEY).agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{self.root}/delta/{batch_id}")
-        if (batch_id + 1) % self.every == 0:
-            self.before(spark, batch_id).unionByName(counts).groupBy(*COUNT_KEY).agg(F.sum("n").alias("n")).write.mode(
-                "overwrite"
-            ).parquet(f"{self.root}/snapshot/{batch_id + 1}")
+
+def in_order(row: Row) -> tuple:
+    """Time, then id; rows without one come first."""
+    return (row["ts"] is not None, row["ts"] or 0, row["event_id"] is not None, row["event_id"] or 0)
+
+
+def counted_stream(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Events with ``n``, the count of their (message, emoji) at arrival; bots are included."""
+    typed = events.select(*[F.col(name).cast(kind).alias(name) for name, kind in EVENT_FIELDS])
+    keyed = typed.withColumn("emoji_key", F.coalesce("emoji_id", "emoji_name", F.lit("")))
+    return keyed.groupBy("message_id").transformWithState(MessageCounts(keep_ms), COUNTED, "Append", "ProcessingTime")
+
+
+def start_counting(
+    spark: SparkSession,
+    events: DataFrame,
+    out: str,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+    keep_ms: int = KEEP_MS,
+) -> StreamingQuery:
+    """Write every event with its count."""
+    use_rocksdb(spark)
+    writer = counted_stream(events, keep_ms).writeStream.format("parquet").outputMode("append")
+    return _start(spark, writer.option("checkpointLocation", checkpoint or shared_dir(spark, "counting-state")), trigger, out)
+
+
+# --- routing ------------------------------------------------------------------------------------
 
 
 def start_routing(
@@ -116,37 +150,148 @@ def start_routing(
     checkpoint: str | None = None,
     routes: list[Route] | None = None,
     after_batch: Callable[[DataFrame, int], None] | None = None,
-    compact_every: int = COMPACT_EVERY,
+    trigger: dict | None = None,
+    keep_ms: int = KEEP_MS,
 ) -> StreamingQuery:
-    """Route a stream of reactions into ``out/routed/batch_id=N``, with counts in ``out/counts``.
+    """Number a stream of reactions and route it into ``out/routed/batch_id=N``.
 
-    Settings are read again for every micro-batch, so changes need no flush. A replayed batch
-    overwrites its own folders. ``after_batch`` gets the routed rows as read back from there.
+    Settings are read again for every micro-batch, so changes need no flush. A micro-batch is computed once; a
+    replayed one overwrites its own folder. ``after_batch`` gets the routed rows as read back from there.
+    ``trigger`` is that of the stream writer; by default all there is is read and the query ends.
     """
-    log = CountLog(f"{out}/counts", compact_every)
+    use_rocksdb(spark)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        counted = reaction_counts(batch, log.before(session, batch_id))
         folder = f"{out}/routed/batch_id={batch_id}"
-        route_counted(counted, load_settings(), routes).write.mode("overwrite").parquet(folder)
-        log.add(session, batch, batch_id)
+        route_counted(batch, load_settings(), routes).write.mode("overwrite").parquet(folder)
         if after_batch:
-            after_batch(session.read.parquet(folder), batch_id)
+            after_batch(batch.sparkSession.read.schema(ROUTED).parquet(folder), batch_id)
 
-    writer = events.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint or shared_dir(spark, "routing-state"))
-    return writer.trigger(availableNow=True).start()
+    writer = counted_stream(events, keep_ms).writeStream.foreachBatch(route)
+    return _start(spark, writer.option("checkpointLocation", checkpoint or shared_dir(spark, "routing-state")), trigger)
 
 
-def start_counting(spark: SparkSession, events: DataFrame, out: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Write every event with its count."""
+def folder_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
+    """The folders ``path/batch_id=N`` of an earlier query as a stream; there may be none yet."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}/batch_id=*")
+
+
+# --- effects ------------------------------------------------------------------------------------
+
+
+class FirstActions(StatefulProcessor):
+    """Lets the first event of each action of a message through. The state is the actions that have happened."""
+
+    def __init__(self, once: tuple[str, ...], keep_ms: int) -> None:
+        self.once = once
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "actions array<string>", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
+        known = self.done.get()
+        done = set(known[0]) if known else set()
+        for row in sorted(rows, key=in_order):
+            if row["action"] not in done:
+                yield Row(**{name: row[name] for name, _ in ROUTED_FIELDS})
+            if row["action"] in self.once:
+                done.add(row["action"])
+        self.done.update((sorted(done),))
+
+    def close(self) -> None:
+        pass
+
+
+def effect_stream(routed: DataFrame, once: tuple[str, ...] = ("pin", "link"), keep_ms: int = KEEP_MS) -> DataFrame:
+    """Routed events without repeats: a message is pinned and scraped once, bookmarks go to everybody who asks."""
+    typed = routed.select(*[F.col(name).cast(kind).alias(name) for name, kind in ROUTED_FIELDS])
+    return typed.groupBy("message_id").transformWithState(FirstActions(once, keep_ms), ROUTED, "Append", "ProcessingTime")
+
+
+def start_effects(
+    spark: SparkSession,
+    out: str,
+    checkpoint: str | None = None,
+    once: tuple[str, ...] = ("pin", "link"),
+    run: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict | None = None,
+    keep_ms: int = KEEP_MS,
+) -> StreamingQuery:
+    """Write the effects of ``out/routed`` into ``out/effects/batch_id=N`` and hand them to ``run``.
+
+    ``run`` gets the rows as read back; a replayed batch hands it the same ones again under the same number.
+    """
     use_rocksdb(spark)
-    writer = counted_stream(events).writeStream.format("parquet").outputMode("append")
-    return (
-        writer.option("checkpointLocation", checkpoint or shared_dir(spark, "counting-state"))
-        .trigger(availableNow=True)
-        .start(out)
-    )
+
+    def act(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{out}/effects/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        if run:
+            run(batch.sparkSession.read.schema(ROUTED).parquet(folder), batch_id)
+
+    writer = effect_stream(folder_stream(spark, f"{out}/routed", ROUTED), once, keep_ms).writeStream.foreachBatch(act)
+    return _start(spark, writer.option("checkpointLocation", checkpoint or shared_dir(spark, "effects-state")), trigger)
+
+
+# --- pins ---------------------------------------------------------------------------------------
+
+
+class NewestPins(StatefulProcessor):
+    """The newest pins of one channel. A pin beyond the limit unpins the oldest one. The state is the pins kept."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pins = handle.getValueState("pins", "at array<bigint>, message_id array<bigint>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
+        known = self.pins.get()
+        kept = sorted(zip(known[0], known[1], strict=True)) if known else []
+        for pin in sorted((row["at"], row["message_id"]) for row in rows):
+            bisect.insort(kept, pin)
+            yield Row(channel_id=key[0], message_id=pin[1], at=pin[0], op="pin")
+            if len(kept) > self.limit:
+                oldest = kept.pop(0)
+                yield Row(channel_id=key[0], message_id=oldest[1], at=oldest[0], op="unpin")
+        self.pins.update(([pin[0] for pin in kept], [pin[1] for pin in kept]))
+
+    def close(self) -> None:
+        pass
+
+
+def pin_stream(effects: DataFrame, channels: DataFrame, limit: int = PIN_LIMIT) -> DataFrame:
+    """Pins and unpins of text channels, in the order in which they happen. ``channels`` has (channel_id, type)."""
+    text = channels.where("type = 'text'").select("channel_id")
+    pins = effects.where("action = 'pin' and ts is not null").join(text, "channel_id", "left_semi")
+    timed = pins.select("channel_id", "message_id", F.unix_micros("ts").alias("at"))
+    log = timed.groupBy("channel_id").transformWithState(NewestPins(limit), PIN_LOG, "Append", "None")
+    return log.select("channel_id", "message_id", F.timestamp_micros("at").alias("pinned_at"), "op")
+
+
+def start_pins(
+    spark: SparkSession,
+    channels: DataFrame,
+    out: str,
+    checkpoint: str | None = None,
+    limit: int = PIN_LIMIT,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write the pins and unpins that the effects of ``out/effects`` ask for into ``out/pins``."""
+    use_rocksdb(spark)
+    writer = pin_stream(folder_stream(spark, f"{out}/effects", ROUTED), channels, limit).writeStream.format("parquet").outputMode("append")
+    return _start(spark, writer.option("checkpointLocation", checkpoint or shared_dir(spark, "pins-state")), trigger, f"{out}/pins")
+
+
+def pinned_now(log: DataFrame) -> DataFrame:
+    """Messages pinned at the end of a log of pins and unpins."""
+    balance = F.sum(F.when(F.col("op") == "pin", 1).otherwise(-1))
+    kept = log.groupBy("channel_id", "message_id").agg(balance.alias("balance"), F.max("pinned_at").alias("pinned_at"))
+    return kept.where("balance > 0").drop("balance")
+
+
+# --- batch forms --------------------------------------------------------------------------------
 
 
 def first_actions(routed: DataFrame, done: DataFrame | None = None, keys: tuple[str, ...] = ("message_id", "action")) -> DataFrame:
