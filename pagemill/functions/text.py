@@ -114,7 +114,11 @@ def strip_front_matter(c: Column, anywhere: bool = False) -> Column:
 
 
 def clean_for_display(c: Column, front_matter_anywhere: bool = False) -> Column:
-    out = strip_front_matter(c, front_matter_anywhere)
+    return clean_lines(strip_front_matter(c, front_matter_anywhere))
+
+
+def clean_lines(out: Column) -> Column:
+    """Rules struck through, runs of blank lines and blanks at line ends taken out."""
     # The literal comes first: a leading look-behind would run at every character.
     out = F.regexp_replace(out, rf"\* \* \*(?<![^\n\r\x{{2028}}\x{{2029}}]\* \* \*){LINE_END}", STRUCK_RULE)
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")

@@ -182,20 +182,17 @@ def atoms(text: Column, limit: int = MAX_CHARS, max_code: int = MAX_CODE, refenc
     return F.flatten(F.transform(split_images(text), units))
 
 
-def repack(units: Column, limit: int = MAX_CHARS) -> Column:
-    """Extend each chunk with its successors while the whole fits and its fences pair up.
-
-    Images stay alone. A merged group is a paragraph; a single unit keeps its type. The fold
-    carries lengths and fence parity, the text is joined once per group.
-    """
-    measured = F.transform(
-        units,
-        lambda u: F.struct(
-            (u["type"] == "image").alias("image"),
-            F.length(u["content"]).alias("n"),
-            (fence_count(u["content"]) % 2).alias("odd"),
-        ),
+def measure(unit: Column) -> Column:
+    """What of a unit matters for packing: whether it is an image, its length, and whether its fences are odd."""
+    return F.struct(
+        (unit["type"] == "image").alias("image"),
+        F.length(unit["content"]).alias("n"),
+        (fence_count(unit["content"]) % 2).alias("odd"),
     )
+
+
+def packed_groups(measured: Column, limit: int = MAX_CHARS) -> Column:
+    """Bounds of the groups of measured units, ``array<struct<s,e>>``; the fold carries lengths and fence parity."""
     span = "struct<s:int,e:int>"
     zero = F.struct(
         F.array().cast(f"array<{span}>").alias("done"),
@@ -222,6 +219,15 @@ def repack(units: Column, limit: int = MAX_CHARS) -> Column:
     def finish(acc: Column) -> Column:
         return F.when(acc["s"] > 0, F.array_append(acc["done"], current(acc))).otherwise(acc["done"])
 
+    return F.aggregate(measured, zero, step, finish)
+
+
+def repack(units: Column, limit: int = MAX_CHARS) -> Column:
+    """Extend each chunk with its successors while the whole fits and its fences pair up.
+
+    Images stay alone. A merged group is a paragraph; a single unit keeps its type. The fold
+    carries lengths and fence parity, the text is joined once per group.
+    """
     def assemble(b: Column, g: Column) -> Column:
         joined = F.array_join(F.transform(take_span(b["units"], g), lambda u: u["content"]), "\n\n")
         return F.when(g["s"] == g["e"], pick(b["units"], g["s"] - 1)).otherwise(chunk("paragraph", trim_ws(joined)))
@@ -229,7 +235,7 @@ def repack(units: Column, limit: int = MAX_CHARS) -> Column:
     return let(
         lambda b: F.transform(b["groups"], lambda g: assemble(b, g)),
         units=units,
-        groups=F.aggregate(measured, zero, step, finish),
+        groups=packed_groups(F.transform(units, measure), limit),
     )
 
 
@@ -255,6 +261,17 @@ def chunks_of(
     return F.transform(split, lambda c: chunk(c["type"], unpad_utf16(c["content"]), c["language"]))
 
 
+def delivered(c: Column, limit: int = MAX_CHARS, front_matter_anywhere: bool = False) -> Column:
+    """A chunk as it goes out: cleaned once more, and cut again where it is over the limit."""
+    cut = let(
+        lambda b: F.when(F.length(b["t"]) <= limit, F.array(chunk(c["type"], unpad_utf16(b["t"]), c["language"]))).otherwise(
+            F.transform(split_chars(b["t"], limit), lambda p: chunk("paragraph", unpad_utf16(p)))
+        ),
+        t=let(lambda b: pad_utf16(b["c"]), c=clean_for_display(c["content"], front_matter_anywhere)),
+    )
+    return F.when(c["type"] == "image", F.array(c)).otherwise(cut)
+
+
 def delivery_chunks(
     text: Column,
     url: Column | None = None,
@@ -266,13 +283,7 @@ def delivery_chunks(
     whole = F.array(chunk("paragraph", clean_for_display(text, front_matter_anywhere)))
 
     def deliver(c: Column) -> Column:
-        cut = let(
-            lambda b: F.when(F.length(b["t"]) <= limit, F.array(chunk(c["type"], unpad_utf16(b["t"]), c["language"]))).otherwise(
-                F.transform(split_chars(b["t"], limit), lambda p: chunk("paragraph", unpad_utf16(p)))
-            ),
-            t=let(lambda b: pad_utf16(b["c"]), c=clean_for_display(c["content"], front_matter_anywhere)),
-        )
-        return F.when(c["type"] == "image", F.array(c)).otherwise(cut)
+        return delivered(c, limit, front_matter_anywhere)
 
     long = F.flatten(F.transform(chunks_of(text, url, limit, max_code, front_matter_anywhere=front_matter_anywhere), deliver))
     return F.when(F.length(pad_utf16(text)) <= limit, whole).otherwise(long)

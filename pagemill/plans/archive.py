@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import absolutize_markdown, fetch_key
-from ..operators.bundles import bundle_markdown
+from ..operators.bundles import bundle_chunks, bundle_markdown
 from ..operators.chunking import chunk_documents
 from ..operators.links import extract_links, failed_links, scrape_join, scrape_summary, wanted_pages
 from ..operators.render import scrape_pages
@@ -40,9 +40,8 @@ def _resolved(scraped: DataFrame) -> DataFrame:
 
 
 def archived_chunks(links: DataFrame, scraped: DataFrame, archived_at: Column) -> DataFrame:
-    """Delivery chunks of every message's bundle."""
-    bundles = archived_bundles(links, scraped, archived_at, resolve=True)
-    return chunk_documents(bundles, "message_id", "body", delivery=True)
+    """Delivery chunks of every message's bundle, page by page."""
+    return bundle_chunks(scrape_join(links, _resolved(scraped)), archived_at)
 
 
 @dataclass(frozen=True)
