@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import derive, extend, let
+from ..functions.core import built_once, derive, extend, let
 from ..functions.text import clean_lines, file_stem, iso_millis, json_quote, pad_utf16, thread_name, trim_ws, unpad_utf16
 from .chunking import MAX_CHARS, atoms, chunk, delivered, explode_array, measure, packed_groups
 
@@ -151,6 +151,36 @@ def _units16(text: Column) -> Column:
     return F.length(pad_utf16(text))
 
 
+@built_once
+def _piece_units(limit: int) -> Column:
+    """Units of a piece: a page of a bundle with the headings that belong to it, or the one page there is."""
+    page = F.struct(*RECORD)
+    alone, first, last = F.col("n_pages") == 1, F.col("number") == 1, F.col("number") == F.col("n_pages")
+    opening = F.concat(bundle_heading(F.col("n_pages")), F.lit("\n\n"), section_heading(F.lit(1), F.col("title")), F.lit("\n\n"))
+    following = F.concat(F.lit("\n\n"), section_heading(F.col("number") + 1, F.col("next_title")))
+    body = F.concat(F.when(first, opening).otherwise(""), section_body(page), F.when(last, "").otherwise(following))
+    text = let(lambda b: pad_utf16(b["c"]), c=clean_lines(F.when(alone, F.col("content")).otherwise(body)))
+    return let(lambda b: F.when(F.col("is_whole"), F.array(chunk("paragraph", b["t"]))).otherwise(atoms(b["t"], limit)), t=text)
+
+
+@built_once
+def _part_bounds(limit: int) -> Column:
+    whole = F.array(F.struct(F.lit(1).alias("s"), F.size("all_sizes").alias("e")))
+    return F.when(F.col("is_whole"), whole).otherwise(packed_groups(F.col("all_sizes"), limit))
+
+
+@built_once
+def _part_chunks(limit: int) -> Column:
+    """A packed part as it is delivered."""
+    single = F.col("n_units") == 1
+    built = chunk(
+        F.when(single, F.col("type")).otherwise("paragraph"),
+        unpad_utf16(F.when(single, F.col("content")).otherwise(trim_ws(F.col("content")))),
+        F.when(single, F.col("language")),
+    )
+    return let(lambda b: F.when(F.col("is_whole"), F.array(b["c"])).otherwise(delivered(b["c"], limit)), c=built)
+
+
 def bundle_chunks(joined: DataFrame, archived_at: Column, limit: int = MAX_CHARS) -> DataFrame:
     """Delivery chunks of every message's bundle: ``(message_id, seq, n_chunks, type, content, language)``.
 
@@ -179,16 +209,7 @@ def bundle_chunks(joined: DataFrame, archived_at: Column, limit: int = MAX_CHARS
     several = heads + F.sum(F.col("source_size") + F.col("section_size") + F.length(F.col("number").cast("string")) - 1).over(whole)
     sized = placed.withColumn("is_whole", F.when(F.col("n_pages") == 1, F.col("single_size")).otherwise(several) <= limit)
 
-    alone, first, last = F.col("n_pages") == 1, F.col("number") == 1, F.col("number") == F.col("n_pages")
-    opening = F.concat(bundle_heading(F.col("n_pages")), F.lit("\n\n"), section_heading(F.lit(1), F.col("title")), F.lit("\n\n"))
-    following = F.concat(F.lit("\n\n"), section_heading(F.col("number") + 1, F.col("next_title")))
-    body = F.concat(F.when(first, opening).otherwise(""), section_body(page), F.when(last, "").otherwise(following))
-    text = let(lambda b: pad_utf16(b["c"]), c=clean_lines(F.when(alone, F.col("content")).otherwise(body)))
-    units = let(
-        lambda b: F.when(F.col("is_whole"), F.array(chunk("paragraph", b["t"]))).otherwise(atoms(b["t"], limit)),
-        t=text,
-    )
-    pieces = derive(sized, F.array(F.struct(units.alias("units"))), "message_id", "number", "is_whole")
+    pieces = derive(sized, F.array(F.struct(_piece_units(limit).alias("units"))), "message_id", "number", "is_whole")
     measured = pieces.withColumn("sizes", F.transform("units", measure))
     ranked = F.array_sort(F.collect_list(F.struct("number", "sizes")).over(whole))
     gathered = measured.withColumns({"all_sizes": F.flatten(F.transform(ranked, lambda r: r["sizes"])), "ranked": ranked})
@@ -197,9 +218,7 @@ def bundle_chunks(joined: DataFrame, archived_at: Column, limit: int = MAX_CHARS
     )
     grouped = extend(
         gathered.select("message_id", "number", "is_whole", "units", before.alias("before"), "all_sizes"),
-        groups=F.when(F.col("is_whole"), F.array(F.struct(F.lit(1).alias("s"), F.size("all_sizes").alias("e")))).otherwise(
-            packed_groups(F.col("all_sizes"), limit)
-        ),
+        groups=_part_bounds(limit),
     )
     exploded = grouped.select("message_id", "number", "is_whole", "before", "groups", F.posexplode("units").alias("at", "unit"))
     place = F.col("before") + F.col("at") + 1
@@ -213,14 +232,7 @@ def bundle_chunks(joined: DataFrame, archived_at: Column, limit: int = MAX_CHARS
         F.min("type").alias("type"),
         F.min("language").alias("language"),
     )
-    single = F.col("n_units") == 1
-    built = chunk(
-        F.when(single, F.col("type")).otherwise("paragraph"),
-        unpad_utf16(F.when(single, F.col("content")).otherwise(trim_ws(F.col("content")))),
-        F.when(single, F.col("language")),
-    )
-    sent = let(lambda b: F.when(F.col("is_whole"), F.array(b["c"])).otherwise(delivered(b["c"], limit)), c=built)
-    out = explode_array(parts, sent, "c", "message_id", "part")
+    out = explode_array(parts, _part_chunks(limit), "c", "message_id", "part")
     sequence = Window.partitionBy("message_id").orderBy("part", "seq")
     return out.select(
         "message_id",

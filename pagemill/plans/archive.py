@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..operators.links import extract_links, failed_links, scrape_join, scrape_s
 from ..operators.render import scrape_pages
 from ..session import shared_dir
 from ..sources.html import page_tokens
-from ..sources.sinks import write_markdown, write_outbox
+from ..sources.sinks import batch_folder, commit, committed, deliver, write_markdown
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
@@ -53,22 +54,37 @@ class ArchivePaths:
     summary: str
 
 
+OUTBOX = "message_id bigint, seq int, n_chunks int, type string, content string, language string"
+
+
+def archive_paths(root: str, batch: int | str) -> ArchivePaths:
+    return ArchivePaths(*[f"{batch_folder(root, batch)}/{name}" for name in ["scraped", "files", "outbox", "failed", "summary"]])
+
+
 def run_archive(
-    spark: SparkSession, messages: DataFrame, pages: DataFrame, archived_at: Column, root: str | None = None, mode: str = "append"
+    spark: SparkSession, messages: DataFrame, pages: DataFrame, archived_at: Column, root: str | None = None, batch: int | str | None = None
 ) -> ArchivePaths:
-    """Archive all messages and write every result table.
+    """Archive all messages and write every result table into the batch's folder under ``root``.
+
+    Without a number the run is a batch of its own. A batch that is committed is not run again, and one that broke off
+    overwrites what it left. Chunks that an earlier batch delivered are not written again.
 
     Links and records are read by several results, so both are written once to the shared folder
     first: a lost executor then costs a re-read and not a re-parse.
     """
     root = root or shared_dir(spark, "archive")
-    paths = ArchivePaths(*[f"{root}/{name}" for name in ["scraped", "files", "outbox", "failed", "summary"]])
-    extract_links(messages).write.mode("overwrite").parquet(f"{root}/links")
-    links = spark.read.parquet(f"{root}/links")
+    batch = uuid.uuid4().hex if batch is None else batch
+    paths = archive_paths(root, batch)
+    if str(batch) in committed(spark, root):
+        return paths
+    kept_links = f"{batch_folder(root, batch)}/links"
+    extract_links(messages).write.mode("overwrite").parquet(kept_links)
+    links = spark.read.parquet(kept_links)
     scrape_wanted(links, pages, archived_at).write.mode("overwrite").parquet(paths.scraped)
     scraped = spark.read.parquet(paths.scraped)
-    write_markdown(archived_bundles(links, scraped, archived_at), paths.files, mode)
-    write_outbox(archived_chunks(links, scraped, archived_at), paths.outbox, mode)
-    failed_links(links, scraped).write.mode(mode).parquet(paths.failed)
-    scrape_summary(scrape_join(links, scraped.drop("content"))).write.mode(mode).parquet(paths.summary)
+    write_markdown(archived_bundles(links, scraped, archived_at), paths.files, "overwrite")
+    deliver(archived_chunks(links, scraped, archived_at), root, batch)
+    failed_links(links, scraped).write.mode("overwrite").parquet(paths.failed)
+    scrape_summary(scrape_join(links, scraped.drop("content"))).write.mode("overwrite").parquet(paths.summary)
+    commit(spark, root, batch)
     return paths

@@ -29,7 +29,9 @@ from ..functions.urls import absolutize_markdown, base_parts, fetch_key, resolve
 from ..operators import bundles, chunking, codeblocks, links, pages, reactions, registry, render
 from ..session import shared_dir
 from ..sources.html import page_tokens
+from ..sources.sinks import delivered
 from ..sources.tables import load_documents, load_pages, load_table
+from ..streaming.archive import start_archiving
 from ..streaming.reactions import event_stream, pinned_now, start_counting, start_effects, start_pins, start_routing
 from . import archive, views
 
@@ -358,6 +360,16 @@ def archive_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archived_chunks(found, scraped, archived_at())
 
 
+@query
+def archive_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies in the outbox when the archive job has run twice over the same messages."""
+    root = shared_dir(spark, "archive")
+    messages, wanted = views.messages(spark, sf_dir), load_pages(spark, sf_dir)
+    for _ in range(2):
+        archive.run_archive(spark, messages, wanted, archived_at(), root)
+    return delivered(spark, root, archive.OUTBOX)
+
+
 # --- events -------------------------------------------------------------------------------------
 
 
@@ -520,6 +532,16 @@ def stream_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 PINS_KEPT = 10
 
 
+@query
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox of messages whose link reactions came in by the feed."""
+    out = shared_dir(spark, "archived")
+    start_archiving(
+        spark, reaction_feed(spark, sf_dir), lambda: views.guilds(spark), views.messages(spark, sf_dir), load_pages(spark, sf_dir), archived_at(), out
+    ).awaitTermination()
+    return delivered(spark, f"{out}/archive", archive.OUTBOX)
+
+
 @query
 def pin_text_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest pins of text channels."""

@@ -456,6 +456,14 @@ pm AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN '# ' || text ELSE stars |
   FROM pm3 WHERE text <> '' GROUP BY page_id)"""
 
 
+# From the table msg on: links, pages, bundles, chunks, delivery.
+ARCHIVE = f"""{LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
+    {records("markdown", "pmp")}, {BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
+    {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}, {DELIVERY}
+    SELECT doc_id AS message_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS seq,
+    count(*) OVER (PARTITION BY doc_id) AS n_chunks, type, content, language FROM dv3"""
+
+
 def all_checks() -> dict[str, str]:
     """SQL per query name."""
     plain_docs = f"SELECT CAST(doc_id AS VARCHAR) AS k, {trim('text')} AS text FROM documents"
@@ -510,11 +518,10 @@ def all_checks() -> dict[str, str]:
             CAST(NULL AS TIMESTAMP) AS published_at, CAST(NULL AS VARCHAR) AS description, {site("p.url")} AS site_name FROM pages p JOIN pm ON pm.page_id = p.page_id""",
         "page_chunks": f"""WITH RECURSIVE {PAGE_MARKDOWN}, absolute AS (SELECT page_id AS doc_id, markdown AS text FROM pm), {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}
             SELECT doc_id AS page_id, seq, n_chunks, type, content, language FROM chunks""",
-        "archive_outbox": f"""WITH RECURSIVE {MESSAGES}, {LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
-            {records("markdown", "pmp")}, {BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
-            {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}, {DELIVERY}
-            SELECT doc_id AS message_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS seq,
-            count(*) OVER (PARTITION BY doc_id) AS n_chunks, type, content, language FROM dv3""",
+        "archive_outbox": f"WITH RECURSIVE {MESSAGES}, {ARCHIVE}",
+        "archive_delivery": f"WITH RECURSIVE {MESSAGES}, {ARCHIVE}",
+        "stream_archive": f"""WITH RECURSIVE {TO_ROUTED.removeprefix("WITH ")}, {with_view("all_msg", views.MESSAGES)},
+            msg AS (SELECT * FROM all_msg WHERE message_id IN (SELECT message_id FROM routed WHERE action = 'link')), {ARCHIVE}""",
         "page_metadata": f"WITH {META_PAGES}, {META} SELECT page_id, title, author, published, description, site_name FROM meta",
         "main_region": f"WITH {META_PAGES}, {REGION} SELECT page_id, selector, n_chars, total_chars, round(s, 6) AS score FROM rg",
         "dom_descendants": "SELECT page_id, 1 + 2 * len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<li>')) AS n_descendants FROM pages",

@@ -21,15 +21,17 @@ def start_archiving(
     archived_at: Column,
     out: str,
     checkpoint: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Route reactions and archive the messages whose link action fired in the batch.
+    """Route reactions and archive the messages whose link action fired in the batch, under ``out/archive``.
 
-    Each batch writes its own folders with overwrite, so a replay repeats nothing.
+    Each micro-batch is a batch of the archive: a replay of a committed one does nothing, and a message that is asked
+    for again, long after its reactions were forgotten, is not delivered again.
     """
 
     def archive(routed: DataFrame, batch_id: int) -> None:
         asked = routed.where(F.col("action") == "link").select("message_id")
         wanted = messages.join(asked, "message_id", "left_semi")
-        run_archive(spark, wanted, pages, archived_at, f"{out}/archive/batch_id={batch_id}", mode="overwrite")
+        run_archive(spark, wanted, pages, archived_at, f"{out}/archive", batch_id)
 
-    return start_routing(spark, events, load_settings, out, checkpoint, after_batch=archive)
+    return start_routing(spark, events, load_settings, out, checkpoint, after_batch=archive, trigger=trigger)

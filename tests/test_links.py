@@ -4,7 +4,8 @@ from pagemill.functions import text
 from pagemill.functions.core import let
 from pagemill.functions.urls import base_parts, content_urls, is_content_url, resolve_url, site_of
 from pagemill.operators import bundles, links
-from pagemill.plans.archive import run_archive
+from pagemill.plans.archive import OUTBOX, run_archive
+from pagemill.sources import sinks
 from pagemill.sources.sinks import unsent
 
 
@@ -111,3 +112,34 @@ def test_popular_address_is_scraped_once(spark):
     pages = spark.createDataFrame(PAGES, "page_id int, url string, html string")
     found = links.extract_links(spark.createDataFrame([(i, "https://a.org/2") for i in range(300)], "message_id int, content string"))
     assert [r.page_id for r in links.wanted_pages(found, pages).collect()] == [2]
+
+
+def test_archive_job_run_again_delivers_nothing_twice(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id int, url string, html string")
+    messages = spark.createDataFrame(MESSAGES, "message_id bigint, content string")
+    root, at = str(tmp_path), F.timestamp_millis(F.lit(0))
+
+    def sent():
+        return sorted((r.message_id, r.seq, r.content) for r in sinks.delivered(spark, root, OUTBOX).collect())
+
+    assert sent() == []
+    run_archive(spark, messages, pages, at, root, 0)
+    first = sent()
+    assert [(m, s) for m, s, _ in first] == [(1, 0), (2, 0)]
+    run_archive(spark, messages, pages, at, root, 0)  # a replay
+    run_archive(spark, messages, pages, at, root)  # the job once more
+    assert sent() == first
+    run_archive(spark, messages.union(spark.createDataFrame([(9, "https://a.org/1")], messages.schema)), pages, at, root)
+    assert [(m, s) for m, s, _ in sent()] == [(1, 0), (2, 0), (9, 0)]
+
+
+def test_a_batch_that_broke_off_is_not_read_and_is_done_again(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, 1, "paragraph", "a", None)], OUTBOX)
+    root = str(tmp_path)
+    sinks.deliver(chunks, root, 5)  # no commit follows
+    assert sinks.delivered(spark, root, OUTBOX).count() == 0
+    sinks.deliver(chunks, root, 6)
+    sinks.commit(spark, root, 6)
+    sinks.deliver(chunks, root, 5)
+    sinks.commit(spark, root, 5)
+    assert sinks.delivered(spark, root, OUTBOX).count() == 1 and sinks.committed(spark, root) == ["5", "6"]
