@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import content_urls, extract_urls, fetch_key, site_of
 from .chunking import explode_array
+from .keybits import key_bits, may_hold
 
 
 def extract_links(messages: DataFrame, match: str = "substring") -> DataFrame:
@@ -28,12 +29,13 @@ def wanted_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
 
     Links shrink to their distinct addresses before the join, so a link that everybody posts costs
     one row here, and its page is scraped once. Where an address has several pages the first one
-    answers; the pick is made on ids alone, the HTML is read afterwards.
+    answers; the pick is made on ids alone, the HTML is read afterwards. A filter of the picked ids,
+    of bounded size, meets the pages in their scan, so that pages nobody asks for are never moved.
     """
     keyed = pages.select("page_id", fetch_key(F.col("url")).alias("key"))
     keys = links.select(fetch_key(F.col("url")).alias("key")).distinct()
     chosen = keyed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("page_id").alias("page_id"))
-    return pages.join(chosen, "page_id")
+    return may_hold(pages, "page_id", key_bits(chosen, "page_id")).join(chosen, "page_id")
 
 
 def scrape_join(links: DataFrame, scraped: DataFrame) -> DataFrame:

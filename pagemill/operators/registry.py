@@ -79,3 +79,19 @@ def channel_grants(requests: DataFrame) -> DataFrame:
 def channels_with_prefix(channels: DataFrame, prefix: str) -> DataFrame:
     """Text channels inside a category whose name starts with ``prefix`` (case-sensitive)."""
     return channels.where((F.col("type") == "text") & F.col("category_id").isNotNull() & F.startswith("name", F.lit(prefix)))
+
+
+def complete_channels(asked: DataFrame, settings: DataFrame, channels: DataFrame) -> DataFrame:
+    """Choices for the beginnings of names that users have typed: ``(event_id, name)``.
+
+    ``asked`` has (event_id, guild_id, typed). A guild offers the text channels of its own category; a guild without
+    settings or category offers none. Beginnings match by case, and the empty one matches every name. Every beginning
+    of a name is a key of the index, so the search is an equality join: a beginning that many ask for is looked up
+    once, and its answers meet the requests after that.
+    """
+    offered = settings.where(F.col("channel_category_id").isNotNull()).select("guild_id", F.col("channel_category_id").alias("category_id"))
+    names = channels.where(F.col("type") == "text").select("guild_id", "category_id", "name").distinct().join(offered, ["guild_id", "category_id"])
+    lengths = F.sequence(F.lit(0), F.length("name"))
+    index = names.select("guild_id", "name", F.explode(lengths).alias("n")).select("guild_id", "name", F.substring("name", F.lit(1), F.col("n")).alias("typed"))
+    answers = index.join(asked.select("guild_id", "typed").distinct(), ["guild_id", "typed"])
+    return asked.select("event_id", "guild_id", "typed").join(answers, ["guild_id", "typed"]).select("event_id", "name")

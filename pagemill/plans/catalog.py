@@ -30,7 +30,7 @@ from ..operators import bundles, chunking, codeblocks, links, pages, reactions,
 from ..session import shared_dir
 from ..sources.html import page_tokens
 from ..sources.sinks import delivered
-from ..sources.tables import load_documents, load_pages, load_table
+from ..sources.tables import load_documents, load_guilds, load_pages, load_table
 from ..streaming.archive import start_archiving
 from ..streaming.reactions import event_stream, pinned_now, start_counting, start_effects, start_pins, start_routing
 from . import archive, views
@@ -459,6 +459,21 @@ def channel_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.channels_with_prefix(views.channels(spark, sf_dir), "st").select("guild_id", "category_id", "name")
 
 
+@query
+def channel_autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request for completion with the channels that it may mean."""
+    return registry.complete_channels(views.typed(spark, sf_dir), views.guilds(spark), views.channels(spark, sf_dir))
+
+
+@query
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings stored by two versions with different columns, read together."""
+    folder = shared_dir(spark, "settings")
+    for stored in (views.OLD_SETTINGS, views.NEW_SETTINGS):
+        views.spark_view(spark, sf_dir, stored).write.mode("append").parquet(folder)
+    return load_guilds(spark, folder)
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 FEED_PARTS = 3

@@ -558,6 +558,13 @@ def all_checks() -> dict[str, str]:
         "channel_prefix": f"WITH {CHANNELS} SELECT guild_id, category_id, name FROM ch WHERE type = 'text' AND category_id IS NOT NULL AND name LIKE 'st%'",
         "stream_route": f"{TO_ROUTED} {ROUTED}",
         "stream_counts": f"WITH {REACTIONS} SELECT message_id, emoji_name, count(*) AS n FROM rx GROUP BY 1, 2",
+        "channel_autocomplete": f"""WITH {GUILDS}, {CHANNELS}, {with_view("ty", views.TYPED)} SELECT event_id, name FROM ty
+            JOIN guilds ON guilds.guild_id = ty.guild_id JOIN ch ON ch.guild_id = ty.guild_id AND ch.category_id = guilds.channel_category_id
+            WHERE ch.type = 'text' AND starts_with(name, typed)""",
+        "stored_settings": f"""WITH {with_view("old_st", views.OLD_SETTINGS)}, {with_view("new_st", views.NEW_SETTINGS)}
+            SELECT guild_id, version, bookmark_emoji, bookmark_enabled, '📌' AS pin_emoji, false AS pin_enabled, 3 AS pin_threshold,
+            CAST(NULL AS VARCHAR) AS channel_category_id, false AS channels_enabled FROM old_st
+            UNION ALL SELECT guild_id, version, bookmark_emoji, bookmark_enabled, pin_emoji, pin_enabled, pin_threshold, channel_category_id, channels_enabled FROM new_st""",
         "stream_effects": f"""{TO_ROUTED} {ROUTED} WHERE action = 'bookmark'
             OR event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM routed GROUP BY message_id, action)""",
         "stream_pins": f"""{TO_ROUTED}, {REACTION_CHANNELS}, {TEXT_PINS} SELECT channel_id, message_id, CAST(1 AS BIGINT) AS n_pins,

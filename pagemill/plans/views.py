@@ -97,6 +97,27 @@ FROM (SELECT event_id, ts, user_id, event_type, {K} AS k, event_id % (SELECT cou
 JOIN {{part}} p ON p.p_partkey = e.pk
 """
 
+# What users have typed of a channel's name so far: nothing yet, some letters, all of it, or in the wrong case.
+TYPED = f"""
+SELECT e.event_id, CASE WHEN k % 10 = 9 THEN NULL ELSE concat('g', cast(k % 4 as varchar(9))) END AS guild_id,
+       CASE WHEN e.event_id % 9 = 0 THEN p.p_type ELSE left(lower(p.p_type), cast(e.event_id % 7 as int)) END AS typed
+FROM (SELECT event_id, event_type, {K} AS k, event_id % (SELECT count(*) FROM {{part}}) AS pk FROM {{events}}) e
+JOIN {{part}} p ON p.p_partkey = e.pk
+"""
+
+# Settings as two versions of the job have stored them, the older one without pins and channels.
+OLD_SETTINGS = """
+SELECT DISTINCT concat('u', cast(user_id as varchar(19))) AS guild_id, 1 AS version,
+       CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'e1' ELSE '🔖' END AS bookmark_emoji, user_id % 5 <> 0 AS bookmark_enabled
+FROM {events} WHERE user_id % 3 = 0
+"""
+NEW_SETTINGS = """
+SELECT DISTINCT concat('u', cast(user_id as varchar(19))) AS guild_id, 2 AS version, '🔖' AS bookmark_emoji, true AS bookmark_enabled,
+       CASE user_id % 4 WHEN 0 THEN NULL ELSE '👍' END AS pin_emoji, user_id % 2 = 0 AS pin_enabled, cast(user_id % 7 as int) AS pin_threshold,
+       CASE user_id % 5 WHEN 0 THEN concat('cat-', cast(user_id as varchar(19))) END AS channel_category_id, user_id % 5 = 0 AS channels_enabled
+FROM {events} WHERE user_id % 3 <> 0
+"""
+
 # Channels that exist before any request.
 CHANNELS = """
 SELECT DISTINCT concat('g', cast(p_size % 4 as varchar(9))) AS guild_id,
@@ -195,6 +216,10 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_view(spark, sf_dir, CHANNELS)
 
 
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_view(spark, sf_dir, TYPED)
+
+
 def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_view(spark, sf_dir, CODE_PAGES)
 

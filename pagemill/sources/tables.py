@@ -49,16 +49,19 @@ def complete_guilds(df: DataFrame) -> DataFrame:
         value = F.col(name).cast(kind) if name in present else F.lit(None).cast(kind)
         return (value if default is None else F.coalesce(value, F.lit(default).cast(kind))).alias(name)
 
-    def emoji(name: str, default: str) -> object:
-        # A stored NULL means "use the default emoji" and is kept; only a missing column is filled.
-        return (F.col(name).cast("string") if name in present else F.lit(default)).alias(name)
+    def emoji(name: str, default: str, flag: str) -> object:
+        # A stored NULL means "use the default emoji" and is kept. A row from before the column is filled: it lacks
+        # the flag that was stored with the emoji, which is never NULL.
+        stored = F.col(name).cast("string") if name in present else F.lit(default)
+        older = F.col(flag).isNull() if flag in present else F.lit(True)
+        return F.when(older, F.coalesce(stored, F.lit(default))).otherwise(stored).alias(name)
 
     return df.select(
         column("guild_id", "string"),
         column("version", "int", 1),
-        emoji("bookmark_emoji", BOOKMARK_EMOJI),
+        emoji("bookmark_emoji", BOOKMARK_EMOJI, "bookmark_enabled"),
         column("bookmark_enabled", "boolean", True),
-        emoji("pin_emoji", PIN_EMOJI),
+        emoji("pin_emoji", PIN_EMOJI, "pin_enabled"),
         column("pin_enabled", "boolean", False),
         column("pin_threshold", "int", 3),
         column("channel_category_id", "string"),

@@ -134,7 +134,7 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     write_feed(spark, str(tmp_path / "feed"), events, 6)
     feed = event_stream(spark, str(tmp_path / "feed"), max_files=1)
     out = str(tmp_path / "out")
-    query = start_routing(spark, feed, lambda: views.guilds(spark), out, str(tmp_path / "state"), compact_every=2)
+    query = start_routing(spark, feed, lambda: views.guilds(spark), out, str(tmp_path / "state"))
     query.awaitTermination()
     got = spark.read.parquet(f"{out}/routed")
     assert got.select("batch_id").distinct().count() == 6
