@@ -25,6 +25,50 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(named, same, how).drop(*(f"__right_{c}" for c in keys))
 
 
+#: Rows of one key in one fine time bucket from which on the bucket is cut, and into how many parts at least.
+HOT_ROWS = 100_000
+CUTS = 64
+#: Keys under which rows without a key are spread.
+NULL_KEYS = 1024
+
+
+def _code(column: Column, kind: str) -> Column | None:
+    """The order of a column as a whole number, or None for a type that has none."""
+    if kind.startswith("timestamp"):
+        return F.unix_micros(column.cast("timestamp"))
+    return column.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else None
+
+
+def _sub_bucket(tagged: DataFrame, keys: list[str], fine: str, order: list[str], hot_rows: int) -> DataFrame:
+    """Add ``__sub``, an ordered part of the fine bucket; 0 but in buckets with more than ``hot_rows`` rows of a key.
+
+    Cut points are quantiles of the first two order columns, taken over the rows of hot buckets alone. A row equal to
+    a cut of the first column is placed by the second, so rows of one instant are spread like others. Parts keep the
+    order, whatever the cuts; only their sizes depend on them.
+    """
+    kinds = dict(tagged.dtypes)
+    codes = [_code(F.col(name), kinds[name]) for name in order[:2]]
+    if codes[0] is None:
+        return tagged.withColumn("__sub", F.lit(0))
+    codes = [code for code in codes if code is not None]
+    group = [*keys, fine]
+    hot = tagged.groupBy(*group).agg(F.count("*").alias("__rows")).where(F.col("__rows") > hot_rows).drop("__rows")
+    shares = [k / CUTS for k in range(1, CUTS)]
+    coded = tagged.select(*group, *[code.alias(f"__code{k}") for k, code in enumerate(codes)])
+    cuts = _meet(coded, hot, group).groupBy(*group).agg(*[F.percentile_approx(f"__code{k}", shares).alias(f"__cuts{k}") for k in range(len(codes))])
+
+    def below(code: Column, cut: str) -> Column:
+        return F.size(F.filter(cut, lambda c: c < code))
+
+    first = codes[0]
+    part = below(first, "__cuts0") * 2 + F.array_contains("__cuts0", first).cast("int")
+    if len(codes) > 1:
+        inner = F.when(F.array_contains("__cuts0", first), F.coalesce(below(codes[1], "__cuts1"), F.lit(0))).otherwise(0)
+        part = part * (2 * CUTS) + inner
+    placed = _meet(tagged, cuts, group, "left").withColumn("__sub", F.when(F.col("__cuts0").isNull(), 0).otherwise(F.coalesce(part, F.lit(-1))))
+    return placed.drop(*[f"__cuts{k}" for k in range(len(codes))])
+
+
 def running_count(
     events: DataFrame,
     keys: list[str],
@@ -33,36 +77,40 @@ def running_count(
     time_col: str = "ts",
     buckets: tuple[str, str] = ("hour", "second"),
     prior: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``n``: how many events of the key there are up to and including this one.
 
     One key may hold a third of all events, so no window runs over a whole key. Events are counted
     per key and fine time bucket (combined before the shuffle); these totals are summed up within
     their coarse bucket, and the coarse totals within the key; the rows are ranked inside their fine
-    bucket only. Null keys are one key, and a row without time comes before all others. ``prior`` has one row per key with the count ``n`` before these events; it meets
-    the coarse totals and never the events themselves.
+    bucket only. A fine bucket with more than ``hot_rows`` rows of a key, all of one second or of one
+    instant even, is cut into ordered parts that count like buckets of their own. Null keys are one
+    key, and a row without time comes before all others. ``prior`` has one row per key with the count
+    ``n`` before these events; it meets the coarse totals and never the events themselves.
     """
     amount = F.col(delta) if delta else F.lit(1)
-    coarse, fine = "__coarse", "__fine"
-    tagged = events.withColumns({coarse: F.date_trunc(buckets[0], F.col(time_col)), fine: F.date_trunc(buckets[1], F.col(time_col))})
+    coarse, fine, sub = "__coarse", "__fine", "__sub"
+    timed = events.withColumns({coarse: F.date_trunc(buckets[0], F.col(time_col)), fine: F.date_trunc(buckets[1], F.col(time_col))})
+    tagged = _sub_bucket(timed, keys, fine, order, hot_rows)
 
-    def sum_before(total: str, group: list[str], by: str) -> Column:
-        earlier = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    def sum_before(total: str, group: list[str], *by: str) -> Column:
+        earlier = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(total).over(earlier), F.lit(0))
 
-    fine_totals = tagged.groupBy(*keys, coarse, fine).agg(F.sum(amount).alias("__n"))
-    fine_before = fine_totals.withColumn("__fine_before", sum_before("__n", [*keys, coarse], fine))
+    fine_totals = tagged.groupBy(*keys, coarse, fine, sub).agg(F.sum(amount).alias("__n"))
+    fine_before = fine_totals.withColumn("__fine_before", sum_before("__n", [*keys, coarse], fine, sub))
     coarse_totals = fine_totals.groupBy(*keys, coarse).agg(F.sum("__n").alias("__n"))
     coarse_before = coarse_totals.select(*keys, coarse, sum_before("__n", keys, coarse).alias("__coarse_before"))
     start = F.col("__coarse_before") + F.col("__fine_before")
     if prior is not None:
         coarse_before = _meet(coarse_before, prior.select(*keys, F.col("n").alias("__prior")), keys, "left")
         start = start + F.coalesce("__prior", F.lit(0))
-    offsets = _meet(fine_before, coarse_before, [*keys, coarse]).select(*keys, fine, start.alias("__before"))
-    local = Window.partitionBy(*keys, fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = _meet(tagged, offsets, [*keys, fine])
+    offsets = _meet(fine_before, coarse_before, [*keys, coarse]).select(*keys, fine, sub, start.alias("__before"))
+    local = Window.partitionBy(*keys, fine, sub).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _meet(tagged, offsets, [*keys, fine, sub])
     count = (F.col("__before") + F.sum(amount).over(local)).cast("bigint")
-    return ranked.withColumn("n", count).drop(coarse, fine, "__before")
+    return ranked.withColumn("n", count).drop(coarse, fine, sub, "__before")
 
 
 def matches_emoji(setting: str, default: str) -> Column:
@@ -119,10 +167,13 @@ NEW_GUILD = {
 def with_settings(events: DataFrame, guilds: DataFrame) -> DataFrame:
     """Events with the settings of their guild, or with those of a new guild where none are stored.
 
-    Direct messages have no guild and get no settings. The optimizer broadcasts the settings when
-    their size allows it.
+    Direct messages have no guild and get no settings; they meet the settings under many keys that no guild has, so
+    that they are not all of one key. The optimizer broadcasts the settings when their size allows it.
     """
-    known = events.join(guilds.withColumn("__stored", F.lit(True)), "guild_id", "left")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[n for n, kind in events.dtypes if "map<" not in kind]), F.lit(NULL_KEYS)).cast("string"))
+    stored = guilds.withColumnRenamed("guild_id", "__guild").withColumn("__stored", F.lit(True))
+    keyed = events.withColumn("__key", F.coalesce(F.col("guild_id").cast("string"), spread))
+    known = keyed.join(stored, F.col("__key") == F.col("__guild"), "left").drop("__key", "__guild")
     fresh = F.col("guild_id").isNotNull() & F.col("__stored").isNull()
     filled = {
         name: F.when(fresh, F.lit(value).cast(kind)).otherwise(F.col(name)) for name, (kind, value) in NEW_GUILD.items()
