@@ -20,9 +20,11 @@ class Descent:
     Lists start with ``k`` neighbours from ``orders`` random-projection orders, each vector compared with the
     next ``reach`` in an order. Then neighbours of neighbours are compared in up to ``rounds`` rounds, until
     fewer than ``settled`` of the lists' entries are new. ``members``: vectors of a local comparison at one
-    node; larger neighbourhoods are dealt into several. ``audit_rows`` queries are held against all rows;
-    below ``recall`` the lists are doubled and refined again, up to ``enlarge`` times. ``block``: rows of a
-    block in the exact comparison inside a component.
+    node; larger neighbourhoods are dealt into several. A list is saturated if it is full of links; it grows by
+    ``k`` neighbours outside its vector's component, as often as that finds links. ``audit_rows`` queries are held
+    against all rows; below ``recall`` all lists are doubled and refined again, up to ``enlarge`` times, and the
+    recall that was reached is told. ``block``: rows of a block in the exact comparison inside a component.
+    ``run``: rows of one component that wait for the next component in an order.
     """
 
     threshold: float = 0.95
@@ -36,6 +38,7 @@ class Descent:
     recall: float = 0.98
     enlarge: int = 2
     block: int = 256
+    run: int = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,39 +59,54 @@ def _by_runs(keys: np.ndarray):
     return zip(cuts[:-1], cuts[1:])
 
 
-def _first_lists(vectors: DataFrame, p: Descent, width: int) -> DataFrame:
-    """Directed neighbour candidates from orders by the signs of random projections.
+def _first_lists(vectors: DataFrame, p: Descent, width: int, seed: int = 11) -> DataFrame:
+    """Directed neighbour candidates from orders by the signs of random projections: the next rows of another component.
 
-    Ties lie anywhere, so equal codes spread over range partitions instead of filling one task.
+    ``vectors`` has (id, component, x); at first every vector is a component of its own. Ties lie anywhere, so equal
+    codes spread over range partitions instead of filling one task.
     """
-    planes = np.random.default_rng(11).standard_normal((p.orders, 30, width))
+    planes = np.random.default_rng(seed).standard_normal((p.orders, 30, width))
 
     def codes():
         weights = 1 << np.arange(29, -1, -1, dtype=np.int64)
 
         def one(batch: pa.RecordBatch):
             rows = _matrix(batch.column("x"))
-            for order in range(p.orders):
+            for order in range(p.orders if len(rows) else 0):
                 code = ((rows @ planes[order].T) > 0) @ weights
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), order, np.int32)), pa.array(code.astype(np.int64)), *batch.columns], names=["order", "code", "id", "x"]
+                    [pa.array(np.full(len(rows), order, np.int32)), pa.array(code.astype(np.int64)), *batch.columns], names=["order", "code", *batch.schema.names]
                 )
 
         return one
 
     def compare():
+        held: list[pa.RecordBatch] = []
+
         def one(batch: pa.RecordBatch):
-            orders, ids, rows = batch.column("order").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("x"))
-            for gap in range(1, min(p.reach, len(ids) - 1) + 1):
-                same = np.flatnonzero(orders[gap:] == orders[:-gap])
-                s = np.einsum("ij,ij->i", rows[same], rows[same + gap])
-                yield _pairs_out(ids[same], ids[same + gap], s)
+            """The last run of a batch, or the end of a long one, waits for the next batch."""
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches() if held else [batch]
+            if not whole or not whole[0].num_rows:
+                return
+            orders, ids, comps = (whole[0].column(c).to_numpy() for c in ("order", "id", "component"))
+            rows = _matrix(whole[0].column("x"))
+            ends = np.r_[np.flatnonzero((orders[1:] != orders[:-1]) | (comps[1:] != comps[:-1])) + 1, len(ids)]
+            after = ends[np.searchsorted(ends, np.arange(len(ids)), "right")]
+            for gap in range(p.reach):
+                left = np.flatnonzero(after + gap < len(ids))
+                right = after[left] + gap
+                met = (orders[left] == orders[right]) & (comps[left] != comps[right])
+                left, right = left[met], right[met]
+                if len(left):
+                    yield _pairs_out(ids[left], ids[right], np.einsum("ij,ij->i", rows[left], rows[right]))
+            last = int(ends[-2]) if len(ends) > 1 else 0
+            held[:] = [whole[0].slice(max(last, len(ids) - p.run))]
 
         return one
 
-    dealt = map_batches(vectors.select("id", "x"), "order int, code long, id long, x array<double>", codes)
+    dealt = map_batches(vectors.select("id", "component", "x"), "order int, code long, id long, component long, x array<double>", codes)
     parts = max(8, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartitionByRange(parts, "order", "code", "id").sortWithinPartitions("order", "code", "id")
+    dealt = dealt.repartitionByRange(parts, "order", "code", "component", "id").sortWithinPartitions("order", "code", "component", "id")
     return map_batches(dealt, "u long, v long, s double", compare)
 
 
@@ -103,30 +121,30 @@ def _refined(lists: DataFrame, vectors: DataFrame, p: Descent) -> DataFrame:
 
     A node gathers the vectors of its neighbours in either direction and compares them among themselves;
     a large neighbourhood is dealt into parts of about ``members`` by hash. A pair goes on for an end
-    whose list it improves.
+    whose list it improves; two of one component are no pair.
     """
     worst = lists.groupBy("u").agg(F.min("s").alias("worst"))
     sides = lists.select(F.col("u").alias("node"), F.col("v").alias("id")).union(lists.select(F.col("v").alias("node"), F.col("u").alias("id"))).distinct()
     degrees = sides.groupBy("node").agg(F.count("*").alias("degree"))
-    carried = vectors.select("id", "x").join(worst.select(F.col("u").alias("id"), "worst"), "id")
+    carried = vectors.select("id", "component", "x").join(worst.select(F.col("u").alias("id"), "worst"), "id")
     dealt = (
         sides.join(degrees, "node")
         .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("degree") / p.members)))
         .join(carried, "id")
-        .select("node", "part", "id", "worst", "x")
+        .select("node", "part", "id", "component", "worst", "x")
     )
     dealt = dealt.repartition("node", "part").sortWithinPartitions("node", "part")
 
     def make():
         def one(batch: pa.RecordBatch):
             ids, worst, rows = batch.column("id").to_numpy(), batch.column("worst").to_numpy(), _matrix(batch.column("x"))
-            key = batch.column("node").to_numpy() * 1_000_003 + batch.column("part").to_numpy()
+            key, comps = batch.column("node").to_numpy() * 1_000_003 + batch.column("part").to_numpy(), batch.column("component").to_numpy()
             left, right, near = [], [], []
             for a, b in _by_runs(key):
                 if b - a < 2:
                     continue
                 s = rows[a:b] @ rows[a:b].T
-                i, j = np.nonzero((s > worst[a:b, None]) & ~np.eye(b - a, dtype=bool))
+                i, j = np.nonzero((s > worst[a:b, None]) & (comps[a:b, None] != comps[a:b]))
                 left.append(ids[a + i])
                 right.append(ids[a + j])
                 near.append(s[i, j])
@@ -178,12 +196,16 @@ def _counts_within(members: DataFrame, p: Descent) -> DataFrame:
 
         def one(batch: pa.RecordBatch):
             """The last group of a batch waits for the next one."""
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+            tables = [table for table in (*held, batch) if table.num_rows]
+            if not tables:
+                return
+            whole = pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
             key = np.stack([whole.column(c).to_numpy() for c in ("component", "a", "b")], 1)
             changes = np.flatnonzero((key[1:] != key[:-1]).any(1))
             cut = int(changes[-1]) + 1 if len(changes) else 0
             held[:] = [whole.slice(cut)]
-            yield from out(whole.slice(0, cut))
+            if cut:
+                yield from out(whole.slice(0, cut))
 
         def rest():
             for batch in held:
@@ -216,15 +238,64 @@ def _audit(vectors: DataFrame, p: Descent, total: int) -> DataFrame:
     return map_batches(vectors.select("id", "copies", "x"), "id long, links long", make).groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _descend(lists: DataFrame, vectors: DataFrame, p: Descent, k: int, total: int) -> DataFrame:
+    """Lists refined until few of their entries are new."""
+    for _ in range(p.rounds):
+        new = written(_shortened(lists.union(_refined(lists, vectors, p)), k), "lists")
+        changed = new.join(lists, ["u", "v"], "left_anti").count()
+        lists = new
+        if changed <= p.settled * total * k:
+            break
+    return lists
+
+
+def _unsaturated(vectors: DataFrame, lists: DataFrame, p: Descent, k: int, width: int) -> DataFrame:
+    """Components of the linked vectors: (node, component).
+
+    A list with k links may hide others behind them. Its vector's own component is settled by the exact comparison, so
+    the list grows by neighbours outside of it: the vectors with such lists go through a descent of their own, in which
+    two of one component are no neighbours. That is repeated for lists that are full again, until no list is saturated
+    or none finds a link; each pass joins components, so passes end.
+    """
+    links = lists.where(F.col("s") >= p.threshold)
+    groups = written(components(links.select("u", "v")), "groups")
+    seed = 11
+    while True:
+        full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= p.threshold))
+        members = vectors.join(full.select(F.col("u").alias("id")), "id").join(groups.select(F.col("node").alias("id"), "component"), "id")
+        members = written(members.select("id", "component", "x"), "saturated")
+        held = members.agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).first()
+        if held["low"] == held["high"]:  # none, or all of one component
+            return groups
+        seed += 1
+        lists = written(_shortened(_first_lists(members, p, width, seed), k), "lists")
+        lists = _descend(lists, members, p, k, held["n"])
+        found = lists.where(F.col("s") >= p.threshold).select("u", "v")
+        if found.isEmpty():
+            return groups
+        groups = written(components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)), "groups")
+
+
+def _recall(audit: DataFrame | None, counts: DataFrame) -> float:
+    """The smaller one of two recalls over the audited vectors that have links: that of links, and the mean of a vector's."""
+    if audit is None:
+        return 1.0
+    met = audit.where("links > 0").join(counts.withColumnRenamed("links", "found"), "id", "left")
+    found = F.least(F.coalesce("found", F.lit(0)), "links")
+    seen = met.agg((F.sum(found) / F.sum("links")).alias("links"), F.avg(found / F.col("links")).alias("vectors")).first()
+    return 1.0 if seen["links"] is None else min(seen["links"], seen["vectors"])
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", params: Descent = Descent()) -> DataFrame:
-    """One row (vec_id, n_links, component_id, kept) for each row: vectors linked at cosine ``threshold`` or more.
+    """One row (vec_id, n_links, component_id, kept, recall) for each row: vectors linked at cosine ``threshold`` or more.
 
     Cosines are computed in double precision. A null or zero vector, one that holds a null or a component that
     is not finite, and one whose length is not the most frequent one of the table is linked with nothing; so is
     a row without key, which is kept. Equal vectors are one node with a number of copies, so copies are never
     expanded into pairs. A full list whose every neighbour is linked may hide more links: the exact comparison
-    inside components makes up for it, and the audit enlarges all lists where links between components are
-    missed. An empty table gives no rows; other columns are not read.
+    inside components makes up for those inside, and the list grows for those between components. ``recall`` is what
+    the audit of bounded size found in the end, the same in all rows. An empty table gives no rows; other columns are
+    not read.
     """
     p = params
     spark = rows.sparkSession
@@ -248,29 +319,19 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     )
     total = vectors.count()
     if not total:
-        return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     k = p.k
-    lists = written(_shortened(_first_lists(vectors, p, width), k), "lists")
+    alone = vectors.withColumn("component", F.col("id"))
+    lists = written(_shortened(_first_lists(alone, p, width), k), "lists")
     audit = _audit(vectors, p, total)
     audit = written(audit, "audit") if audit is not None else None
     for attempt in range(p.enlarge + 1):
-        for _ in range(p.rounds):
-            new = written(_shortened(lists.union(_refined(lists, vectors, p)), k), "lists")
-            changed = new.join(lists, ["u", "v"], "left_anti").count()
-            lists = new
-            if changed <= p.settled * total * k:
-                break
-        links = lists.where(F.col("s") >= p.threshold)
-        groups = components(links.select("u", "v"))
+        lists = _descend(lists, alone, p, k, total)
+        groups = _unsaturated(vectors, lists, p, k, width)
         inside = groups.select(F.col("node").alias("id"), "component").join(vectors, "id")
         counts = written(_counts_within(inside, p), "counts")
-        if audit is None:
-            break
-        held = audit.join(counts.withColumnRenamed("links", "found"), "id", "left").agg(
-            F.sum("links").alias("links"), F.sum(F.least(F.coalesce("found", F.lit(0)), "links")).alias("found")
-        )
-        seen = held.first()
-        if not seen["links"] or seen["found"] >= p.recall * seen["links"]:
+        reached = _recall(audit, counts)
+        if reached >= p.recall:
             break
         k *= 2
     nodes = (
@@ -286,4 +347,5 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         marked.join(keys, "raw", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("recall", F.lit(float(reached)))
     )
