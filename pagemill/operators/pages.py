@@ -347,3 +347,7 @@ def descendant_counts(tokens: DataFrame) -> DataFrame:
     """Descendants of every node: ids grow in document order, so they are those up to the last one."""
     return page_nodes(tokens).select("page_id", "id", "tag", (F.col("last") - F.col("id")).cast("long").alias("n_descendants"))
 
+
+def containment(tokens: DataFrame) -> DataFrame:
+    """Per page and tag: how many elements there are and how many elements they contain in all."""
+    return descendant_counts(tokens).groupBy("page_id", "tag").agg(F.count("*").alias("n_nodes"), F.sum("n_descendants").alias("n_descendants"))

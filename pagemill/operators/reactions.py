@@ -262,3 +262,26 @@ def bookmark_cards(routed: DataFrame, messages: DataFrame) -> DataFrame:
     """Cards to send: one per bookmark event, to the user who reacted."""
     marks = routed.where(F.col("action") == "bookmark").select("event_id", "user_id", "message_id")
     return marks.join(message_cards(messages), "message_id")
+
+
+# The edge of a portrait on a card, and the bytes of files that one delivery takes.
+ICON_SIZE = 64
+FILE_LIMIT = 10 * 1024 * 1024
+
+
+def bookmark_deliveries(cards: DataFrame, media: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
+    """Cards with the author's portrait and the message's files; files that are too much together stay out.
+
+    ``media`` has (message_id, avatar_url, attachments: array of (url, size)), one row per message or none.
+    """
+    size = F.aggregate(F.col("attachments"), F.lit(0).cast("bigint"), lambda n, a: n + F.coalesce(a["size"], F.lit(0)))
+    urls = F.transform("attachments", lambda a: a["url"])
+    none = F.array().cast("array<string>")
+    told = media.select(
+        "message_id",
+        F.concat(F.nullif(F.col("avatar_url"), F.lit("")), F.lit(f"?size={ICON_SIZE}")).alias("icon_url"),
+        F.when(size <= limit, urls).otherwise(none).alias("files"),
+        (size > limit).alias("files_left_out"),
+    )
+    joined = cards.join(told, "message_id", "left")
+    return joined.withColumns({"files": F.coalesce("files", none), "files_left_out": F.coalesce("files_left_out", F.lit(False))})

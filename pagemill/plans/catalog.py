@@ -314,6 +314,23 @@ def dom_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.descendant_counts(tokens_of(load_pages(spark, sf_dir))).where("tag = 'nav'").select("page_id", "n_descendants")
 
 
+@query
+def dom_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.containment(tokens_of(load_pages(spark, sf_dir)))
+
+
+@query
+def code_markups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code blocks of pages that hold every markup."""
+    return codeblocks.code_block_table(tokens_of(views.code_markups(spark, sf_dir)))
+
+
+@query
+def code_markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as Markdown, with inline code."""
+    return render.page_markdown(tokens_of(views.code_markups(spark, sf_dir)))
+
+
 @query
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codeblocks.code_block_table(tokens_of(views.code_pages(spark, sf_dir)))
@@ -408,6 +425,14 @@ def bookmark_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reactions.bookmark_cards(routed, views.messages(spark, sf_dir))
 
 
+@query
+def bookmark_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards as they are sent, with portrait and files."""
+    cards = bookmark_cards(spark, sf_dir).select("event_id", "user_id", "message_id", "author")
+    sent = reactions.bookmark_deliveries(cards, views.media(spark, sf_dir))
+    return sent.select("event_id", "user_id", "message_id", "author", "icon_url", F.array_join("files", " ").alias("files"), "files_left_out")
+
+
 # --- registry -----------------------------------------------------------------------------------
 
 

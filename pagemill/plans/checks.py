@@ -456,6 +456,48 @@ pm AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN '# ' || text ELSE stars |
   FROM pm3 WHERE text <> '' GROUP BY page_id)"""
 
 
+# Elements of the test pages. A bold start is never closed: three at most are opened again in every later paragraph
+# with text and in the footer, each inside the one before.
+NODES = f"""{PAGE_MARKDOWN},
+pb AS (SELECT page_id, CAST(least(before, 3) AS BIGINT) + CAST(opens AS BIGINT) AS m, len(regexp_extract_all(part, '<br>')) AS brs, opens
+  FROM pm2 WHERE i > 1 AND {strip("part")} <> ''),
+ps AS (SELECT page_id, sum(m) AS bolds, sum(m * (m - 1) // 2 + m * brs) AS inner_bold, least(sum(CAST(opens AS BIGINT)), 3) AS f FROM pb GROUP BY 1),
+pc AS (SELECT pages.page_id, len(regexp_extract_all(html, '<li>')) AS li, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '<br>')) AS br,
+  coalesce(bolds, 0) AS bolds, coalesce(inner_bold, 0) AS inner_bold, coalesce(f, 0) AS f FROM pages LEFT JOIN ps ON ps.page_id = pages.page_id),
+pt AS (SELECT *, 6 + 2 * li + p + br + bolds + f AS in_body FROM pc),
+nodes AS (
+  SELECT page_id, unnest(['html', 'head', 'meta', 'title', 'style', 'script', 'body', 'nav', 'ul', 'li', 'a', 'div', 'article', 'h1', 'p', 'b', 'br', 'footer']) AS tag,
+    unnest([1, 1, 1, 1, 1, 1, 1, 1, 1, li, li, 1, 1, 1, p, bolds + f, br, 1]) AS n_nodes,
+    unnest([6 + in_body, 4, 0, 0, 0, 0, in_body, 1 + 2 * li, 2 * li, li, 0, 0, 1 + p + br + bolds, 0, br + bolds, inner_bold + f * (f - 1) // 2, 0, f]) AS n_descendants
+  FROM pt)"""
+
+# Rule, language and code of each block of the pages with all markups.
+MARKUP_BODY = "'x = \"' || page_id || ' & ' || translate(url, ':/.?=&#_', '') || '\";'"
+MARKUPS = [
+    ("expressive", "ts", f"{MARKUP_BODY} || {LF} || {LF} || 'end();'"),
+    ("expressive", "text", MARKUP_BODY),
+    ("container", "jsx", f"{MARKUP_BODY} || {LF} || 'end();'"),
+    ("container", "javascript", MARKUP_BODY),
+    ("astro", "go", f"{MARKUP_BODY} || {LF} || 'y z'"),
+    ("astro", "zig", MARKUP_BODY),
+    ("pre_code", "php", MARKUP_BODY),
+    ("pre_code", "lua", MARKUP_BODY),
+    ("pre_code", "perl", MARKUP_BODY),
+    ("pre_code", "xml", MARKUP_BODY),
+    ("pre_code", "yaml", MARKUP_BODY),
+    ("pre_code", "python", f"'from a import b' || {LF} || {MARKUP_BODY}"),
+    ("pre", "ini", MARKUP_BODY),
+]
+MARKUP_ROWS = " UNION ALL ".join(
+    f"SELECT page_id, {k} AS seq, '{rule}' AS rule, '{language}' AS language, {code} AS code FROM pages" for k, (rule, language, code) in enumerate(MARKUPS)
+)
+# Blocks in fences, one after the other. The clean-up sets blank lines around a fenced part between line feeds; as a match
+# takes both line feeds, the next block is not one, and what follows pairs its closing fence with the next opening one.
+FENCED = f" || {LF} || ".join(f"'```{language}' || {LF} || {code} || {LF} || '```'" for _, language, code in MARKUPS)
+MARKUP_TEXT = f"'# Code' || {LF} || {LF} || 'Call `' || {MARKUP_BODY} || '` or `y < 1` here.' || {LF} || {LF} || {FENCED}"
+MARKUP_PAGES = f"""SELECT page_id, regexp_replace({MARKUP_TEXT}, '(?s)\\n(```.*?```)\\n', {LF} || {LF} || '\\1' || {LF} || {LF}, 'g') AS markdown FROM pages"""
+
+
 # From the table msg on: links, pages, bundles, chunks, delivery.
 ARCHIVE = f"""{LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
     {records("markdown", "pmp")}, {BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
@@ -528,6 +570,10 @@ def all_checks() -> dict[str, str]:
         "code_blocks": f"""SELECT page_id, 0 AS seq, CASE WHEN page_id % 6 IN (1, 3) THEN 'pre' ELSE 'pre_code' END AS rule,
             CASE page_id % 6 WHEN 0 THEN 'sql' WHEN 1 THEN 'python' WHEN 2 THEN 'rust' WHEN 3 THEN 'text' WHEN 4 THEN 'css' ELSE 'python' END AS language,
             CASE WHEN page_id % 6 = 5 THEN 'import os' || {LF} ELSE '' END || {CODE_BODY} AS code FROM pages""",
+        "page_nodes": f"WITH {NODES} SELECT page_id, tag, CAST(n_nodes AS BIGINT) AS n_nodes FROM nodes WHERE n_nodes > 0",
+        "dom_containment": f"WITH {NODES} SELECT page_id, tag, CAST(n_nodes AS BIGINT) AS n_nodes, CAST(n_descendants AS BIGINT) AS n_descendants FROM nodes WHERE n_nodes > 0",
+        "code_markups": MARKUP_ROWS,
+        "code_markup_pages": MARKUP_PAGES,
         "front_matter": f"""WITH {META_PAGES}, {META} SELECT page_id, concat_ws({LF}, '---', 'title: ' || {json_text("title")}, 'source: ' || {json_text("url")}, 'archived: "{ISO_ARCHIVED}"',
             'author: ' || {json_text("author")}, 'published: ' || {json_text("published")}, 'description: ' || {json_text("description")}, 'site: ' || {json_text("site_name")}, '---') AS head FROM meta""",
         "bundle_markdown": f"""WITH {MESSAGES}, {LINKS}, {RECORDS}, {BUNDLES} SELECT message_id, n_pages, {safe_thread("name")} AS thread,
@@ -543,6 +589,10 @@ def all_checks() -> dict[str, str]:
             WHERE guild_id IS NOT NULL AND guild_id NOT IN (SELECT guild_id FROM guilds)""",
         "message_cards": f"WITH {MESSAGES}, {CARDS} SELECT * FROM cards",
         "bookmark_cards": f"""{TO_ROUTED}, {MESSAGES}, {CARDS} SELECT r.event_id, r.user_id, c.* FROM routed r JOIN cards c ON c.message_id = r.message_id WHERE r.action = 'bookmark'""",
+        "bookmark_deliveries": f"""{TO_ROUTED}, {MESSAGES}, {CARDS}, {with_view("media", views.MEDIA)}, size AS (SELECT *, file_size * (n_files * (n_files + 1) // 2) AS total FROM media)
+            SELECT r.event_id, r.user_id, c.message_id, c.author, avatar_url || '?size=64' AS icon_url,
+            CASE WHEN total > 10485760 OR n_files = 0 THEN '' WHEN n_files = 1 THEN file_url || '-1' ELSE file_url || '-1 ' || file_url || '-2' END AS files, total > 10485760 AS files_left_out
+            FROM routed r JOIN cards c ON c.message_id = r.message_id JOIN size ON size.message_id = c.message_id WHERE r.action = 'bookmark'""",
         "command_dispatch": f"""WITH {INTERACTIONS} SELECT event_id, name, user_id, name = 'join' AS has_autocomplete FROM ia WHERE kind = 'command' AND name IN ('join', 'flush', 'ping')""",
         "unknown_commands": f"""WITH {INTERACTIONS} SELECT event_id, name, 'Trying to execute nonexistent command ' || name AS warning FROM ia
             WHERE kind = 'command' AND name NOT IN ('join', 'flush', 'ping')""",

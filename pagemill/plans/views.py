@@ -143,6 +143,34 @@ SELECT page_id, url, concat(
 FROM (SELECT page_id, url, concat('x = &quot;', regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;;', {LF}, 'y &lt; 1') AS body FROM {{pages}}) b
 """
 
+# Pages with every code markup there is, inline code included; the page's heading is the code.
+CODE_MARKUPS = f"""
+SELECT page_id, url, concat(
+  '<html><head><title>Markups</title></head><body><article><h1>Code</h1><p>Call <code>', body, '</code> or <code>y &lt; 1</code> here.</p>',
+  '<div class="expressive-code"><pre data-language="ts"><div class="ec-line"><div class="code">', body, '</div></div><div class="ec-line"><div class="gutter"></div></div>',
+  '<div class="ec-line"><div class="code">end();</div></div></pre></div>',
+  '<div class="expressive-code"><pre><code>', body, '</code></pre></div>',
+  '<div class="codeBlockContainer_ZGJx language-jsx"><pre class="prism-code language-js"><code><span class="token-line">', body,
+  '</span><span class="token-line">end();</span></code></pre></div>',
+  '<div class="codeBlockContainer_ZGJx"><pre class="prism-code"><code>', body, '</code></pre></div>',
+  '<pre class="astro-code" data-language="go"><code><span class="line">', body, '</span><span class="line">y&nbsp;z</span></code></pre>',
+  '<pre class="astro-code language-zig"><code>', body, '</code></pre>',
+  '<pre><code class="brush:php">', body, '</code></pre><pre><code class="syntax-lua">', body, '</code></pre>',
+  '<pre class="language-perl"><code>', body, '</code></pre><pre class="hljs-xml"><code>', body, '</code></pre>',
+  '<pre data-language="yaml"><code>', body, '</code></pre><pre><code>from a import b', {LF}, body, '</code></pre>',
+  '<pre class="hljs hljs-ini">', body, '</pre></article></body></html>') AS html
+FROM (SELECT page_id, url, concat('x = &quot;', page_id, ' &amp; ', translate(url, ':/.?=&#_', ''), '&quot;;') AS body FROM {{pages}}) b
+"""
+
+# Files and portraits of the messages' authors.
+MEDIA = """
+SELECT conv_id * 1000 + turn AS message_id,
+       CASE WHEN conv_id % 4 <> 0 THEN concat('https://cdn.example.com/avatars/', role, '/', cast(conv_id as varchar(19)), '.webp') END AS avatar_url,
+       turn % 3 AS n_files, concat('https://cdn.example.com/files/', cast(conv_id as varchar(19)), '/', cast(turn as varchar(19))) AS file_url,
+       cast(length(text) * 20000 as bigint) AS file_size
+FROM {conversations}
+"""
+
 # Snippets: the first sentence of a document behind the opening words of some language.
 SNIPPETS = f"""
 SELECT doc_id, concat(
@@ -224,6 +252,17 @@ def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_view(spark, sf_dir, CODE_PAGES)
 
 
+def code_markups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_view(spark, sf_dir, CODE_MARKUPS)
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(message_id, avatar_url, attachments)``."""
+    rows = spark_view(spark, sf_dir, MEDIA)
+    files = "transform(slice(array(1, 2), 1, cast(n_files as int)), i -> struct(concat(file_url, '-', i) AS url, file_size * i AS size))"
+    return rows.selectExpr("message_id", "avatar_url", f"{files} AS attachments")
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_view(spark, sf_dir, SNIPPETS)
 
