@@ -174,6 +174,23 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "iso", iso_millis(parse_date(F.col("iso"))).alias("again"))
 
 
+# The shapes in which dates are written, after Spark's date patterns; the last one is no date.
+DATE_SHAPES = [
+    "EEE, d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss '+0200'", "MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy",
+    "d MMM yyyy", "M/d/yyyy", "yyyy-MM-dd", "yyyy-MM", "yyyy", "yyyy-MM-dd HH:mm:ss", "'soon'",
+]
+
+
+@query
+def event_time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in every shape, parsed back."""
+    at = F.col("ts").cast("timestamp_ntz")
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(DATE_SHAPES):
+        text = F.when(F.col("event_id") % len(DATE_SHAPES) == k, F.date_format(at, shape)).otherwise(text)
+    return load_table(spark, sf_dir, "events").select("event_id", iso_millis(parse_date(text)).alias("parsed"))
+
+
 @query
 def detect_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.snippets(spark, sf_dir).select("doc_id", language_of_content(F.col("code")).alias("language"))
@@ -387,6 +404,36 @@ def archive_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivered(spark, root, archive.OUTBOX)
 
 
+@query
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown files of the archive job, read back."""
+    paths = archive.run_archive(spark, views.messages(spark, sf_dir), load_pages(spark, sf_dir), archived_at())
+    return spark.read.parquet(paths.files)
+
+
+def archive_with_empty_pages(spark: SparkSession, sf_dir: str) -> archive.ArchivePaths:
+    emptied = load_pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 9 == 0, "<html><body></body></html>").otherwise(F.col("html")))
+    return archive.run_archive(spark, views.messages(spark, sf_dir), emptied, archived_at())
+
+
+@query
+def archive_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures that the archive job writes: links without a page and links to pages without content."""
+    return spark.read.parquet(archive_with_empty_pages(spark, sf_dir).failed)
+
+
+@query
+def archive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(archive_with_empty_pages(spark, sf_dir).summary)
+
+
+@query
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thread and file names by the titles that the extraction finds."""
+    rows = pages.page_metadata(tokens_of(load_pages(spark, sf_dir)))
+    return rows.select("page_id", thread_name(F.col("title")).alias("thread"), file_stem(F.col("title")).alias("stem"))
+
+
 # --- events -------------------------------------------------------------------------------------
 
 

@@ -498,9 +498,12 @@ MARKUP_TEXT = f"'# Code' || {LF} || {LF} || 'Call `' || {MARKUP_BODY} || '` or `
 MARKUP_PAGES = f"""SELECT page_id, regexp_replace({MARKUP_TEXT}, '(?s)\\n(```.*?```)\\n', {LF} || {LF} || '\\1' || {LF} || {LF}, 'g') AS markdown FROM pages"""
 
 
-# From the table msg on: links, pages, bundles, chunks, delivery.
-ARCHIVE = f"""{LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
-    {records("markdown", "pmp")}, {BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
+# From the table msg on: links, pages and bundles, then chunks and delivery.
+TO_BUNDLES = f"""{LINKS}, {PAGE_MARKDOWN}, pmp AS (SELECT p.*, markdown FROM pages p JOIN pm ON pm.page_id = p.page_id),
+    {records("markdown", "pmp")}, {BUNDLES}"""
+BUNDLE_FILE = f"CASE WHEN n_pages = 1 THEN {safe_stem('title')} ELSE 'scraped-content-{ARCHIVED_AT_MS}' END || '-' || message_id || '.md'"
+SCRAPED = f"{LINKS}, {RECORDS}, sc AS (SELECT message_id, pos, url, CASE WHEN page_id % 9 <> 0 THEN page_id END AS page_id FROM jn)"
+ARCHIVE = f"""{TO_BUNDLES}, absolute AS (SELECT message_id AS doc_id, body AS text FROM bu), md AS (SELECT * FROM absolute),
     {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}, {DELIVERY}
     SELECT doc_id AS message_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub) - 1 AS seq,
     count(*) OVER (PARTITION BY doc_id) AS n_chunks, type, content, language FROM dv3"""
@@ -561,6 +564,14 @@ def all_checks() -> dict[str, str]:
         "page_chunks": f"""WITH RECURSIVE {PAGE_MARKDOWN}, absolute AS (SELECT page_id AS doc_id, markdown AS text FROM pm), {IMAGES}, {BLOCKS}, {ATOMS}, {REPACK}
             SELECT doc_id AS page_id, seq, n_chunks, type, content, language FROM chunks""",
         "archive_outbox": f"WITH RECURSIVE {MESSAGES}, {ARCHIVE}",
+        "archive_files": f"WITH RECURSIVE {MESSAGES}, {TO_BUNDLES} SELECT {BUNDLE_FILE} AS filename, body FROM bu",
+        "archive_failed": f"WITH {MESSAGES}, {SCRAPED} SELECT message_id, pos, url, 'Failed to scrape: ' || url AS error FROM sc WHERE page_id IS NULL",
+        "archive_summaries": f"""WITH {MESSAGES}, {SCRAPED}, s AS (SELECT message_id, count(*) AS n_links, count(page_id) AS n_scraped FROM sc GROUP BY 1)
+            SELECT *, 'Successfully scraped ' || n_scraped || ' out of ' || n_links || ' links' AS summary FROM s WHERE n_scraped > 0""",
+        "page_names": f"SELECT page_id, {safe_thread(TITLE)} AS thread, {safe_stem(TITLE)} AS stem FROM pages",
+        "event_time_forms": """SELECT event_id, strftime(CASE WHEN event_id % 13 IN (0, 2, 11) THEN date_trunc('second', ts) WHEN event_id % 13 = 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+            WHEN event_id % 13 < 9 THEN date_trunc('day', ts) WHEN event_id % 13 = 9 THEN date_trunc('month', ts) WHEN event_id % 13 = 10 THEN date_trunc('year', ts) END,
+            '%Y-%m-%dT%H:%M:%S.%gZ') AS parsed FROM events""",
         "archive_delivery": f"WITH RECURSIVE {MESSAGES}, {ARCHIVE}",
         "stream_archive": f"""WITH RECURSIVE {TO_ROUTED.removeprefix("WITH ")}, {with_view("all_msg", views.MESSAGES)},
             msg AS (SELECT * FROM all_msg WHERE message_id IN (SELECT message_id FROM routed WHERE action = 'link')), {ARCHIVE}""",
