@@ -6,14 +6,78 @@ look-around is replaced by markers.
 
 from __future__ import annotations
 
-from ..functions.codelang import CONTENT_PATTERNS, anchored
-from ..functions.text import CODE_ENTITIES, STRUCK_RULE, WS, WS_CHARS
-from ..functions.urls import DENIED_PLACES, DENIED_SUFFIXES
-from ..operators.chunking import MAX_CHARS, MAX_CODE
-from ..operators.reactions import BOOKMARK_EMOJI, LINK_EMOJI, NO_CONTENT, PIN_EMOJI
+from ..functions.text import WS, WS_CHARS
 from . import views
 from .catalog import ARCHIVED_AT_MS, LINK_FORMS
 
+# Fixed values, written out here so that a wrong one in the library shows: emoji, limits, notice, denied places, entities, patterns.
+BOOKMARK_EMOJI = "🔖"
+PIN_EMOJI = "📌"
+LINK_EMOJI = "📝"
+MAX_CHARS = 2000
+MAX_CODE = 1900
+STRUCK_RULE = "~~                                                 ~~"
+NO_CONTENT = (
+    "*(no content)*\n\nThis may be an indication that the server has opted not to share message content with the bot."
+)
+DENIED_PLACES = [
+    "discord.com",
+    "discordapp.com",
+    "youtube.com/watch",
+    "youtu.be",
+    "twitter.com",
+    "x.com",
+    "instagram.com",
+    "tiktok.com",
+    "facebook.com",
+    "reddit.com",
+]
+DENIED_SUFFIXES = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".mp4", ".webm"]
+CODE_ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&amp;", "&"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", " "),
+]
+CONTENT_PATTERNS = [
+    (r"#!/bin/(bash|sh)", "bash"),
+    (r"#!/usr/bin/env\s+(python|python3)", "python"),
+    (r"#!/usr/bin/env\s+node", "javascript"),
+    (r"import\s+.*from\s+['\"]", "javascript"),
+    (r"const\s+\w+\s*=\s*\(", "javascript"),
+    (r"function\s+\w+\s*\(", "javascript"),
+    (r"class\s+\w+", "javascript"),
+    (r"def\s+\w+\s*\(", "python"),
+    (r"import\s+\w+", "python"),
+    (r"from\s+\w+\s+import", "python"),
+    (r"#include\s*<.*>", "cpp"),
+    (r'#include\s*".*"', "cpp"),
+    (r"using\s+namespace\s+std;", "cpp"),
+    (r"public\s+class\s+\w+", "java"),
+    (r"package\s+\w+;", "java"),
+    (r"import\s+java\.", "java"),
+    (r"<\?php", "php"),
+    (r"<\?=", "php"),
+    (r"<!DOCTYPE\s+html", "html"),
+    (r"<html[^>]*>", "html"),
+    (r"<div[^>]*>", "html"),
+    (r"body\s*\{", "css"),
+    (r"\.\w+\s*\{", "css"),
+    (r"(?i)SELECT\s+.*FROM", "sql"),
+    (r"(?i)INSERT\s+INTO", "sql"),
+    (r"(?i)UPDATE\s+.*SET", "sql"),
+    (r"(?i)DELETE\s+FROM", "sql"),
+    (r"(?i)CREATE\s+TABLE", "sql"),
+    (r"fn\s+\w+\s*\(", "rust"),
+    (r"use\s+\w+::", "rust"),
+    (r"go\s+func", "go"),
+    (r"package\s+main", "go"),
+    (r"import\s+\(", "go"),
+]
+
+
 LF = "chr(10)"
 IMAGE = r"!\[[^\]]*\]\([^)]+\)"
 LINK = r"\[[^\]]+\]\([^)]+\)"
@@ -386,7 +450,7 @@ LINE_KIND = f"""CASE WHEN regexp_matches({LINE}, '^#{{1,6}}[{WS}]') THEN 'headin
 
 
 def language_case(c: str) -> str:
-    arms = " ".join(f"WHEN regexp_matches({c}, {quote(anchored(p))}) THEN {quote(name)}" for p, name in CONTENT_PATTERNS)
+    arms = " ".join(f"WHEN regexp_matches({c}, {quote('^' + p.replace(chr(92) + 's', f'[{WS}]'))}) THEN {quote(name)}" for p, name in CONTENT_PATTERNS)
     return f"CASE {arms} END"
 
 

@@ -19,8 +19,8 @@ SELECT event_id, ts, user_id,
        (k + 100 * cast(floor(event_id / 2000) as bigint)) * 1000 + k % 3 AS message_id,
        concat('c', cast(k % 4 as varchar(9))) AS channel_id,
        CASE WHEN k % 10 = 9 THEN NULL ELSE concat('g', cast(k % 4 as varchar(9))) END AS guild_id,
-       CASE event_type WHEN 'click' THEN '\U0001f516' WHEN 'purchase' THEN '\U0001f4cc' WHEN 'signup' THEN '\U0001f4dd'
-                       WHEN 'view' THEN '\U0001f44d' ELSE '❌' END AS emoji_name,
+       CASE event_type WHEN 'click' THEN '🔖' WHEN 'purchase' THEN '📌' WHEN 'signup' THEN '📝'
+                       WHEN 'view' THEN '👍' ELSE '❌' END AS emoji_name,
        CASE WHEN event_type = 'error' THEN concat('e', cast(k % 3 as varchar(9))) END AS emoji_id
 FROM (SELECT event_id, ts, user_id, event_type, {K} AS k FROM {{events}}) e
 """
@@ -35,9 +35,9 @@ FROM (SELECT DISTINCT {K} % 4 AS c FROM {{events}}) e
 # emoji; the fourth guild has no row.
 GUILDS = """
 SELECT * FROM (VALUES
-  ('g0', 1, '\U0001f516', true, '\U0001f4cc', true, 3, 'cat-g0', true),
+  ('g0', 1, '🔖', true, '📌', true, 3, 'cat-g0', true),
   ('g1', 1, 'e1', true, cast(NULL as varchar(9)), true, 5, cast(NULL as varchar(9)), true),
-  ('g2', 1, '', false, '\U0001f44d', true, 3, 'cat-g2', false)
+  ('g2', 1, '', false, '👍', true, 3, 'cat-g2', false)
 ) AS t(guild_id, version, bookmark_emoji, bookmark_enabled, pin_emoji, pin_enabled, pin_threshold, channel_category_id, channels_enabled)
 """
 
