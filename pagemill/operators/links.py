@@ -64,9 +64,9 @@ def scrape_summary(joined: DataFrame) -> DataFrame:
     return counts.where("n_scraped > 0").select("message_id", "n_links", "n_scraped", text.alias("summary"))
 
 
-# Fixed patterns: an anchor's start tag, and its target in either quotes or in none.
-ANCHOR_PATTERN = r"(?i)<a\s[^>]*>"
-HREF_PATTERN = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# Fixed patterns: an anchor's start tag, whose quoted values may hold any character, and its target in either quotes or in none.
+ANCHOR_PATTERN = r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+HREF_PATTERN = r"""(?i)\A<a(?:[^"'=]++(?<!\shref)(?<!\shref\s{1,9})=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))*+[^"'=]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def page_links(pages: DataFrame) -> DataFrame:

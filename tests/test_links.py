@@ -26,6 +26,12 @@ def test_page_links_in_any_form(spark):
     assert [(r.page_id, r.pos, r.href) for r in links.page_links(df).orderBy("pos").collect()] == [(1, 0, "a"), (1, 1, "b c"), (1, 2, "d")]
 
 
+def test_page_links_beside_quoted_marks(spark):
+    html = "<a title='1 > 0' href=\"a>b\">x</a><a data-x=\"href='no'\" href=yes><a title=\"an href=no\">y</a><a title=k href = 'z' class='c'><a " + "x='>' " * 3000 + "href=far>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    assert [r.href for r in links.page_links(df).orderBy("pos").collect()] == ["a>b", "yes", "z", "far"]
+
+
 def test_denied_places_by_substring_or_host(spark):
     urls = ["https://netflix.com/a", "https://x.com/a", "https://m.youtube.com/watch?v=1", "https://youtube.com/c"]
     assert values(spark, urls, is_content_url) == [False, False, False, True]
