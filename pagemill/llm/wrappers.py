@@ -70,14 +70,19 @@ ASIDE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adslot", "adbox",
     "sponsor", "sponsored", "promo", "promotion", "promoted",
     "form", "search", "searchform", "login",
-    "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion",
-    "share", "sharing", "social",
+    "comment", "comments", "commentlist", "respond", "responses", "reply", "replies", "disqus", "discussion",
+    "share", "sharing", "social", "teaser", "teasers",
 }
+# Words that also name the whole of a layout: an element with no other ones that holds half of the host's text is content.
+WEAK_WORDS = {"widget", "widgets", "form", "header", "overlay", "modal", "search", "menu"}
+# Words beside which a word tells of the layout and not of the element: has-sidebar, no-comments, comments-open.
+BEFORE_WORDS = {"has", "with", "no", "not", "without", "non"}
+AFTER_WORDS = {"open", "closed", "enabled", "disabled", "off"}
 NEVER = ASIDE_TAGS - {"form", "fieldset", "label"}
-COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "responses", "reply", "replies", "disqus", "discussion"}
 ARTICLE_TAGS = {"article", "main"}
 ARTICLE_WORDS = {"articlebody"}
-HEADER_WORDS = {"header", "masthead", "banner"}
+HEADER_WORDS = {"header", "masthead"}
 # Elements whose name alone makes two of them alike; others are compared by what they hold.
 NAMED_BY_TAG = ARTICLE_TAGS | {"nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "dl", "dt", "dd"} | {f"h{n}" for n in range(1, 7)}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -94,6 +99,12 @@ def words_of(kind: str) -> set[str]:
     return set(kind.split(".")[1:])
 
 
+def own_words(words: list[str]) -> list[str]:
+    """Words of a name without those that tell of the layout around."""
+    around = zip(["", *words], words, [*words[1:], ""], strict=False)
+    return [w for before, w, after in around if w not in ASIDE_WORDS or not (before in BEFORE_WORDS or after in AFTER_WORDS)]
+
+
 def is_aside(kind: str) -> bool:
     return tag_of(kind) in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words_of(kind))
 
@@ -262,7 +273,7 @@ class Folder:
         self.runs: list[str] = []
 
     def opened(self, tag: str, words: list[str]) -> None:
-        kind = ".".join([tag, *words])
+        kind = ".".join([tag, *own_words(words)])
         if len(self.stack) >= DEPTH and is_aside(self.stack[-1][KIND]) and not is_aside(kind):
             kind = self.stack[-1][KIND]
         self.stack.append([kind, [], 1, 1])
@@ -288,7 +299,7 @@ def text_hash(text: str) -> int:
 
 def counts_inline(tag: str, words: list[str]) -> bool:
     """An inline element counts as a block where its name tells that it is no part of an article."""
-    return not ASIDE_WORDS.isdisjoint(words)
+    return not ASIDE_WORDS.isdisjoint(own_words(words))
 
 
 def page_expression(html: str | None, params: Inference) -> tuple[list, list[str]]:
@@ -383,10 +394,13 @@ class Reading:
             return False
         if tag in NEVER or not COMMENT_WORDS.isdisjoint(words):
             return True
+        told = words & ASIDE_WORDS
+        if tag not in ASIDE_TAGS and tag != "header" and told and told <= WEAK_WORDS and 2 * self.text_sums(item)[0] >= self.total > 0:
+            return False
         header = tag == "header" or (not HEADER_WORDS.isdisjoint(words) and tag not in HEADINGS)
         if header and not in_article:
             return not self.holds_article(item)
-        if tag in ASIDE_TAGS or not (ASIDE_WORDS - HEADER_WORDS).isdisjoint(words):
+        if tag in ASIDE_TAGS or told - HEADER_WORDS:
             return not self.holds_article(item)
         if in_article or is_article(kind) or len(item) > RANK or self.holds_article(item):
             return False
@@ -413,12 +427,18 @@ class Reading:
         found = []
         for number, item in enumerate(self.articles(self.wrapper)):
             mass = self.text_sums(item)[0]
-            found.append((-mass if tag_of(item[KIND]) != "main" else -(mass // 2), number, item))
+            around = tag_of(item[KIND]) == "main" and not self.has_title(item)
+            found.append((-(mass // 2) if around else -mass, number, item))
         places = [item for _, _, item in sorted(found, key=lambda x: x[:2])] or self.descend()
         for rank, item in enumerate(places):
             item[RANK:] = [rank]
         self.wrapper[RANK:] = [len(places)]
 
+    def has_title(self, item: list) -> bool:
+        """Whether the main heading lies in it, outside articles: then it is the article with its heading."""
+        parts = [x for x in item[CONTENT] if x[KIND] != SLOT and not is_article(x[KIND]) and not self.left_out(x, True)]
+        return any(tag_of(x[KIND]) == "h1" or self.has_title(x) for x in parts)
+
     def descend(self) -> list[list]:
         """Innermost first: elements with most of the running text of the one around, until headings lie beside it."""
         constant = not self.mass(self.wrapper, False)

@@ -93,6 +93,11 @@ def test_mismatches_become_optional_and_repeated_items():
         (f'<table><tr><td><a href=x>menu</a><td><h1>T</h1><p>{PROSE}</table>', f"T {PROSE}"),
         (f"<form><article><p>{PROSE}</article></form>", PROSE), (f"<ul>{'<li><a href=x>l</a>' * 5}</ul><p>{PROSE}", PROSE),
         (f"<div class=related><article>teaser</article></div><article><p>{PROSE}</article>", PROSE),
+        (f'<article><div class="content has-sidebar no-comments"><p>{PROSE}</div><div class="banner">buy</div><div class="responses">x</div></article>', PROSE),
+        (f'<div class="page-widget"><div class="widget text-widget"><p>{PROSE}</div></div><div class="widget">More</div>', PROSE),
+        (f'<ARTICLE><H1>T</H1><P>{PROSE}<BR/>end<!-- no --></P><NOSCRIPT>js</NOSCRIPT></ARTICLE><DIV CLASS=Ad>buy</DIV>', f"T {PROSE} end"),
+        (f'<main><h1>T</h1><article><p>{PROSE}</article><nav>m</nav></main>', f"T {PROSE}"),
+        (f'<main><h2>News</h2><article><h1>T</h1><p>{PROSE}</article></main>', f"T {PROSE}"),
         (f'<main><p>{PROSE} <span class="ad">buy</span> end</main><footer>f', f"{PROSE} end"),
     ],
 )
