@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -53,6 +55,15 @@ def ship(spark: SparkSession) -> None:
         context._pagemill_sent = context.applicationId
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker goes on to tasks of other stages, which need other tables."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU library only
+    if trim:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]]
 ) -> DataFrame:
@@ -68,6 +79,8 @@ def map_batches(
             yield from [out] if isinstance(out, pa.RecordBatch) else out
         if hasattr(one, "rest"):
             yield from one.rest()
+        del one
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
