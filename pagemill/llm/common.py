@@ -92,9 +92,11 @@ def sample_bucket(key: Column, modulus: int) -> Column:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts hold about ``limit`` bytes, one row at least."""
+    """Row ranges of a batch whose texts (or lists) hold about ``limit`` bytes (or items), one row at least."""
+    values = batch.column(column)
+    length = pa.compute.list_value_length if pa.types.is_list(values.type) else pa.compute.binary_length
     start, held = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, size in enumerate(length(values).to_pylist()):
         held += size or 0
         if held >= limit:
             yield start, i + 1

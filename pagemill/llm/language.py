@@ -186,8 +186,10 @@ def predict(docs: DataFrame, model: Model | None, keys: list[str]) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text when there
     is no model. A short text is never rejected for its distance. Ties go to the language that sorts first.
     """
-    keyed = docs.select(*keys, F.col("text").cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1])
+    # A text that is a key as well goes to the workers once.
+    text = "text" if "text" in keys and docs.schema["text"].dataType.simpleString() == "string" else "__text"
+    keyed = docs.select(*keys, *([F.col("text").cast("string").alias(text)] if text not in keys else []))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[: len(keys)])
 
     def make():
         grams = NGrams(model.params) if model else None
@@ -196,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None, keys: list[str]) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 names, scores, rejected = ["und"] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
-                counted = [grams(text.as_py()) for text in part.column("__text")] if model else []
+                counted = [grams(value.as_py()) for value in part.column(text)] if model else []
                 some = np.array([i for i, (_, n) in enumerate(counted) if n], int)
                 if len(some):
                     near = _weights(np.stack([counted[i][0] for i in some]), model.idf) @ model.centroids.T

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -264,12 +264,6 @@ class _Numbered(dict):
         return value
 
 
-@lru_cache(maxsize=1)
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """One for each Python worker, so that what it remembers serves the next task too."""
-    return Encoder(vocabulary)
-
-
 class Decoder:
     """Ids to text: byte pieces become the characters they spell (broken ones U+FFFD), control pieces nothing."""
 
@@ -301,7 +295,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 2 << 20)
     docs = docs.drop("token_ids").withColumn("text", F.col("text").cast("string"))
 
     def make():
-        encoder = _encoder(shared.value)
+        encoder = Encoder(shared.value)  # the task's own: a worker that goes on to other stages must not hold its memory
 
         def one(batch: pa.RecordBatch):
             for a, b in text_slices(batch, "text", block_bytes):
@@ -318,21 +312,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 2 << 20)
     return map_batches(docs, f"{fields}, token_ids array<int>", make)
 
 
-def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``rows`` with decoded (string) added from ``token_ids``; null ids decode to null."""
+def decode(rows: DataFrame, vocabulary: Vocabulary, block_ids: int = 1 << 18) -> DataFrame:
+    """``rows`` with decoded (string) added from ``token_ids``; null ids decode to null. Rows go out by ``block_ids``."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     rows = rows.drop("decoded")
 
     def make():
         decoder = Decoder(shared.value)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column("token_ids")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             known = lists.is_valid().to_pylist()
             texts = [decoder(values[offsets[i] : offsets[i + 1]]) if k else None for i, k in enumerate(known)]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
+        def one(batch: pa.RecordBatch):
+            for a, b in text_slices(batch, "token_ids", block_ids):
+                yield decoded(batch.slice(a, b - a))
+
         return one
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

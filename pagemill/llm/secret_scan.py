@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import map_batches
+from pagemill.llm.common import map_batches, text_slices
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: Base formats. Letters of the keywords count in either case, in ASCII only.
@@ -23,6 +24,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")  # a run is matched whole, so the length can stand in the pattern
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: Bytes of text that are scanned before their rows go out.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -136,8 +139,8 @@ def scan_secrets(docs: DataFrame, keys: list[str], params: Entropy = Entropy(),
 
     Spans are kind:start:end by start, then kind, joined by commas; starts and ends count code points.
     A null text counts as empty and stays null when masked. Whole texts are scanned, in time in
-    proportion to their length. One row for each row of ``docs``, in a narrow job without shuffle;
-    columns that are not in ``keys`` are not read.
+    proportion to their length, and rows go out by ``SLICE_BYTES`` of text, so a task holds its batch once. One row
+    for each row of ``docs``, in a narrow job without shuffle; columns that are not in ``keys`` are not read.
     """
     keyed = docs.select(*keys, F.col("text").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1])
@@ -149,7 +152,7 @@ def scan_secrets(docs: DataFrame, keys: list[str], params: Entropy = Entropy(),
         candidate = re.compile(params.candidate)
         allowed = [re.compile(a) for a in params.allowed]
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def scanned(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, hashes, spans, texts = [], [], [], []
             for value in batch.column("__text"):
                 text = value.as_py()
@@ -170,6 +173,10 @@ def scan_secrets(docs: DataFrame, keys: list[str], params: Entropy = Entropy(),
             names = [*keys, "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"] + ["text_masked"] * redact
             return pa.RecordBatch.from_arrays(columns, names=names)
 
+        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for a, b in text_slices(batch, "__text", SLICE_BYTES):
+                yield scanned(batch.slice(a, b - a))
+
         return one
 
     return map_batches(keyed, schema, make)

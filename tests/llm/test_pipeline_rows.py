@@ -1,5 +1,9 @@
 """The stage that drops near-duplicates works by row."""
 
+import gc
+
+import pyarrow as pa
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, number long"
@@ -26,3 +30,58 @@ def test_repeated_and_odd_rows(spark):
 
 def test_an_empty_table(spark):
     assert left(spark, []) == []
+
+
+def test_secrets_and_decoding_go_out_in_parts(monkeypatch, spark):
+    # A task held the masked texts, or the decoded ones, of a whole batch before any row went out.
+    from pagemill.llm import pieces, secret_scan
+
+    made = {}
+    for module in (secret_scan, pieces):
+        monkeypatch.setattr(module, "map_batches", lambda df, schema, make, m=module: made.setdefault(m, (df, make)))
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    secret_scan.scan_secrets(docs, ["doc_id"], redact=True)
+    long = "some words " * 40_000
+    texts = [long, None, "token=" + "Ab3" * 5, long, long, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "__text": texts})
+    parts = list(made[secret_scan][1]()(batch))
+    assert len(parts) > 1
+    assert [t for p in parts for t in p["text_masked"].to_pylist()] == [*texts[:2], "[assign]", *texts[3:]]
+
+    vocabulary = pieces.Vocabulary.load(corpus_pipeline.PIECES)
+    pieces.decode(docs, vocabulary, block_ids=4)
+    ids = [[vocabulary.pieces.index("a")] * n for n in (3, 0, 5, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["token_ids"])
+    parts = list(made[pieces][1]()(batch))
+    assert len(parts) > 1
+    assert [t for p in parts for t in p["decoded"].to_pylist()] == ["aaa", "", "aaaaa", "aa", None]
+
+
+def test_an_encoder_ends_with_its_task(monkeypatch, spark):
+    # Workers kept the segments that an encoder remembers while they ran tasks of other stages.
+    from pagemill.llm import pieces
+
+    made = []
+    monkeypatch.setattr(pieces, "map_batches", lambda df, schema, make: made.append(make))
+    pieces.encode(spark.createDataFrame([("x",)], "text string"), pieces.Vocabulary.load(corpus_pipeline.PIECES))
+    before = len([x for x in gc.get_objects() if isinstance(x, pieces.Encoder)])
+    one = made[0]()
+    assert len(list(one(pa.RecordBatch.from_pydict({"text": ["some words", None]})))) == 1
+    del one
+    gc.collect()
+    assert len([x for x in gc.get_objects() if isinstance(x, pieces.Encoder)]) == before
+
+
+def test_texts_go_to_the_workers_once(monkeypatch, spark):
+    # Texts went twice to the workers of the first and third stage, as a key and as what is read.
+    from pagemill.llm import language, secret_scan
+
+    sent = []
+    for module in (language, secret_scan):
+        monkeypatch.setattr(module, "map_batches", lambda df, schema, make, real=module.map_batches: sent.append(df) or real(df, schema, make))
+    docs = spark.createDataFrame([(1, "secret=" + "Ab3" * 5, "en", "s", 22), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert sorted(map(tuple, masked.collect())) == [(1, "[assign]", "en", "s", 8), (2, None, None, None, None)]
+    told = language.predict(docs, None, ["doc_id", "text"])
+    assert sorted(tuple(r)[:3] for r in told.collect()) == [(1, "secret=" + "Ab3" * 5, "und"), (2, None, "und")]
+    assert [sum("text" in c for c in df.columns) for df in sent] == [1, 1]
