@@ -1,7 +1,8 @@
 """Cleaning a corpus of documents in five stages, each written as Parquet and read again by the next.
 
-Every stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars), the
-last one tokens. Extra columns of the input are not carried on.
+Every stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars), from the
+mixing on with their place in the mix (mix_slot, mixed), the last one tokens. Other columns of the input are not
+carried on.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ BATCH_ROWS = 2000
 #: The same for the last stage, whose workers hold the vocabulary's tables beside one block of texts.
 TEXT_ROWS = 500
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document's place in the order of the mix, and whether its source's target holds it or it is surplus.
+PLACE = {"mix_slot": "long", "mixed": "boolean"}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,21 +67,28 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix; what a source has beyond its target follows after it."""
+    """All documents in the order of the mix; what a source has beyond its target follows after it.
+
+    Files keep no order, so each document's place goes with it, as ``mix_slot``; ``mixed`` is false for what follows.
+    """
     params = mixing.Mix()
     weights = mixing.supply_weights(docs, "source", params)
     mixed = mixing.mix(docs.select(COLUMNS), "source", "doc_id", weights, params)
-    return mixed.orderBy(F.col("mix_slot").asc_nulls_last()).select(COLUMNS)
+    return mixed.orderBy(F.col("mix_slot").asc_nulls_last()).select(*COLUMNS, *PLACE)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, and whether they decode to it."""
+    """Token ids of every text that is left, its place in the mix, and whether they decode to it.
+
+    Whoever reads the tokens in the order of ``mix_slot`` reads the mix; documents that were not mixed have no place.
+    """
     vocabulary = pieces.Vocabulary.load(PIECES)
     # Written between the two, so that a task has one Python worker with the vocabulary's tables and not two. Texts end
     # there: their digests tell whether the ids decode to them.
+    place = [F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in PLACE.items()]
     with batch_rows(spark, TEXT_ROWS):
-        encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
-        ids = written(encoded.select("doc_id", "lang", "source", "token_ids", _digest(F.translate("text", pieces.SPACE, " "))), "encoded")
+        encoded = pieces.encode(docs.select("doc_id", "lang", "source", *place, "text"), vocabulary)
+        ids = written(encoded.select("doc_id", "lang", "source", *PLACE, "token_ids", _digest(F.translate("text", pieces.SPACE, " "))), "encoded")
         return written(_checked(pieces.decode(ids, vocabulary)), "tokens")
 
 
@@ -93,6 +103,7 @@ def _checked(decoded: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *PLACE,
         F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
         "token_ids",
         F.coalesce(same, F.lit(True)).alias("round_trip"),

@@ -72,6 +72,22 @@ def test_an_encoder_ends_with_its_task(monkeypatch, spark):
     assert len([x for x in gc.get_objects() if isinstance(x, pieces.Encoder)]) == before
 
 
+def test_the_mix_reaches_the_tokens(spark):
+    # The order of the mix ended at the files of its stage; tokens had neither place nor surplus mark.
+    rows = [(i, f"word {i}", "en", "big" if i % 3 else f"s{i % 4}", 6) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    places = {r.doc_id: (r.mix_slot, r.mixed) for r in mixed}
+    assert [r.mix_slot for r in mixed] == sorted(r.mix_slot for r in mixed) and len({r.mix_slot for r in mixed}) == 120
+    assert {r.mixed for r in mixed} == {True, False}
+    shuffled = spark.createDataFrame(mixed).repartition(5, "doc_id")
+    tokens = corpus_pipeline.encode_pieces(spark, shuffled, "").collect()
+    assert {r.doc_id: (r.mix_slot, r.mixed) for r in tokens} == places
+    # Documents that were not mixed have no place.
+    plain = corpus_pipeline.encode_pieces(spark, docs, "").collect()
+    assert len(plain) == 120 and {(r.mix_slot, r.mixed) for r in plain} == {(None, None)}
+
+
 def test_texts_go_to_the_workers_once(monkeypatch, spark):
     # Texts went twice to the workers of the first and third stage, as a key and as what is read.
     from pagemill.llm import language, secret_scan
