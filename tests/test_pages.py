@@ -147,3 +147,27 @@ def test_covered_marks_topmost_spans(spark):
     assert row["c"] == [False, True, True, True, False, True, False]
     none = spark.range(1).select(pages.covered(F.lit(2), pages.topmost(F.expr(f"slice({spans}, 1, 0)"))).alias("c")).first()
     assert none["c"] == [False, False]
+
+
+def test_tokens_go_out_in_small_parts():
+    # A task held the tokens of four million characters of HTML as Python objects.
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from pagemill.sources import html
+
+    class Pages(SimpleNamespace):
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = html.page_tokens(Pages(columns=["page_id", "html"], schema=SimpleNamespace(fields=[])))
+    texts = [f"<p>{i} é﷐</p>" + "<b>x</b>" * 2000 if i % 7 else None for i in range(100)]
+    parts = list(run(iter([pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": texts})])))
+    assert [i for p in parts for i in p["page_id"].to_pylist()] == list(range(100))
+    assert max(sum(len(texts[i] or "") for i in p["page_id"].to_pylist()) for p in parts) <= (1 << 18) + 20_000
+    kept = parts[0]["tokens"][1].as_py()
+    assert "1 é�" in [t["text"] for t in kept]
