@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -39,11 +40,11 @@ FEATURES = [
 
 @dataclass(frozen=True)
 class Boosting:
-    """``fit_rows`` bounds the candidates that train and calibrate (in expectation, by hash); ``rounds`` trees of
-    ``depth``. A candidate is selected from the lowest score on whose calibration candidates reach ``precision``.
+    """``rounds`` trees of ``depth``. A candidate is selected from the lowest score on whose calibration candidates reach
+    ``precision``, with ``least`` of them at least. All candidates take part: a quarter (by hash) calibrates, the
+    others train.
     """
 
-    fit_rows: int = 8_000
     rounds: int = 12
     depth: int = 4
     precision: float = 0.99
@@ -176,20 +177,21 @@ def _selected(candidates: DataFrame, p: Boosting) -> DataFrame | None:
     No table names personal data, so the base formats label the candidates; the trees learn what such
     spans look like and where they stand.
     """
-    total = candidates.count()
-    if not total:
-        return None
-    chance = F.pmod(F.xxhash64("__row", "start", "kind"), F.lit(1 << 30)) / float(1 << 30)
-    sample = written(candidates.where(chance < min(1.0, p.fit_rows / total)).coalesce(4), "candidates")
-    fold = F.pmod(F.xxhash64("start", "__row"), F.lit(4))
-    train, held = sample.where(fold > 0), sample.where(fold == 0)
+    # Features are small whole numbers, so equal candidates are counted, not left out: the trees get each with its weight.
+    held = F.pmod(F.xxhash64("start", "__row"), F.lit(4)) == 0
+    tally = written(candidates.groupBy(held.alias("held"), "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")), "candidates")
+    rows = tally.count()
+    train = tally.where("not held").coalesce(max(4, rows // 50_000))
     if train.select("label").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    trees = GBTClassifier(maxIter=p.rounds, maxDepth=p.depth, labelCol="label", featuresCol="features", seed=7)
+    # Spark looks for splits in a sample once there are more rows than the square of the bins.
+    bins = max(32, math.isqrt(rows) + 1)
+    trees = GBTClassifier(maxIter=p.rounds, maxDepth=p.depth, maxBins=bins, labelCol="label", featuresCol="features", weightCol="weight", seed=7)
     model = trees.fit(assembler.transform(train))
     score = lambda df: model.transform(assembler.transform(df)).withColumn("score", vector_to_array("probability")[1])
-    bins = score(held).groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()
+    sums = [F.sum("weight").cast("long").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hits")]
+    bins = score(tally.where("held")).groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(*sums).collect()
     seen, right, threshold = 0, 0.0, None
     for row in sorted(bins, key=lambda r: -r["bin"]):
         seen, right = seen + row["n"], right + row["hits"]
@@ -216,7 +218,7 @@ def find_personal_data(docs: DataFrame, keys: list[str], params: Boosting = Boos
     Counts and digest are those of the base formats; ``spans`` has these and the candidates that the boosted
     trees add, which touch no base span. Spans are kind:start:stop by kind, then start; offsets count code
     points. Null texts count as empty. Texts are searched once, and what is found is written to the shared
-    folder; only candidates are shuffled. Columns that are not in ``keys`` are not read.
+    folder; only counts of equal candidates and added spans are shuffled. Columns that are not in ``keys`` are not read.
     """
     scanned = written(_scan(docs, keys), "scanned")
     added = _selected(_candidates(scanned), params)
