@@ -171,3 +171,9 @@ def test_tokens_go_out_in_small_parts():
     assert max(sum(len(texts[i] or "") for i in p["page_id"].to_pylist()) for p in parts) <= (1 << 18) + 20_000
     kept = parts[0]["tokens"][1].as_py()
     assert "1 é�" in [t["text"] for t in kept]
+
+
+def test_the_tokenizer_counts_no_lines_and_replaces_noncharacters():
+    done = _tokenize("<p>﷐a\n﷯b\n<button><p>c</button>\n<td>d")
+    assert done.getpos() == (1, 0)
+    assert "".join(t[2] or "" for t in done.tokens) == "�a\n�b\nc\nd"
