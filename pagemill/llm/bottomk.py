@@ -3,7 +3,7 @@
 1. Every document gets its set of word shingles (64-bit hashes). Documents with one set are one class.
 2. A class keeps the k smallest hashes of its set, its sketch. Retained values point back to classes
    (inverted lists). Of two sketches that overlap enough, the rarest values must overlap too, so only
-   those are listed: rare first in one order for all, the order of a fixed-size table of counts. A list
+   those are listed: rare first in one order for all, that of the classes which hold them. A list
    belongs to two values that are neighbours in that order. Lists of single values grow with the corpus;
    those of two stay short, and each value that two sets do not share parts at most one pair of neighbours:
    whole sets of union size u >= 5 keep 0.6 u - 1 >= 2 lists in common (smaller ones are equal or unlinked).
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_batches, written
 from pagemill.llm.graph import components
-from pagemill.llm.shingles import mixed, shingle_set
+from pagemill.llm.shingles import shingle_set
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,6 @@ class Sketching:
     members take the star step first, each member with ``centres`` of the centres it has most lists with,
     and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified;
     ``held``: share of the smaller sketch from which one is in a block (five standard deviations below 0.8).
-    ``count_bits``: size of the table that orders values.
     """
 
     width: int = 2
@@ -53,7 +52,6 @@ class Sketching:
     block: int = 256
     estimate: float = 0.6
     held: float = 0.55
-    count_bits: int = 22
 
     def least_common(self, size: int) -> int:
         """Sketch values that a linked pair has in common at least, for a set of ``size`` shingles."""
@@ -97,70 +95,23 @@ def _sketch_documents(docs: DataFrame, p: Sketching) -> DataFrame:
     )
 
 
-def _value_counts(classes: DataFrame, bits: int) -> np.ndarray:
-    """How many sketches hold a value of each of 2**bits buckets. The table has that fixed size at any input."""
-
-    def make():
-        total = np.zeros(1 << bits, np.int32)
-
-        def one(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            values = batch.column("sketch").flatten().to_numpy()
-            np.add.at(total, values & ((1 << bits) - 1), 1)
-            return []
-
-        def rest():
-            at = np.flatnonzero(total)
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
-
-        one.rest = rest
-        return one
-
-    summed = map_batches(classes.select("sketch"), "bucket int, n int", make).groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = summed.where("n > 1").select("bucket", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    counts = np.ones(1 << bits, np.int32)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
 def _postings(classes: DataFrame, p: Sketching) -> DataFrame:
     """(value, rep, n): a row for each two neighbours among the rarest retained values of a class.
 
-    Values that no other class can hold are left out before; ``value`` is a hash of both.
+    Values that no other class holds are left out before; ``value`` is a hash of both. Counts are those of
+    whole values over all classes, so the rows follow the values that classes share at any size of the corpus.
+    Rows that share a doc_id can be classes of one ``rep``, which ``d1`` tells apart.
     """
-    counts = classes.sparkSession.sparkContext.broadcast(_value_counts(classes, p.count_bits))
-    mask = (1 << p.count_bits) - 1
-
-    def make():
-        table = counts.value
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values, lengths = [], []
-            offsets = batch.column("sketch").offsets.to_numpy()
-            flat = batch.column("sketch").values.to_numpy()
-            sizes = batch.column("n").to_numpy()
-            for i, n in enumerate(sizes.tolist()):
-                sketch = flat[offsets[i] : offsets[i + 1]]
-                weight = table[sketch & mask]
-                rare = np.lexsort((sketch, weight))[: p.listed(n)]
-                rare = sketch[rare[weight[rare] > 1]].astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    pairs = mixed(rare[:-1] * np.uint64(0x9E3779B97F4A7C15) + rare[1:])
-                values.append((pairs >> np.uint64(1)).astype(np.int64))
-                lengths.append(len(pairs))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(values) if values else np.empty(0, np.int64)),
-                    pa.array(np.repeat(batch.column("rep").to_numpy(), lengths)),
-                    pa.array(np.repeat(sizes, lengths)),
-                ],
-                names=["value", "rep", "n"],
-            )
-
-        return one
-
-    return map_batches(classes.select("rep", "n", "sketch"), "value long, rep long, n long", make)
+    held = classes.select("rep", "n", "d1", F.explode("sketch").alias("value"))
+    shared = held.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
+    rare = held.join(shared, "value").groupBy("rep", "n", "d1").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("rare"))
+    # Values of one class alone are rarer than these: they count among those that are listed, but reach no other class.
+    alone = F.least("n", F.lit(p.k)) - F.size("rare")
+    cut = p.k * 100 // p.percent + 1  # sets of this size or more list equally many
+    listed = F.when(F.col("n") < cut, F.least("n", F.lit(p.k))).otherwise(p.listed(cut))
+    later = F.slice("rare", 2, F.greatest(listed - alone - 1, F.lit(0)).cast("int"))
+    pairs = F.transform(later, lambda x, i: F.xxhash64(F.get("rare", i)["value"], x["value"]))
+    return rare.select(F.explode(pairs).alias("value"), "rep", "n")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -389,7 +340,7 @@ def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFra
         .select("rep", F.col("n_shingles").alias("n"), "d1", "d2", "sketch"),
         "classes",
     )
-    postings = _postings(classes, p)
+    postings = written(_postings(classes, p), "postings")
     lists = (
         postings.groupBy("value")
         .agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.max("rep").alias("other_centre"))

@@ -94,6 +94,41 @@ def test_short_supersets_in_template_text(spark):
     assert [got[i] for i in range(300)] == want
 
 
+def test_lists_follow_shared_values_at_any_size(spark):
+    """Values of one class alone make no rows, however many there are: up to 1.3 million beside 200 that two classes share."""
+    p = bottomk.Sketching(slack=0.1)
+    # Each two of the first 40 classes share ten values; the rest of a sketch is its own.
+    value = lambda i: F.xxhash64(F.when((F.col("rep") < 40) & (i < 10), F.floor(F.col("rep") / 2)).otherwise(F.col("rep") + 1000), i)
+    for n in (4_000, 20_000):
+        classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(300).cast("long").alias("n"), F.xxhash64("id").alias("d1"))
+        classes = classes.withColumn("sketch", F.transform(F.sequence(F.lit(0), F.lit(63)), value))
+        rows = bottomk._postings(classes, p).collect()
+        # 61 values are listed: 54 of the class alone and seven that are shared, which make six pairs of neighbours.
+        assert p.listed(300) == 61 and len(rows) == 40 * 6 and {r["rep"] for r in rows} == set(range(40))
+        assert Counter(Counter(r["value"] for r in rows).values()) == {2: 20 * 6}
+
+
+def test_lists_hold_the_rarest_values_of_each_set(spark):
+    """Against plain counting; two classes share a rep, sets are cut and uncut."""
+    rng, p = random.Random(8), bottomk.Sketching(k=16)
+    sets = [sorted(rng.sample(range(400), n) if i % 3 else rng.sample(range(60), n)) for i, n in enumerate([1, 2, 5, 9, 16, 18, 20, 21, 40, 55] * 6)]
+    rows = [(i // 2 if i < 20 else i, len(s), i, s[: p.k]) for i, s in enumerate(sets)]
+    got = bottomk._postings(spark.createDataFrame(rows, "rep long, n long, d1 long, sketch array<long>"), p).collect()
+    times = Counter(v for r in rows for v in r[3])
+    pairs = []
+    for rep, n, _, sketch in rows:
+        rare = [v for v in sorted(sketch, key=lambda v: (times[v], v))[: p.listed(n)] if times[v] > 1]
+        pairs += [(pair, rep, n) for pair in zip(rare, rare[1:])]
+    assert Counter((r["rep"], r["n"]) for r in got) == Counter((rep, n) for _, rep, n in pairs)
+    lists = lambda found: sorted(sorted(held) for held in found.values())
+    want, have = {}, {}
+    for pair, rep, n in pairs:
+        want.setdefault(pair, []).append((rep, n))
+    for r in got:
+        have.setdefault(r["value"], []).append((r["rep"], r["n"]))
+    assert lists(have) == lists(want)
+
+
 def test_near_duplicate_documents_odd_rows(odd):
     got = sorted(map(tuple, bottomk.near_duplicates(odd).collect()), key=str)
     by_id = {r[0]: r for r in got}
