@@ -79,7 +79,7 @@ def map_batches(
             yield from [out] if isinstance(out, pa.RecordBatch) else out
         if hasattr(one, "rest"):
             yield from one.rest()
-        del one
+        one = batch = out = None
         release()
 
     ship(df.sparkSession)

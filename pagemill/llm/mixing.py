@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +126,11 @@ def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     )
 
 
+def _numbers(spark: SparkSession, of: dict[str, int], column: str) -> DataFrame:
+    """(mix_source, ``column``). From Arrow, as a list of rows would start a second set of Python workers on the executors."""
+    return spark.createDataFrame(pa.table({"mix_source": pa.array(of.keys(), pa.string()), column: pa.array(of.values(), pa.int64())}))
+
+
 def _whole(a: Column, b: Column | int) -> Column:
     """Whole quotient of whole numbers."""
     return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
@@ -175,9 +181,9 @@ def mix(rows: DataFrame, source: str, key: str, weights: dict[str, int], p: Mix
     # The first slot without a block: a source of n rows has n / block_rows blocks, and its next one is due then.
     held = {r["mix_source"]: r["n"] for r in sizes.groupBy("mix_source").agg(F.sum("__n").alias("n")).collect()}
     held = {s: -(-min(n, targets.get(s, n)) // p.block_rows) for s, n in held.items()}
-    blocks = spark.createDataFrame([*held.items()], "mix_source string, blocks long")
+    blocks = _numbers(spark, held, "blocks")
     plan = written(schedule(spark, weights), "plan")  # folded once
-    units = spark.createDataFrame([(s, w) for s, w in weights.items()], "mix_source string, __w long")
+    units = _numbers(spark, weights, "__w")
     dry = (
         units.join(blocks, "mix_source", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(0)))

@@ -92,10 +92,13 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes blocks of texts. Memory per task: the vocabulary's tables, one block, and a cache of pairs of fixed size."""
+    """Encodes blocks of texts. Memory per task: the vocabulary's tables, one block, the lattice of one step of new
+    segments (or of one longer segment), and a cache of pairs of fixed size."""
 
     CACHE_BITS = 20
     REMEMBERED = 250_000
+    #: Characters of new segments whose lattice is held at once: its edges take about 100 bytes a character.
+    STEP_CHARS = 1 << 17
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         v = self.v = vocabulary
@@ -174,10 +177,17 @@ class Encoder:
         return out
 
     def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(token ids of all segments, end of each segment's ids)."""
+        """(token ids of all segments, end of each segment's ids), by steps of about ``STEP_CHARS`` characters."""
         if not segments:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        step = (np.cumsum(sizes + 1) - sizes - 1) // self.STEP_CHARS  # by where a segment starts
+        cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True])
+        ids, widths = zip(*(self._encode_step(segments[a:b], sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])))
+        return np.concatenate(ids), np.cumsum(np.concatenate(widths))
+
+    def _encode_step(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all segments, number of ids of each)."""
         codes = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         classes = self.class_of[codes]
@@ -228,7 +238,7 @@ class Encoder:
             table = np.array(self.v.bytes_at, np.int32)
             for i, x in zip(unknown.tolist(), spelled):
                 token[ends[i] - len(x) : ends[i]] = table[list(x)]
-        return token.astype(np.int32), np.cumsum(np.bincount(owner, width, len(segments)).astype(np.int64))
+        return token.astype(np.int32), np.bincount(owner, width, len(segments)).astype(np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts, number of ids of each). Segments of earlier blocks are remembered, up to a limit."""

@@ -1,10 +1,13 @@
 """The stage that drops near-duplicates works by row."""
 
 import gc
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from pagemill.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, number long"
 A = "one two three four five six seven eight nine ten eleven twelve"
@@ -101,3 +104,36 @@ def test_texts_go_to_the_workers_once(monkeypatch, spark):
     told = language.predict(docs, None, ["doc_id", "text"])
     assert sorted(tuple(r)[:3] for r in told.collect()) == [(1, "secret=" + "Ab3" * 5, "und"), (2, None, "und")]
     assert [sum("text" in c for c in df.columns) for df in sent] == [1, 1]
+
+
+def test_an_encoder_holds_one_step_of_new_segments(monkeypatch):
+    # The lattice of all new segments of a block was held at once, in every worker of the last stage.
+    from pagemill.llm import pieces
+
+    vocabulary = pieces.Vocabulary.load(corpus_pipeline.PIECES)
+    segments = [f"{pieces.SPACE}word{i}s" for i in range(40_000)] + ["", "x" * 5000, "\0\u00e9" * 7]
+
+    def encoded(step, some):
+        monkeypatch.setattr(pieces.Encoder, "STEP_CHARS", step, raising=False)
+        encoder = pieces.Encoder(vocabulary)
+        tracemalloc.start()
+        found = encoder._encode_segments(some)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    whole, _ = encoded(1 << 30, segments)
+    parts, large = encoded(1 << 14, segments)
+    assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(whole, parts))
+    assert large < 2 * encoded(1 << 14, segments[:5000])[1]
+
+
+def test_the_mix_starts_no_python_on_executors(spark, capsys):
+    # Weights went out as lists of rows, for which executors started a second daemon and workers of their own.
+    docs = spark.createDataFrame([(i, f"word {i}", "en", f"s{i % 3}", 6) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, written(docs, "mix-input"), "")
+    capsys.readouterr()
+    mixed.explain()
+    plan = capsys.readouterr().out
+    assert "Parquet" in plan and "ExistingRDD" not in plan and "Python" not in plan
+    assert mixed.count() == 60
