@@ -8,10 +8,13 @@
    those of two stay short, and each value that two sets do not share parts at most one pair of neighbours:
    whole sets of union size u >= 5 keep 0.6 u - 1 >= 2 lists in common (smaller ones are equal or unlinked).
 3. Long lists link their members to a few centres first. What that joins needs no further pairs. Members
-   of long lists that are still apart meet in blocks of bounded size, where sketches filter and full sets
-   decide, so only links leave a block.
-4. Pairs of short lists that share enough of them are filtered by the similarity that the sketch of their
-   union estimates, and the rest is verified on full sets.
+   of long lists that are still apart are listed anew, by their full sets: of n values those n - ceil(0.8 n) + 1
+   that the fewest components hold, as two linked sets have one of these in common. Most members only share a
+   passage with others, which is not among the rarest fifth of their values, and meet nobody.
+4. Where these lists are long too, their members meet in blocks of bounded size. Common values are counted
+   there, so only links leave a block.
+5. Pairs of short lists of either kind are filtered by the similarity that the sketch of their union
+   estimates, and the rest is verified on full sets.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ class Sketching:
     sketches of 32 values or more must share. Uncut sketches are in the lists of all their neighbouring
     values, so their links are all found, whatever the frequency of the values. Lists of more than ``long_list``
     members take the star step first, each member with ``centres`` of the centres it has most lists with,
-    and then blocks of ``block`` rows. ``estimate``: estimated similarity from which a pair is verified;
-    ``held``: share of the smaller sketch from which one is in a block (five standard deviations below 0.8).
+    and then blocks of ``block`` rows or ``block_values`` values, whichever comes first. ``estimate``: estimated
+    similarity from which a pair is verified.
     """
 
     width: int = 2
@@ -49,9 +52,9 @@ class Sketching:
     shared: int = 2
     long_list: int = 16
     centres: int = 2
-    block: int = 256
+    block: int = 1024
+    block_values: int = 1 << 18
     estimate: float = 0.6
-    held: float = 0.55
 
     def least_common(self, size: int) -> int:
         """Sketch values that a linked pair has in common at least, for a set of ``size`` shingles."""
@@ -232,30 +235,91 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Sketching) -> DataFrame:
     return exact.union(pairs.where("sure").select("a", "b"))
 
 
-def _incidence(sketches: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sketches), len(vocabulary)), np.float32)
-    for row, sketch in zip(out, sketches):
-        row[np.searchsorted(vocabulary, sketch)] = 1
+def _rarest(sets: DataFrame, p: Sketching) -> DataFrame:
+    """(value, rep, n, component): of each set (rep, n, component, set) the values of which two linked sets share one.
+
+    Linked sets have ``percent`` of either in common, so in one order for all the first common value has at least that
+    many after it in both. The order is that of the components that hold a value, rare first. Values of one component
+    alone come before all others and reach no other component, so they are counted but not listed.
+    """
+    held = sets.select("rep", "n", "component", F.explode("set").alias("value"))
+    shared = held.select("value", "component").distinct().groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
+    rare = held.join(shared, "value").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("rare"))
+    listed = F.expr(f"cast(n - (n * {p.percent} + 99) div 100 + 1 - (n - size(rare)) as int)")
+    first = F.slice("rare", 1, F.greatest(listed, F.lit(0)))
+    return rare.select(F.explode(F.transform(first, lambda x: x["value"])).alias("value"), "rep", "n", "component")
+
+
+def _side(members: list[tuple], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all values of the members' sets that are in the vocabulary, by column."""
+    values = np.concatenate([m[2] for m in members])
+    rows = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+    columns = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+    there = vocabulary[columns] == values
+    order = np.argsort(columns[there], kind="stable")
+    return rows[there][order], columns[there][order]
+
+
+#: Of all pairs of a block, the part from which a value's pairs are counted by a product of matrices, and one by one below.
+DENSE = 1 / 200
+#: Pairs of rows that are counted one by one at a time.
+PAIRS = 1 << 20
+
+
+def _common(one: list[tuple], right: list[tuple]) -> np.ndarray:
+    """How many values each two sets of (rep, component, set) have in common."""
+    out = np.zeros((len(one), len(right)), np.float32)
+    distinct = np.unique(np.concatenate([m[2] for m in one]))
+    vocabulary = distinct if one is right else np.intersect1d(distinct, np.concatenate([m[2] for m in right]))
+    if not len(vocabulary):
+        return out
+    sides = _side(one, vocabulary), _side(right, vocabulary)
+    times = [np.bincount(columns, minlength=len(vocabulary)) for _, columns in sides]
+    dense = times[0] * times[1] >= max(out.size * DENSE, 1)
+    dense &= times[0] + times[1] > 2 * (one is right)  # a value of one set alone is no pair's
+    matrices = []
+    for side, (rows, columns) in zip((one, right), sides):
+        place = np.cumsum(dense) - 1
+        matrix = np.zeros((len(side), int(dense.sum())), np.float32)
+        matrix[rows[dense[columns]], place[columns[dense[columns]]]] = 1
+        matrices.append(matrix)
+    out += matrices[0] @ matrices[1].T
+    # The others: each row of the left side with the rows of the right side that hold its value.
+    (rows, columns), (others, _) = sides
+    few = np.flatnonzero(~dense[columns])
+    rows, columns = rows[few], columns[few]
+    first, many = (np.cumsum(times[1]) - times[1])[columns], times[1][columns]
+    ends = np.cumsum(many)
+    flat, at = out.reshape(-1), 0
+    while at < len(rows):
+        to = max(int(np.searchsorted(ends, ends[at] - many[at] + PAIRS, "right")), at + 1)
+        n = many[at:to]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cells, counts = np.unique(np.repeat(rows[at:to], n) * len(right) + others[np.repeat(first[at:to], n) + within], return_counts=True)
+        flat[cells] += counts
+        at = to
     return out
 
 
 def _block_links(one: list[tuple], other: list[tuple] | None, p: Sketching) -> list[tuple[int, int]]:
-    """Links between two blocks of (rep, component, set), or inside one; members of one component are not compared."""
+    """Links between two blocks of (rep, component, set), or inside one: as many as join all components that links join."""
     right = one if other is None else other
-    vocabulary = np.unique(np.concatenate([m[2][: p.k] for m in one + right]))
-    common = _incidence([m[2][: p.k] for m in one], vocabulary) @ _incidence([m[2][: p.k] for m in right], vocabulary).T
+    common = _common(one, right)
     n, r = np.array([len(m[2]) for m in one])[:, None], np.array([len(m[2]) for m in right])[None, :]
-    # Two sketches of k values at similarity s have s of them in common at least, as when one set holds the other.
-    least = np.minimum(np.minimum(n, r), p.k) * p.held
-    open_ = (common >= least) & (n * 100 >= r * p.percent) & (r * 100 >= n * p.percent)
-    open_ &= np.array([m[1] for m in one])[:, None] != np.array([m[1] for m in right])[None, :]
-    if other is None:
-        open_ = np.triu(open_, 1)
+    linked = common * 100 >= (n + r - common) * p.percent
+    linked &= np.array([m[1] for m in one])[:, None] != np.array([m[1] for m in right])[None, :]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
     found = []
-    for i, j in zip(*np.nonzero(open_)):
-        x, y = one[i][2], right[j][2]
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        if shared * 100 >= (len(x) + len(y) - shared) * p.percent:
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) if other is None else linked)):
+        a, b = top(one[i][1]), top(right[j][1])
+        if a != b:
+            above[a] = b
             found.append((one[i][0], right[j][0]))
     return found
 
@@ -264,11 +328,13 @@ def _met_in_blocks(members: DataFrame, p: Sketching) -> DataFrame:
     """Links (u, v) inside each clump between members (clump, rep, n, component, set) of different components.
 
     A clump is dealt into bands of set size, in which neighbours at most can be linked, and each band into
-    parts of about ``block`` rows; two parts meet in one group of rows. Rows grow by the number of parts.
+    parts of about ``block`` rows or ``block_values`` values; two parts meet in one group of rows. Rows grow by the
+    number of parts.
     """
     band = F.floor(F.log("n") / float(np.log(100 / p.percent))).cast("int")
     dealt = members.withColumn("band", band)
-    sizes = dealt.groupBy("clump", "band").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_values))
+    sizes = dealt.groupBy("clump", "band").agg(parts.cast("int").alias("parts"))
     dealt = dealt.join(sizes, ["clump", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     for name, shift in (("below", -1), ("above", 1)):
         near = sizes.select("clump", (F.col("band") - shift).alias("band"), F.col("parts").alias(name))
@@ -371,28 +437,40 @@ def near_duplicates(docs: DataFrame, params: Sketching = Sketching()) -> DataFra
     whole = listed.select("value", "members", "centre", "rep", "n").join(label, "rep", "left")
     whole = written(whole.withColumn("component", F.coalesce("component", "rep")), "labelled")
 
-    # Long lists whose members are still apart: everything that such lists hold together is a clump.
-    long = whole.where(F.col("members") > p.long_list)
-    clumps = components(long.select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
-    members = long.select("rep", "n", "component").distinct().join(clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump")), "rep")
-    apart = members.groupBy("clump").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("clump")
-    members = written(members.join(apart, "clump"), "members")
-    sets = _full_sets(docs, members, p).join(members, "rep").select("clump", "rep", "n", "component", "set")
-    second = written(_met_in_blocks(written(sets.dropDuplicates(["rep"]), "sets"), p), "links")
-
-    # Short lists: their members in pairs.
-    short = whole.where(F.col("members") <= p.long_list)
-    x, y = short.alias("x"), short.alias("y")
-    met = (
-        x.join(y, F.col("x.value") == F.col("y.value"))
-        .where("x.rep < y.rep and x.component <> y.component")
-        .where(_sizes_fit(F.col("x.n"), F.col("y.n"), p.percent))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.n", "y.n").alias("n"))
-        .groupBy("a", "b", "n")
-        .agg(F.count("*").alias("times"))
-        .where((F.col("times") >= p.shared) | (F.col("n") < 32))
-        .select("a", "b")
+    # Long lists whose members are still apart: the members' full sets are listed.
+    many, few = F.col("members") > p.long_list, F.col("members") <= p.long_list
+    apart = whole.where(many).groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("value")
+    members = written(whole.where(many).join(apart, "value", "left_semi").select("rep", "component").distinct(), "members")
+    sets = _full_sets(docs, members, p).join(members, "rep").select("rep", F.size("set").cast("long").alias("n"), "component", "set")
+    sets = written(sets.dropDuplicates(["rep", "n"]), "sets")
+    rarest = written(_rarest(sets, p), "rarest")
+    lists = (
+        rarest.groupBy("value")
+        .agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.min("component").alias("a"), F.max("component").alias("b"))
+        .where("a < b")
     )
+    rarest = written(rarest.join(lists.select("value", "members", "centre"), "value"), "rarest_listed")
+    # Where these are long too, everything that they hold together is a clump.
+    long = rarest.where(many)
+    clumps = components(long.select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
+    clumped = long.select("rep", "n").distinct().join(clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump")), "rep")
+    second = written(_met_in_blocks(written(sets.join(clumped, ["rep", "n"]), "clumped"), p), "links")
+
+    # Short lists: their members in pairs. Of the rarest values of full sets, one in common is enough.
+    def pairs(short: DataFrame, least: Column) -> DataFrame:
+        x, y = short.alias("x"), short.alias("y")
+        return (
+            x.join(y, F.col("x.value") == F.col("y.value"))
+            .where("x.rep < y.rep and x.component <> y.component")
+            .where(_sizes_fit(F.col("x.n"), F.col("y.n"), p.percent))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.n", "y.n").alias("n"))
+            .groupBy("a", "b", "n")
+            .agg(F.count("*").alias("times"))
+            .where(least)
+            .select("a", "b")
+        )
+
+    met = pairs(whole.where(few), (F.col("times") >= p.shared) | (F.col("n") < 32)).union(pairs(rarest.where(few), F.lit(True))).distinct()
     third = written(_verified(written(_estimated(written(met, "met"), classes, p), "estimated"), docs, p), "links")
     groups = components(first.union(second).union(third))
     found = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

@@ -247,6 +247,72 @@ def test_blocks_find_supersets():
     assert sorted(found) == [(i, 1000 + i) for i in range(600)]
 
 
+def test_shared_passages_reach_no_block(spark, monkeypatch):
+    """Texts that share half of their words are in long lists, but not among the rarest values of each other."""
+    rng, rows = random.Random(6), []
+    passage = " ".join(f"p{i}" for i in range(40))
+    for i in range(80):
+        rows.append((i, " ".join([passage, *(f"own{i}x{j}" for j in range(30))])))
+    rows += [(100 + i, f"{rows[i][1]} end") for i in range(0, 80, 7)]
+    words = [f"w{i}" for i in range(120)]
+    for i in range(60):  # a group whose members are near to some and not to all others
+        rows.append((200 + i, " ".join(f"new{rng.randrange(10**6)}" if rng.random() < 0.01 * (i % 12) else w for w in words)))
+    sets = [plain_shingles(text, 2) for _, text in rows]
+    want = joined(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    met, blocks = [], bottomk._met_in_blocks
+    monkeypatch.setattr(bottomk, "_met_in_blocks", lambda members, p: (met.extend(members.collect()), blocks(members, p))[1])
+    found = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bottomk.Sketching(long_list=8, block=16))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in want]
+    assert met and min(r["rep"] for r in met) >= 200
+
+
+def test_rarest_values_of_linked_sets_meet(spark):
+    """Against plain counting: what the fewest components hold comes first, values of one component alone are not listed."""
+    rng, p = random.Random(9), bottomk.Sketching()
+    base = [rng.sample(range(300), 25) for _ in range(4)]
+    sets = [sorted({v if rng.random() < 0.9 else rng.randrange(300, 10**6) for v in base[i % 4]}) for i in range(60)]
+    rows = [(i, len(s), i % 40, s) for i, s in enumerate(sets)]
+    got = {}
+    for r in bottomk._rarest(spark.createDataFrame(rows, "rep long, n long, component long, set array<long>"), p).collect():
+        got.setdefault(r["rep"], set()).add(r["value"])
+    holders = {}
+    for rep, _, component, s in rows:
+        for v in s:
+            holders.setdefault(v, set()).add(component)
+    for rep, n, _, s in rows:
+        first = sorted(s, key=lambda v: (len(holders[v]), v))[: n + 1 - -(-n * 4 // 5)]
+        assert got.get(rep, set()) == {v for v in first if len(holders[v]) > 1}
+    for a, na, ca, x in rows:
+        for b, nb, cb, y in rows:
+            if ca != cb and len({*x} & {*y}) * 100 >= len({*x} | {*y}) * p.percent:
+                assert got[a] & got[b]
+
+
+def test_blocks_bounded_by_values(spark):
+    rng, base = random.Random(3), list(range(100))
+    sets = [sorted({v if rng.random() < 0.9 else rng.randrange(100, 10**6) for v in base}) for _ in range(40)]
+    rows = [(i, len(s), i, s, i % 2) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "rep long, n long, component long, set array<long>, clump long")
+    found = bottomk._met_in_blocks(members, bottomk.Sketching(block_values=500)).collect()
+    linked = lambda i, j: 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})
+    assert all((r["u"] - r["v"]) % 2 == 0 and linked(r["u"], r["v"]) for r in found)
+    want = joined(40, [(i, j) for i in range(40) for j in range(i) if (i - j) % 2 == 0 and linked(i, j)])
+    assert joined(40, [(r["u"], r["v"]) for r in found]) == want and len(set(want)) < 40
+
+
+def test_common_values_are_counted_exactly(monkeypatch):
+    rng = np.random.default_rng(5)
+    for dense, pairs in ((bottomk.DENSE, bottomk.PAIRS), (2.0, 50), (0.0, 50)):
+        monkeypatch.setattr(bottomk, "DENSE", dense)
+        monkeypatch.setattr(bottomk, "PAIRS", pairs)
+        for span in (45, 500, 10**6):
+            one, other = ([(i, i, np.sort(rng.choice(span, rng.integers(1, 40), replace=False))) for i in range(k)] for k in (30, 47))
+            assert (bottomk._common(one, other) == [[len(np.intersect1d(x[2], y[2])) for y in other] for x in one]).all()
+            own = np.array([[len(np.intersect1d(x[2], y[2])) for y in one] for x in one])
+            assert (np.triu(bottomk._common(one, one), 1) == np.triu(own, 1)).all()
+
+
 @pytest.mark.parametrize("name", ["stages", "empty"])
 def test_pipeline(spark, documents, odd, tmp_path, name):
     docs = odd if name == "stages" else odd.limit(0)
